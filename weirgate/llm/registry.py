@@ -1,7 +1,8 @@
 """Queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
+from .decontamination import OP7_SQL, op7_decontaminate
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP8_SQL, op8_mix
 
-QUERIES = {"op6_line_dedup": op6_line_dedup, "op8_mix": op8_mix}
-ORACLE_SQL = {"op6_line_dedup": OP6_SQL, "op8_mix": OP8_SQL}
+QUERIES = {"op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix}
+ORACLE_SQL = {"op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op8_mix": OP8_SQL}
