@@ -3,8 +3,10 @@
 from .decontamination import OP7_SQL, op7_decontaminate
 from .embedding_dedup import op5_embedding_dedup
 from .jaccard_join import OP2_SQL, op2_jaccard_join
+from .language_id import op1_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP8_SQL, op8_mix
+from .toxicity import op10_toxicity
 
-QUERIES = {"op2_jaccard_join": op2_jaccard_join, "op5_embedding_dedup": op5_embedding_dedup, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix}
+QUERIES = {"op1_language_id": op1_language_id, "op10_toxicity": op10_toxicity, "op2_jaccard_join": op2_jaccard_join, "op5_embedding_dedup": op5_embedding_dedup, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix}
 ORACLE_SQL = {"op2_jaccard_join": OP2_SQL, "op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op8_mix": OP8_SQL}
