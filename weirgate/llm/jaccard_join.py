@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import Scratch, small, table
 from .graph import components
+from .runs import shared_rows
 
 SHINGLE_WORDS, PERCENT = 5, 75
 #: An n-gram of over so many documents goes to the end of the order, where few prefixes reach; the most frequent
@@ -72,40 +73,6 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, hot: np.n
             yield pa.RecordBatch.from_pydict({"s": pa.array(np.concatenate(chosen).view(np.int64)), "salt": pa.array(salt.astype(np.int32)), "id": pa.array(ids), "n": pa.array(np.array(sizes, np.int32)[which]), "pos": pa.array(np.concatenate(places).astype(np.int32))})
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (s, salt, id), those whose (s, salt) has another row or whose column is dealt to several salts, with the first row of (s, salt) as their pivot. One row is held back between batches."""
-    names = ["s", "salt", "id", "n", "pos"]
-    held: dict[str, np.ndarray] | None = None
-    first = {c: np.zeros(1, np.int64) for c in ("id", "n", "pos")}  # the pivot of the held row
-    joined = False  # whether the held row's pivot is an earlier row
-
-    def shaped(x: dict[str, np.ndarray]) -> pa.RecordBatch:
-        kinds = {"s": np.int64, "id": np.int64, "pivot": np.int64}
-        return pa.RecordBatch.from_pydict({c: pa.array(v.astype(kinds.get(c, np.int32))) for c, v in x.items()})
-
-    for rows in batches:
-        if not rows.num_rows:
-            continue
-        new = {c: np.asarray(rows.column(c)) for c in names}
-        x = {c: np.concatenate([held[c], new[c]]) if held else new[c] for c in names}
-        n = len(x["s"])
-        same = (x["s"][1:] == x["s"][:-1]) & (x["salt"][1:] == x["salt"][:-1])
-        start = np.concatenate([[True], ~same])
-        run = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-        pivot = {c: x[c][run] for c in ("id", "n", "pos")}
-        before = np.concatenate([[False], same])
-        if held and joined:
-            leading = run == 0
-            for c in pivot:
-                pivot[c] = np.where(leading, first[c], pivot[c])
-            before[0] = True
-        keep = np.flatnonzero(before[:-1] | same | (x["salt"][:-1] > 0)) if n > 1 else np.zeros(0, int)
-        yield shaped({c: x[c][keep] for c in names} | {"pivot": pivot["id"][keep], "pivot_n": pivot["n"][keep], "pivot_pos": pivot["pos"][keep]})
-        held, first, joined = {c: x[c][-1:] for c in names}, {c: pivot[c][-1:] for c in pivot}, bool(before[-1])
-    if held and (joined or held["salt"][0] > 0):
-        yield shaped(held | {"pivot": first["id"], "pivot_n": first["n"], "pivot_pos": first["pos"]})
-
-
 def _shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         for part in tokens.batches(rows, "t"):
@@ -156,11 +123,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
 
     prefixes = nodes.mapInArrow(lambda b: _prefixes(b, k, percent, hot.value), "s long, salt int, id long, n int, pos int")
     sorted_rows = prefixes.repartition("s", "salt").sortWithinPartitions("s", "salt", "id")
-    entries = scratch.put(sorted_rows.mapInArrow(_shared, "s long, salt int, id long, n int, pos int, pivot long, pivot_n int, pivot_pos int"))
+    entries = scratch.put(sorted_rows.mapInArrow(lambda b: shared_rows(b, ["id", "n", "pos"]), "s long, salt int, id long, n int, pos int, first_id long, first_n int, first_pos int"))
     active = small(scratch.put(entries.select("id").distinct()))
     sets = scratch.put(nodes.join(active, "id", "left_semi").mapInArrow(lambda b: _shingles(b, k), "id long, grams array<long>"))
 
-    star = entries.where(F.col("id") != F.col("pivot")).where(_may_link("n", "pos", "pivot_n", "pivot_pos", percent)).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    star = entries.where(F.col("id") != F.col("first_id")).where(_may_link("n", "pos", "first_n", "first_pos", percent)).select(F.col("id").alias("a"), F.col("first_id").alias("b"))
     links = scratch.put(_linked(star, sets, percent))
     entries = entries.select("s", "id", "n", "pos")
     for salt in range(ROUNDS + 1):
