@@ -1,2 +1,70 @@
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again before the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weirgate.llm.common import Scratch, table
+from weirgate.llm.decontamination import mark_contamination
+from weirgate.llm.jaccard_join import near_duplicates
+from weirgate.llm.line_dedup import dedup_lines
+from weirgate.llm.mixing import mix_sources
+from weirgate.llm.toxicity import learn_from_tables, score_toxicity
+
+#: Documents are rejected from this score on.
+TOXIC = 0.5
+
+
+def _documents(found: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    return found.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under TOXIC. The model learns from the labelled rows of the documents table, op10's fold of them."""
+    model = learn_from_tables(spark, table(spark, sf_dir, "documents"), sf_dir)
+    named = docs.withColumnRenamed("score", "score of the document") if "score" in docs.columns else docs
+    kept = score_toxicity(named, model).where(F.col("score") < TOXIC).drop("score")
+    return kept.withColumnRenamed("score of the document", "score") if "score" in docs.columns else kept
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their frequent lines, n_chars to match. A document stays if any word stays, or if it had no line to lose."""
+    found = dedup_lines(docs)
+    found = found.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return _documents(found, docs, n_chars=F.char_length("text").cast("long"))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the row with the least doc_id; of its rows that are equal in doc_id, the first by content.
+    Documents without shingles or doc_id are no duplicates of anything, and stay."""
+    found = near_duplicates(docs.select("doc_id", "text"))
+    firsts = found.where("doc_id = component_id").select("doc_id").distinct()
+    once = docs.where("doc_id IS NOT NULL").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    packed = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("document"), "doc_id", "text")
+    found = mark_contamination(packed, table(spark, sf_dir, "benchmark")).where("NOT contaminated")
+    return found.select("document.*")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents' columns and size, source_size, target, nth, epoch, finish, words, a row for each time that a document is taken."""
+    return mix_sources(docs).where("words > 0")
+
+
+STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join), ("benchmark decontamination", decontamination), ("mixing", mixing)]
+
+#: SQL can't express the factorization machine's fit.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = scratch.put(stage(spark, docs, sf_dir))
+    return docs

@@ -28,7 +28,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE
 
     Raising all uncapped sources together, by weight, until their sum is the budget gives the same as capping
     and resharing again and again. In order of cap / weight, the level over the sources from k on is
-    (budget - caps before k) / weights from k on; the first k whose cap is at least at its level sets the level.
+    (budget - caps before k) / weights from k on; the first k whose cap is at least at its level sets the level; it is the greatest of these, as levels fall from there on.
     A source without words has target 0.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE
     s = s.withColumn("left", F.lit(share_percent) * F.sum("source_size").over(everything) - 100 * F.coalesce(F.sum("cap").over(before), F.lit(0)))
     s = s.withColumn("at", F.col("left").cast("double") / (100 * F.sum("weight").over(onward)).cast("double"))
     fits = F.col("at") * F.col("weight") <= F.col("cap")
-    s = s.withColumn("level", F.min(F.when(fits, F.col("at"))).over(everything))
+    s = s.withColumn("level", F.max(F.when(fits, F.col("at"))).over(everything))
     s = s.withColumn("target", F.least(F.col("level") * F.col("weight"), F.col("cap").cast("double")))
     return s.select("source", "source_size", "target", F.floor(F.sum("target").over(everything) + 0.5).alias("budget"))
 
@@ -125,7 +125,7 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(2 * sum(size
 r AS (SELECT *, CAST(150 * sum(source_size) OVER () - 100 * coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
       / CAST(100 * sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lev FROM s),
-v AS (SELECT source, source_size, least(min(CASE WHEN lev * weight <= cap THEN lev END) OVER () * weight, CAST(cap AS DOUBLE)) AS target FROM r),
+v AS (SELECT source, source_size, least(max(CASE WHEN lev * weight <= cap THEN lev END) OVER () * weight, CAST(cap AS DOUBLE)) AS target FROM r),
 q AS (SELECT d.doc_id, d.size, v.source_size, v.target, coalesce(sum(d.size) OVER (PARTITION BY d.source
         ORDER BY md5(concat('mix:', d.doc_id)), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
