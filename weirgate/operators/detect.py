@@ -25,7 +25,7 @@ def sliding(rows: DataFrame, key: str, ts: str, seq: str, width: int, counts: di
     distinct = distinct or {}
     span = width * SLICE_WIDTHS
     own = F.floor(F.col(ts) / span)
-    slices = F.explode(F.array_distinct(F.array(own, F.floor((F.col(ts) + (width - 1)) / span))))
+    slices = F.explode(F.array_distinct(F.array(F.col("own"), F.floor((F.col("t") + (width - 1)) / span))))
     x = rows.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.col(ts).alias("t"), F.col(seq).alias("seq"), own.alias("own"), *[c.cast("int").alias(f"n_{n}") for n, c in counts.items()], *[F.when(c, F.col(v)).alias(f"v_{n}") for n, (v, c) in distinct.items()])
     x = x.select("*", slices.alias("slice")).repartition("k", "slice")
     for n in distinct:
