@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
@@ -25,7 +26,7 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(is_ipv4(ip), value)
 
 
-@F.pandas_udf("struct<canonical:string,public:boolean>")
+@F.pandas_udf(T.StructType([T.StructField("canonical", T.StringType()), T.StructField("public", T.BooleanType())]))
 def ipv6_facts(ip: pd.Series) -> pd.DataFrame:
     def facts(text: str | None) -> tuple[str | None, bool]:
         try:
