@@ -26,8 +26,8 @@ SHINGLE_WORDS, PERCENT = 5, 75
 HOT_DOCS, HOT_GRAMS = 32, 200_000
 #: Entries of such a column are dealt to so many groups.
 SALTS = 32
-#: Rounds in which the entries of a column are compared with one of them, before all that is left is compared.
-ROUNDS = 3
+#: Before all pairs that are left are compared, the entries of columns longer than LONG_COLUMN are compared with one of them, in up to ROUNDS rounds.
+LONG_COLUMN, ROUNDS = 64, 3
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -88,13 +88,40 @@ def _may_link(n1: str, p1: str, n2: str, p2: str, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * most.cast("long") >= percent * (a + b).cast("long"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose overlap over all columns reaches percent of the union."""
-    one, two = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "ab")
+def _linked(pairs: DataFrame, keys: DataFrame, nodes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (a, b) whose overlap reaches percent of the union.
+
+    The columns of the first block are counted first: keys has, of each node, those that another node shares. A node whose
+    prefix ends first, in the global order, can share no more than these and what it has beyond its prefix. Texts are read, and
+    all columns counted, for pairs only that this bound leaves.
+    """
+    one, two = (keys.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("keys").alias(f"{c}_keys")) for c in "ab")
     both = pairs.distinct().join(one, "a").join(two, "b")
+    beyond = lambda n: n - _prefix_length(n, percent)
+    most = F.size(F.array_intersect("a_keys", "b_keys")) + F.greatest(beyond(F.col("a_n")), beyond(F.col("b_n")))
+    left = scratch.put(both.where((100 + percent) * most.cast("long") >= percent * (F.col("a_n") + F.col("b_n")).cast("long")).select("a", "b"))
+    wanted = small(scratch.put(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct()))
+    sets = scratch.put(nodes.join(wanted, "id", "left_semi").mapInArrow(lambda b: _shingles(b, k), "id long, grams array<long>"))
+    one, two = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "ab")
+    both = left.join(one, "a").join(two, "b")
     overlap = F.size(F.array_intersect("a_grams", "b_grams"))
     union = F.size("a_grams") + F.size("b_grams") - overlap
-    return both.where(100 * overlap.cast("long") >= percent * union.cast("long")).select("a", "b")
+    found = scratch.put(both.where(100 * overlap.cast("long") >= percent * union.cast("long")).select("a", "b"))
+    scratch.drop(sets)
+    return found
+
+
+def _prefix_length(n: Column, percent: int) -> Column:
+    return n - F.ceil(n * percent / 100).cast("int") + 1
+
+
+def _mixed(entries: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
+    """Entries (s, id, n, pos, part) of columns that hold several components, with one entry (b, b_n, b_pos, b_part) that hashing picks, and the column's size."""
+    placed = entries.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    pick = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("x"), "id", "n", "pos", "part")).alias("p")
+    columns = placed.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size"), pick).where("low < high")
+    columns = columns.select("s", "size", F.col("p.id").alias("b"), F.col("p.n").alias("b_n"), F.col("p.pos").alias("b_pos"), F.col("p.part").alias("b_part"))
+    return placed.join(columns, "s")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -124,29 +151,27 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     prefixes = nodes.mapInArrow(lambda b: _prefixes(b, k, percent, hot.value), "s long, salt int, id long, n int, pos int")
     sorted_rows = prefixes.repartition("s", "salt").sortWithinPartitions("s", "salt", "id")
     entries = scratch.put(sorted_rows.mapInArrow(lambda b: shared_rows(b, ["id", "n", "pos"]), "s long, salt int, id long, n int, pos int, first_id long, first_n int, first_pos int"))
-    active = small(scratch.put(entries.select("id").distinct()))
-    sets = scratch.put(nodes.join(active, "id", "left_semi").mapInArrow(lambda b: _shingles(b, k), "id long, grams array<long>"))
+    keys = scratch.put(entries.groupBy("id").agg(F.min("n").alias("n"), F.collect_set("s").alias("keys")))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _linked(pairs, keys, nodes, k, percent, scratch)
 
     star = entries.where(F.col("id") != F.col("first_id")).where(_may_link("n", "pos", "first_n", "first_pos", percent)).select(F.col("id").alias("a"), F.col("first_id").alias("b"))
-    links = scratch.put(_linked(star, sets, percent))
+    links = linked(star)
+    parts = components(links, scratch)
     entries = entries.select("s", "id", "n", "pos")
-    for salt in range(ROUNDS + 1):
-        parts = components(links, scratch)
-        placed = entries.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-        mixed = placed.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64(F.lit(salt), "id").alias("x"), "id", "n", "pos", "part")).alias("p"))
-        mixed = mixed.where("low < high").select("s", "p.*").select(F.col("s"), F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("part").alias("b_part"))
-        left = scratch.put(placed.join(mixed, "s"), instead_of=entries if salt else None)
-        if left.isEmpty():
+    for turn in range(ROUNDS):
+        mixed = scratch.put(_mixed(entries, parts, turn).where(F.col("size") > LONG_COLUMN))
+        if mixed.isEmpty():
             break
-        entries = left.select("s", "id", "n", "pos")
-        entries._scratch_path = left._scratch_path
-        if salt == ROUNDS:
-            other = left.select("s", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("part").alias("b_part"))
-            left = left.drop("b", "b_n", "b_pos", "b_part").join(other, "s").where(F.col("id") < F.col("b"))
-        pairs = left.where(F.col("part") != F.col("b_part")).where(_may_link("n", "pos", "b_n", "b_pos", percent)).select(F.col("id").alias("a"), "b")
-        links = scratch.put(links.unionByName(_linked(pairs, sets, percent)), instead_of=links)
-        if salt == ROUNDS:
-            parts = components(links, scratch)
+        pairs = mixed.where(F.col("part") != F.col("b_part")).where(_may_link("n", "pos", "b_n", "b_pos", percent)).select(F.col("id").alias("a"), "b")
+        links = scratch.put(links.unionByName(linked(pairs)), instead_of=links)
+        parts = components(links, scratch)
+    mixed = scratch.put(_mixed(entries, parts, ROUNDS).select("s", "id", "n", "pos", "part"))
+    other = mixed.select("s", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "part")])
+    pairs = mixed.join(other, "s").where((F.col("id") < F.col("b_id")) & (F.col("part") != F.col("b_part")))
+    pairs = pairs.where(_may_link("n", "pos", "b_n", "b_pos", percent)).select(F.col("id").alias("a"), F.col("b_id").alias("b"))
+    parts = components(links.unionByName(linked(pairs)), scratch)
     found = rows.join(classes.select("h1", "h2", "n", "node"), ["h1", "h2", "n"], "left").join(parts.select(F.col("id").alias("node"), "component"), "node", "left")
     return found.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component_id"))
 
