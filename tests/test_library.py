@@ -161,7 +161,7 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = sorted([(rng.randrange(100) * 1000, f"1.1.1.{rng.randrange(3)}", rng.choice(["/a", "/b"]), rng.choice([200, 404])) for _ in range(150)], key=lambda r: r[0])
     batch = _requests(spark, rows)
     batch.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = windowed_requests(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")))
+    stream = windowed_requests(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")), forget_idle=False)
     for _ in range(2):  # the second run has nothing new
         q = stream.writeStream.foreachBatch(into_table(str(tmp_path / "out"), "seq")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination()

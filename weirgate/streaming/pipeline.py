@@ -29,11 +29,12 @@ def counts_per(events: DataFrame, keys: list[str], period: str, delay: str = "10
     return counted.select(*keys, F.col("w.start").alias("period_start"), "n")
 
 
-def windowed_requests(requests: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+def windowed_requests(requests: DataFrame, cfg: DetectorConfig = DetectorConfig(), forget_idle: bool = True) -> DataFrame:
     """The client window of each request of a stream (domain, src_ip, path, status, ts_ms, seq, request_id), in arrival order (seq) within a batch.
 
     A request that is a window or more behind its client's latest is late: it is scored by the window, but doesn't enter it. State holds
-    one window a client and goes when the client has been idle for two.
+    one window a client and goes when the client has been idle for two. With forget_idle=False it stays: for replays that end by themselves
+    (trigger availableNow), as a timer keeps a query running.
     """
     counted = ~F.coalesce(F.col("path").rlike(STATIC_ASSET), F.lit(False))
     x = requests.select("seq", "request_id", client_key(F.col("domain"), F.col("src_ip")).alias("client"), "ts_ms", (counted & (F.coalesce("status", F.lit(0)) >= 400)).alias("error"), F.when(counted, F.col("path")).alias("path"))
@@ -54,10 +55,11 @@ def windowed_requests(requests: DataFrame, cfg: DetectorConfig = DetectorConfig(
                 held = [h for h in held if h[0] > latest - cfg.window_ms]
             out.append((r.seq, r.request_id, key[0], r.ts_ms, len(held), sum(h[1] for h in held), len({h[2] for h in held if h[2] is not None}), late))
         state.update((latest, last_alert, [h[0] for h in held], [h[1] for h in held], [h[2] for h in held]))
-        state.setTimeoutDuration(2 * cfg.window_ms)
+        if forget_idle:
+            state.setTimeoutDuration(2 * cfg.window_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return x.groupBy("client").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return x.groupBy("client").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if forget_idle else GroupStateTimeout.NoTimeout)
 
 
 def into_table(path: str, key: str = "event_id") -> Callable[[DataFrame, int], None]:
