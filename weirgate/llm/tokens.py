@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20  # bytes that are hashed at once
+SLICE = 1 << 18  # bytes that are hashed at once
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 _TABLE[65:91] = _TABLE[97:123]
@@ -119,7 +119,7 @@ def winnow(gram: np.ndarray, text: np.ndarray, w: int) -> np.ndarray:
     return chosen
 
 
-def batches(rows: pa.RecordBatch, text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(rows: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in pieces of about so many bytes of text, one row at least."""
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(rows.column(text)), 0)))
     i = 0
