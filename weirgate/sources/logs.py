@@ -18,7 +18,7 @@ def scan_access_logs(spark: SparkSession, root: str, domain_override: str = "")
 
 
 def stream_access_logs(spark: SparkSession, root: str, domain_override: str = "") -> DataFrame:
-    """The same of files as they are closed or rotated in: Spark's file source reads each file once. weirgate.streaming.tail follows files that grow."""
+    """The same of files as they are closed or rotated in: Spark's file source reads each file once."""
     lines = spark.readStream.schema("value string").text(f"{root}/{{nginx,apache}}/*").select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("log_path"))
     return _named(lines, domain_override)
 
