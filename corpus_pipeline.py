@@ -29,10 +29,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their frequent lines, n_chars to match. A document stays if any word stays, or if it had no line to lose."""
-    found = dedup_lines(docs)
-    found = found.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return _documents(found, docs, n_chars=F.char_length("text").cast("long"))
+    """Texts without their frequent lines, n_chars to match. All rows stay. Lines count by distinct texts: exact copies are left
+    whole for the Jaccard join, which keeps one of them."""
+    return _documents(dedup_lines(docs, by_text=True), docs, n_chars=F.char_length("text").cast("long"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,18 @@ def test_no_window_is_left(steps, spark):
     assert not any(" ".join(w[i : i + 10]) in windows for w in (x.split() for x in left) for i in range(len(w) - 9))
 
 
+def test_one_of_many_exact_copies_is_left(spark):
+    copy = "\n".join(f"line {i} of a text that has many copies" for i in range(6))
+    rows = [(i, copy) for i in range(25)] + [(100 + i, f"footer of all\nown text {i} and nothing but {i}") for i in range(12)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in [*rows, (200, "footer of all")]], "doc_id long, text string, n_chars long")
+    lines = corpus_pipeline.line_dedup(spark, docs, SF).cache()
+    got = {r.doc_id: r for r in lines.collect()}
+    assert set(got) == {i for i, _ in rows} | {200} and all(got[i].text == copy and got[i].n_chars == len(copy) for i in range(25))
+    assert got[103].text == "own text 3 and nothing but 3" and (got[200].text, got[200].n_chars) == ("", 0)
+    left = {r.doc_id: r.text for r in corpus_pipeline.jaccard_join(spark, lines, SF).collect()}
+    assert left[0] == copy and not set(range(1, 25)) & set(left)
+
+
 def test_mix_comes_from_its_input(steps):
     _, before, after = steps[4]
     assert after.where("words <= 0 OR words > size").count() == 0

@@ -18,14 +18,15 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, by_text: bool = False) -> DataFrame:
     """docs with text less its frequent lines, plus n_lines (before) and n_dropped; columns of those names are replaced.
 
     A null or empty text is one empty line and comes back as "". A text that loses all lines comes back as "".
     Rows are kept one for one: repeated rows get the same result, and count as one document per doc_id.
     Rows with a null doc_id lose frequent lines too, but don't count towards them.
+    by_text: lines count once per distinct text instead, whatever the doc_ids, so that exact copies alone make no line frequent.
 
-    Only hashes are shuffled to count lines: a hot line spreads by (hash, doc_id) before it is summed by hash.
+    Only hashes are shuffled to count lines: a hot line spreads by (hash, doc_id or text) before it is summed by hash.
     Texts are shuffled once, to meet the positions that they lose.
     """
     spark = docs.sparkSession
@@ -35,7 +36,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     lines = rows.select("id", "th", F.posexplode(F.split("t", "\n")).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
     lines = lines.where(F.char_length("key") >= min_chars)
     lines = scratch.put(lines.select("id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")))
-    hot = lines.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
+    hot = lines.groupBy("h1", "h2").agg(F.count_distinct("th" if by_text else "id").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
     hot = small(scratch.put(hot))
     lost = lines.join(hot, ["h1", "h2"], "left_semi").groupBy("id", "th").agg(F.collect_set("pos").alias("lost"))
     lost = lost.select(F.col("id").alias("lost_id"), F.col("th").alias("lost_th"), "lost")
