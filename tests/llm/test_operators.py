@@ -45,6 +45,15 @@ def test_tokens_in_pieces(monkeypatch):
     assert tokens.words(pa.array(["AB", "ab"]), tokens.ALNUM)[0][0] == tokens.words(pa.array(["ab"]), tokens.ALNUM)[0][0]
 
 
+def test_words_longer_than_a_slice(monkeypatch):
+    long = ["ab" * 80, "c" * 500 + " d", "e " + "Fg" * 400, "h" * 159 + " " + "i" * 321 + "  j", "", "k" * 160 + "l" * 160]
+    whole = tokens.words(pa.array(long), tokens.NOT_BLANK)
+    monkeypatch.setattr(tokens, "SLICE", 160)
+    for got, want in zip(tokens.words(pa.array(long), tokens.NOT_BLANK), whole, strict=True):
+        assert got.tolist() == want.tolist()
+    assert np.diff(whole[1]).tolist() == [1, 2, 2, 3, 0, 1]
+
+
 def test_line_dedup(spark):
     texts = [(i, f"Hot line\nown {i}\n\n hot LINE \nend {i}") for i in range(10)] + ODD
     out = {(r.doc_id, r.text): r for r in dedup_lines(docs_of(spark, texts)).collect()}

@@ -45,7 +45,7 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hashes(data: np.ndarray, is_word: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: hash, begin, end. A word ends where a break (sorted positions) begins a new text."""
+    """Of each word: polynomial, begin, end. A word ends where a break (sorted positions) begins a new text."""
     inside = np.concatenate([[False], is_word[data], [False]])
     first = inside[1:] & ~inside[:-1]
     first[breaks[breaks < len(data)]] = inside[1:-1][breaks[breaks < len(data)]]
@@ -53,18 +53,18 @@ def _hashes(data: np.ndarray, is_word: np.ndarray, breaks: np.ndarray) -> tuple[
     last[breaks] |= inside[:-1][breaks]
     begin, end = np.flatnonzero(first), np.flatnonzero(last)
     sums = np.concatenate([_ONE - _ONE, np.cumsum(_TABLE[data] * _INVERSE[: len(data)])])
-    return mix((sums[end] - sums[begin]) * _POWERS[end] + (end - begin).astype(np.uint64)), begin, end
+    return (sums[end] - sums[begin]) * _POWERS[end], begin, end
 
 
 def _slices(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(first text, its last + 1, first byte, last byte + 1), of SLICE bytes at most. A longer text goes in pieces, cut between words."""
+    """(first text, its last + 1, first byte, last byte + 1), of SLICE bytes at most. A longer text goes in pieces, cut between words where it can be."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, "right")) - 1)
         a, b = int(offsets[i]), int(offsets[j])
         while b - a > SLICE:
             gaps = np.flatnonzero(~is_word[data[a : a + SLICE]])
-            cut = a + (int(gaps[-1]) + 1 if len(gaps) else SLICE)  # one word of over SLICE bytes goes in pieces
+            cut = a + (int(gaps[-1]) + 1 if len(gaps) else SLICE)  # a word of over SLICE bytes, which words() puts together
             yield i, i + 1, a, cut
             a = cut
         yield i, j, a, b
@@ -75,11 +75,20 @@ def words(column: pa.Array, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Hashes of all words of all texts in order, and where each text's words begin (one more for the end)."""
     data, offsets = _bytes_of(column)
     parts, counts = [], np.zeros(len(offsets), np.int64)
+    held = None  # polynomial and length so far of a word that goes on in the next piece
     with np.errstate(over="ignore"):
         for i, j, a, b in _slices(data, offsets, is_word):
             breaks = np.unique(np.clip(offsets[i : j + 1] - a, 0, b - a))
-            h, begin, _ = _hashes(data[a:b], is_word, breaks)
-            parts.append(h)
+            h, begin, end = _hashes(data[a:b], is_word, breaks)
+            size = (end - begin).astype(np.uint64)
+            if held is not None:  # this piece begins within that word
+                h[0] += held[0] * _POWERS[size[0]]
+                size[0] += held[1]
+                held = None
+            if b < offsets[j] and is_word[data[b]] and len(end) and end[-1] == b - a:
+                held = h[-1], size[-1]
+                h, begin, size = h[:-1], begin[:-1], size[:-1]
+            parts.append(mix(h + size))
             text = i + np.searchsorted(offsets[i + 1 : j + 1], a + begin, "right")
             counts[1:] += np.bincount(text, minlength=len(offsets) - 1)[: len(offsets) - 1] if len(text) else 0
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.cumsum(counts)
