@@ -125,6 +125,31 @@ def test_repeated_passages(spark):
     assert repeated_passages(docs_of(spark, [])).count() == 0
 
 
+def edited(rng, passage, every):
+    """The passage with one word replaced at even spacing, from a random place on."""
+    at = rng.randrange(every)
+    return [rng.choice(WORDS) + "x" if i % every == at else w for i, w in enumerate(passage)]
+
+
+def test_edited_passages_against_brute_force(spark):
+    rng = random.Random(5)
+    kinds = [(60, 20), (60, 10), (80, 14), (120, 10), (60, 7), (120, 5)]
+    texts, wanted = [], defaultdict(list)
+    for kind in kinds:
+        for _ in range(30):
+            one = prose(rng, kind[0]).split()
+            two = edited(rng, one, kind[1])
+            i, common = len(texts), common_words(np.array([hash(w) for w in one]), np.array([hash(w) for w in two]))
+            assert common >= 40 and common >= 0.7 * kind[0]
+            texts += [(1000 + i, f"{prose(rng, 50)} {' '.join(one)} {prose(rng, 50)}"), (1001 + i, f"{prose(rng, 20)} {' '.join(two)} {prose(rng, 70)}")]
+            wanted[kind].append((1001 + i, 1000 + i))
+    got = {(r.doc_id, r.other_id): r for r in repeated_passages(docs_of(spark, texts)).collect()}
+    recall = {k: np.mean([p in got for p in pairs]) for k, pairs in wanted.items()}
+    assert set(got) <= {p for pairs in wanted.values() for p in pairs}
+    assert all(recall[k] == 1 for k in kinds[:4]) and recall[60, 7] >= 0.9 and recall[120, 5] >= 0.7, recall
+    assert all(abs(got[p].start - 20) <= 4 and abs(got[p].end - 80) <= 4 for p in wanted[60, 10])
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 16))
