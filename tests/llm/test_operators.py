@@ -150,6 +150,25 @@ def test_edited_passages_against_brute_force(spark):
     assert all(abs(got[p].start - 20) <= 4 and abs(got[p].end - 80) <= 4 for p in wanted[60, 10])
 
 
+def test_passages_composed_of_other_documents(spark):
+    rng = random.Random(7)
+    texts, wanted = [], set()
+    for case in range(10):
+        parts, base = [prose(rng, 20) for _ in range(3)], 100 * case
+        texts += [(base + i, f"{prose(rng, 30)} {part} {prose(rng, 30)}") for i, part in enumerate(parts)]
+        # the previous document of each stretch is another one again
+        texts += [(base + 10, f"{prose(rng, 10)} {' '.join(parts)} {prose(rng, 10)}"), (base + 20, f"{prose(rng, 25)} {' '.join(parts)} {prose(rng, 5)}")]
+        texts += [(base + 12 + i, f"{prose(rng, 8)} {part} {prose(rng, 8)}") for i, part in enumerate(parts)]
+        wanted.add((base + 20, base + 10))
+    # stretches so frequent that their seeds are hot
+    hot = [prose(rng, 20) for _ in range(3)]
+    texts += [(5000 + i, f"{prose(rng, 10)} {hot[i % 3]} {prose(rng, 10)}") for i in range(150)]
+    texts += [(6000 + i, f"{prose(rng, 10)} {' '.join(hot)} {prose(rng, 10)}") for i in range(6)]
+    got = {(r.doc_id, r.other_id): r for r in repeated_passages(docs_of(spark, texts).repartition(1)).collect()}
+    assert wanted <= set(got) and all(got[p].matched >= 60 for p in wanted)
+    assert {i for i, _ in got if i >= 5000} == set(range(6001, 6006))
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 16))
