@@ -264,6 +264,14 @@ def test_url_filter(spark):
     assert filter_captures(captures.limit(0), entries).count() == 0
 
 
+def test_url_filter_of_many_labels(spark):
+    deep = ".".join(["a"] * 12) + ".bad.org"
+    entries = spark.createDataFrame([(deep, "2024-01-05", True)], "domain string, day string, listed boolean").selectExpr("domain", "cast(day as date) day", "listed")
+    rows = [(1, f"http://{deep}/p"), (2, f"http://x.{deep}/"), (3, "http://bad.org/")]
+    captures = spark.createDataFrame(rows, "page_id long, url string").selectExpr("page_id", "url", "date'2024-02-01' as fetched")
+    assert {r.page_id: r.domain for r in filter_captures(captures, entries).collect()} == {1: deep, 2: deep, 3: None}
+
+
 def test_factorization_machine_learns_pairs():
     rng = random.Random(0)
     texts, y = [], []

@@ -14,8 +14,6 @@ from .common import Scratch, packed, small, table, with_columns
 #: Intervals are cut at multiples of so many days, and joined by (domain, cut): neither a domain with many entries nor one
 #: with many captures meets all of the other side in one place.
 CUT_DAYS = 30
-#: Labels of a host, from its end, that can be a listed domain.
-MAX_LABELS = 12
 
 
 def host_of(url: Column) -> Column:
@@ -52,7 +50,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, cut_days: int = CUT
     spans = small(scratch.put(spans.select(F.col("domain").alias("on_domain"), F.col("cut").alias("on_cut"), "listed_from", "listed_until")))
     rows = captures.select(packed(captures).alias("row"), host_of(captures["url"]).alias("host"), captures["fetched"].alias("at"))
     labels = F.split("host", r"\.")
-    above = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MAX_LABELS))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
     # hosts repeat: each (host, day) is looked up once, which also takes hot hosts together before any shuffle of rows
     asked = rows.where("host IS NOT NULL AND at IS NOT NULL").select("host", "at").distinct()
     asked = asked.select("host", "at", F.explode(above).alias("name"))
