@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from weirgate.llm import language_id, quality, tokens, toxicity
+from weirgate.llm import blocks, jaccard_join, language_id, quality, tokens, toxicity
 from weirgate.llm.common import Scratch
 from weirgate.llm.decontamination import mark_contamination
 from weirgate.llm.embedding_dedup import near_vectors
@@ -98,6 +98,41 @@ def test_jaccard_join_against_brute_force(spark):
     assert near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_jaccard_join_in_small_blocks(spark, monkeypatch):
+    """Large groups whose members differ from each other about as much as links allow, in many blocks and several rounds."""
+    for name, value in {"LONG_COLUMN": 2, "ROUNDS": 2, "PARTS": 3}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    monkeypatch.setattr(blocks, "BLOCK_ENTRIES", 500)
+    monkeypatch.setattr(blocks, "PACK_ENTRIES", 300)
+    rng = random.Random(11)
+    texts, footer = [], prose(rng, 60)
+    for base in range(3):
+        words = prose(rng, 90).split()
+        for _ in range(40):
+            own = words[:]
+            for _ in range(rng.randrange(6)):
+                own[rng.randrange(90)] = f"own{rng.randrange(10**6)}"
+            texts.append((len(texts) * 7 % 1000, " ".join(own)))
+    texts += [(2000 + i, f"{footer} {prose(rng, rng.randrange(8, 60))}") for i in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs_of(spark, texts).repartition(5)).collect()}
+    want = brute_components(texts)
+    assert got == want and len({c for _, c in want.values()}) > 10
+
+
+def test_blocks_hold_all_entries(monkeypatch):
+    monkeypatch.setattr(blocks, "PACK_ENTRIES", 50)
+    rng = np.random.default_rng(5)
+    column, doc = rng.integers(0, 2**64, 400, dtype=np.uint64), np.sort(rng.integers(0, 30, 400))
+    parts = [(column[a : a + 40], doc[a : a + 40], np.arange(a, a + 40), np.arange(100, 130), np.arange(30) * 2) for a in range(0, 400, 40)]
+    rows = pa.Table.from_batches(blocks.packed(parts, 7))
+    got = []
+    for b in range(7):
+        c, ids, size, place = blocks.unpacked(rows.filter(pa.compute.equal(rows["block"], b)))
+        assert (np.diff(c.astype(float)) >= 0).all() and (size == (ids - 100) * 2).all()
+        got += zip(c.tolist(), ids.tolist(), place.tolist(), strict=True)
+    assert sorted(got) == sorted(zip(column.tolist(), (doc + 100).tolist(), range(400), strict=True))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 7), (5, 5), (7, 20), (20, 21), (21, 0)], "a long, b long")
     got = {r.id: r.component for r in components(links, Scratch(spark, "test")).collect()}

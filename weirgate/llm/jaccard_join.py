@@ -1,9 +1,10 @@
 """Operator 2: n-gram Jaccard self-join as a blocked sparse product of the document by n-gram incidence matrix.
 
-The product's entries are overlap counts. Its columns (n-grams) go in two blocks. The first block holds, for each
-document, its prefix in one global order of the n-grams: as many columns as a document of similarity >= t can't miss all
-of. Products of these columns give the candidate pairs; pairs whose sizes and places in the order bound the overlap
-below what t asks for are discarded. For the pairs that stay, the products of all columns are added up.
+The product's entries are overlap counts. The matrix is dealt in blocks of columns (n-grams); a block leaves out the columns
+that one document alone has, which add to no overlap, and gives the others their document frequency over the whole table.
+Rows are then put in one global order of the columns, the rarest first. The block of a row's first columns, as many as a
+document of similarity t can't miss all of, gives the pairs; the products of the other columns are added up, rarest first, for
+the pairs that sizes and places leave, and a pair is discarded as soon as the columns that are left can't reach what t asks for.
 """
 
 from __future__ import annotations
@@ -15,19 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import blocks, tokens
 from .common import Scratch, small, table
 from .graph import components
-from .runs import shared_rows
 
 SHINGLE_WORDS, PERCENT = 5, 75
-#: An n-gram of over so many documents goes to the end of the order, where few prefixes reach; the most frequent
-#: HOT_GRAMS of them are told apart. Any order gives the same result; this one only keeps columns short.
-HOT_DOCS, HOT_GRAMS = 32, 200_000
-#: Entries of such a column are dealt to so many groups.
-SALTS = 32
-#: Before all pairs that are left are compared, the entries of columns longer than LONG_COLUMN are compared with one of them, in up to ROUNDS rounds.
-LONG_COLUMN, ROUNDS = 64, 3
+#: Parts in which the products of a pair's columns are added up.
+PARTS = 4
+#: Before all pairs that are left are counted, the rows of columns longer than LONG_COLUMN are compared with one of them, in up to ROUNDS rounds, as long as these find links.
+LONG_COLUMN, ROUNDS = 16, 4
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -39,7 +36,7 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Of each text (kind 0): id, th, n, and two hashes of its set. Of n-grams that some texts of a piece share (kind 1): h1 = hash, n = texts."""
+    """Of each text: id, th, n, and two hashes of its set."""
     for rows in batches:
         for part in tokens.batches(rows, "t"):
             sets = list(_sets(part.column("t"), k))
@@ -47,81 +44,112 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             with np.errstate(over="ignore"):
                 h1 = np.array([tokens.mix(x).sum(dtype=np.uint64) for x in sets], np.uint64)
                 h2 = np.array([tokens.mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for x in sets], np.uint64)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(n), np.int32)), "id": part.column("id"), "th": part.column("th"), "n": pa.array(n), "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64))})
-            gram, times = np.unique(np.concatenate(sets), return_counts=True)
-            gram, times = gram[times > 2], times[times > 2]
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(gram), np.int32)), "id": pa.nulls(len(gram), pa.int64()), "th": pa.nulls(len(gram), pa.int64()), "n": pa.array(times.astype(np.int32)), "h1": pa.array(gram.view(np.int64)), "h2": pa.nulls(len(gram), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "th": part.column("th"), "n": pa.array(n), "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64))})
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """s, salt, id, n, pos: the first columns of each text's row, in the order (hot, hash); pos is the place in that order."""
-    for rows in batches:
-        for part in tokens.batches(rows, "t"):
-            chosen, flags, sizes, places = [], [], [], []
-            for x in _sets(part.column("t"), k):
-                is_hot = hot[np.searchsorted(hot, x) % len(hot)] == x if len(hot) else np.zeros(len(x), bool)
-                first = len(x) - -(-percent * len(x) // 100) + 1 if len(x) else 0
-                order = np.concatenate([np.flatnonzero(~is_hot), np.flatnonzero(is_hot)])[:first] if is_hot.any() else np.arange(first)
-                chosen.append(x[order])
-                flags.append(is_hot[order])
-                sizes.append(len(x))
-                places.append(np.arange(first))
-            counts = [len(x) for x in chosen]
-            which = np.repeat(np.arange(len(counts)), counts)
-            ids = np.asarray(part.column("id"))[which]
-            salt = np.where(np.concatenate(flags), 1 + (tokens.mix(ids.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32), 0)
-            yield pa.RecordBatch.from_pydict({"s": pa.array(np.concatenate(chosen).view(np.int64)), "salt": pa.array(salt.astype(np.int32)), "id": pa.array(ids), "n": pa.array(np.array(sizes, np.int32)[which]), "pos": pa.array(np.concatenate(places).astype(np.int32))})
-
-
-def _shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterator[pa.RecordBatch], k: int, count: int) -> Iterator[pa.RecordBatch]:
+    def parts():
+        for rows in batches:
+            for part in tokens.batches(rows, "t"):
+                sets = list(_sets(part.column("t"), k))
+                n = np.array([len(x) for x in sets])
+                yield np.concatenate(sets), np.repeat(np.arange(len(n)), n), np.zeros(0, np.int32), np.asarray(part.column("id")), n
+
+    return blocks.packed(parts(), count)
+
+
+def _shared(block: pa.Table) -> pa.Table:
+    """The entries of columns that several documents have, with the column's document frequency."""
+    column, ids, n, _ = blocks.unpacked(block)
+    new = np.concatenate([[True], (column[1:] != column[:-1]) | (ids[1:] != ids[:-1])])  # a row may stand twice in the table
+    column, ids, n = column[new], ids[new], n[new]
+    _, df = blocks.runs(column)
+    keep = np.repeat(df > 1, df)
+    return pa.table({"id": ids[keep], "df": np.repeat(df, df)[keep].astype(np.int32), "s": column[keep].view(np.int64), "n": n[keep]})
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, n and columns of each document, of entries sorted by document. A document's entries may lie in several batches."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def out(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        begins, counts = blocks.runs(x[0])
+        ends = pa.array(np.append(begins, len(x[0])).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(x[0][begins]), pa.array(x[1][begins]), pa.ListArray.from_arrays(ends, pa.array(x[2]))], ["id", "n", "columns"])
+
     for rows in batches:
-        for part in tokens.batches(rows, "t"):
-            sets = list(_sets(part.column("t"), k))
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "grams": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))})
+        if not rows.num_rows:
+            continue
+        x = tuple(np.asarray(rows.column(c)) for c in ("id", "n", "s"))
+        cut = int(np.searchsorted(x[0], x[0][-1]))
+        if cut or (held and held[-1][0][-1] != x[0][0]):
+            held.append(tuple(v[:cut] for v in x))
+            yield out(tuple(np.concatenate(v) for v in zip(*held, strict=True)))
+            held = []
+        held.append(tuple(v[cut:] for v in x))
+    if held:
+        yield out(tuple(np.concatenate(v) for v in zip(*held, strict=True)))
+
+
+def _asked(a: Column, b: Column, percent: int) -> Column:
+    """The least overlap of two linked sets of these sizes: percent / (100 + percent) of both."""
+    return F.ceil(percent * (a + b).cast("long") / (100 + percent)).cast("int")
 
 
 def _may_link(n1: str, p1: str, n2: str, p2: str, percent: int) -> Column:
-    """Whether sizes and places in the order leave room for the overlap that percent asks for: percent / (100 + percent) of both sizes."""
+    """Whether sizes, and places in the order, leave room for the overlap that is asked for."""
     a, b, i, j = (F.col(c) for c in (n1, n2, p1, p2))
     most = F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1)
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * most.cast("long") >= percent * (a + b).cast("long"))
-
-
-def _linked(pairs: DataFrame, keys: DataFrame, nodes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Those of the pairs (a, b) whose overlap reaches percent of the union.
-
-    The columns of the first block are counted first: keys has, of each node, those that another node shares. A node whose
-    prefix ends first, in the global order, can share no more than these and what it has beyond its prefix. Texts are read, and
-    all columns counted, for pairs only that this bound leaves.
-    """
-    one, two = (keys.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("keys").alias(f"{c}_keys")) for c in "ab")
-    both = pairs.distinct().join(one, "a").join(two, "b")
-    beyond = lambda n: n - _prefix_length(n, percent)
-    most = F.size(F.array_intersect("a_keys", "b_keys")) + F.greatest(beyond(F.col("a_n")), beyond(F.col("b_n")))
-    left = scratch.put(both.where((100 + percent) * most.cast("long") >= percent * (F.col("a_n") + F.col("b_n")).cast("long")).select("a", "b"))
-    wanted = small(scratch.put(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct()))
-    sets = scratch.put(nodes.join(wanted, "id", "left_semi").mapInArrow(lambda b: _shingles(b, k), "id long, grams array<long>"))
-    one, two = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "ab")
-    both = left.join(one, "a").join(two, "b")
-    overlap = F.size(F.array_intersect("a_grams", "b_grams"))
-    union = F.size("a_grams") + F.size("b_grams") - overlap
-    found = scratch.put(both.where(100 * overlap.cast("long") >= percent * union.cast("long")).select("a", "b"))
-    scratch.drop(sets)
-    return found
-
-
-def _prefix_length(n: Column, percent: int) -> Column:
-    return n - F.ceil(n * percent / 100).cast("int") + 1
-
-
-def _mixed(entries: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
-    """Entries (s, id, n, pos, part) of columns that hold several components, with one entry (b, b_n, b_pos, b_part) that hashing picks, and the column's size."""
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (most >= _asked(a, b, percent))
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose overlap reaches what is asked for; products are added up part by part, rarest columns first."""
+    one, two = (rows.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("columns").alias(f"{c}_columns")) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b").withColumn("asked", _asked(F.col("a_n"), F.col("b_n"), percent))
+    size = F.size("a_columns")
+    step = F.ceil(size / PARTS).cast("int")
+
+    def add(count: Column, i: Column) -> Column:
+        left = F.least(size - i * step, F.size("b_columns") - count)
+        product = F.size(F.array_intersect(F.slice("a_columns", i * step + 1, F.greatest(step, F.lit(1))), "b_columns"))
+        return F.when(count + left < F.col("asked"), count).otherwise(count + product)
+
+    overlap = F.aggregate(F.sequence(F.lit(0), F.lit(PARTS - 1)), F.lit(0), add)
+    return both.where(overlap >= F.col("asked")).select("a", "b")
+
+
+def _firsts(entries: DataFrame, parts: DataFrame | None, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents in different components: b is one document of a column, a is any other. Of a document's pairs, that of most columns."""
+    if parts is None:  # the row that has fewest rarer columns: of a group of like texts, the one with fewest words of its own
+        placed, order = entries.withColumn("part", F.col("id")), F.struct("pos", "id")
+    else:
+        placed = entries.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+        order = F.struct(F.xxhash64(F.lit(turn), "part"), "pos", F.xxhash64(F.lit(turn), "id"))
+    pick = F.min_by(F.struct("id", "n", "pos", "part"), order).alias("p")
+    columns = placed.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size"), pick)
+    columns = columns.where("low < high" + ("" if parts is None else f" AND size > {LONG_COLUMN}"))
+    columns = columns.select("s", *[F.col(f"p.{c}").alias(f"b_{c}") for c in ("id", "n", "pos", "part")])
+    met = placed.join(columns, "s").where(F.col("part") != F.col("b_part")).where(_may_link("n", "pos", "b_n", "b_pos", percent))
+    met = met.groupBy(F.col("id").alias("a"), F.col("b_id").alias("b")).agg(F.count("*").alias("times"))
+    return met.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+
+
+def _rest(entries: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of documents in different components that meet in a column of their first blocks and can still link. The number of
+    columns that they meet in is their first blocks' overlap: it and the columns that either has beyond bound the whole."""
     placed = entries.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-    pick = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("x"), "id", "n", "pos", "part")).alias("p")
-    columns = placed.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size"), pick).where("low < high")
-    columns = columns.select("s", "size", F.col("p.id").alias("b"), F.col("p.n").alias("b_n"), F.col("p.pos").alias("b_pos"), F.col("p.part").alias("b_part"))
-    return placed.join(columns, "s")
+    columns = placed.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("s")
+    # sizes of linked sets lie in one band or in neighbours
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    mixed = placed.join(columns, "s", "left_semi").select("s", "id", "n", "pos", "part", "first", band.alias("band"))
+    other = mixed.select("s", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "part", "first")], F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
+    smaller = (F.col("n") < F.col("b_n")) | ((F.col("n") == F.col("b_n")) & (F.col("id") < F.col("b_id")))
+    met = mixed.join(other, ["s", "band"]).where(smaller & (F.col("part") != F.col("b_part")) & _may_link("n", "pos", "b_n", "b_pos", percent))
+    pairs = met.groupBy(F.col("id").alias("a"), F.col("b_id").alias("b")).agg(F.count("*").alias("met"), F.first("n").alias("a_n"), F.first("b_n").alias("b_n"), F.first("first").alias("a_first"), F.first("b_first").alias("b_first"))
+    # whose block ends first in the global order has no common column elsewhere in the other's block
+    most = F.col("met") + F.greatest(F.col("a_n") - F.col("a_first"), F.col("b_n") - F.col("b_first"))
+    return pairs.where(most >= _asked(F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -133,46 +161,45 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     one for one. doc_id should name one text: where it has several, each row gets the component of its own text.
     Rows without doc_id have no links and no component.
 
-    Sets that are equal are one node. In each column, all nodes are first compared with one of them: a group of like
-    texts takes a comparison per member, not one per pair. Only pairs that stand in one column but in different
+    Sets that are equal are one row of the matrix. In each column, all rows are first compared with one of them: a group of like
+    texts takes a comparison per member, not one per pair. Only rows that meet in one column but are in different
     components after that are compared with each other, so no link between components is lost.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("t")).withColumn("th", F.xxhash64("t"))
-    seen = scratch.put(texts.mapInArrow(lambda b: _profile(b, k), "kind int, id long, th long, n int, h1 long, h2 long"))
-    frequent = seen.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("docs")).where(F.col("docs") > HOT_DOCS).orderBy(F.desc("docs"), "h1").limit(HOT_GRAMS)
-    hot = spark.sparkContext.broadcast(np.sort(np.array([r["h1"] for r in frequent.select("h1").collect()], np.int64).view(np.uint64)))  # HOT_GRAMS at most
-    rows = seen.where("kind = 0").drop("kind")
-    classes = scratch.put(rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
-    copies = rows.join(classes.where("copies > 1"), ["h1", "h2", "n"]).where("id <> node").select("id", "th")
+    seen = scratch.put(texts.mapInArrow(lambda b: _profile(b, k), "id long, th long, n int, h1 long, h2 long"))
+    known = seen.where("n > 0 AND id IS NOT NULL")
+    classes = scratch.put(known.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.sum("n").alias("entries")))
+    copies = known.join(classes.where("copies > 1"), ["h1", "h2", "n"]).where("id <> node").select("id", "th")
     nodes = texts.where("id IS NOT NULL").join(small(scratch.put(copies)), ["id", "th"], "left_anti")
 
-    prefixes = nodes.mapInArrow(lambda b: _prefixes(b, k, percent, hot.value), "s long, salt int, id long, n int, pos int")
-    sorted_rows = prefixes.repartition("s", "salt").sortWithinPartitions("s", "salt", "id")
-    entries = scratch.put(sorted_rows.mapInArrow(lambda b: shared_rows(b, ["id", "n", "pos"]), "s long, salt int, id long, n int, pos int, first_id long, first_n int, first_pos int"))
-    keys = scratch.put(entries.groupBy("id").agg(F.min("n").alias("n"), F.collect_set("s").alias("keys")))
+    count = blocks.block_count(classes.agg(F.sum("n")).first()[0] or 0)
+    matrix = nodes.mapInArrow(lambda b: _entries(b, k, count), blocks.SCHEMA)
+    shared = matrix.groupBy("block").applyInArrow(_shared, "id long, df int, s long, n int")
+    rows = shared.repartition("id").sortWithinPartitions("id", "df", "s").mapInArrow(_rows, "id long, n int, columns array<long>")
+    rows = scratch.put(rows)
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return _linked(pairs, keys, nodes, k, percent, scratch)
+    # columns that no other document has come first in the order, and fill some of the first block
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    own = F.col("n") - F.size("columns")
+    entries = rows.withColumn("first", first).withColumn("own", own).where("first > own")
+    entries = entries.select("id", "n", "first", "own", F.posexplode(F.slice("columns", F.lit(1), F.col("first") - F.col("own"))).alias("i", "s"))
+    entries = scratch.put(entries.select("s", "id", "n", (F.col("own") + F.col("i")).alias("pos"), "first"))
 
-    star = entries.where(F.col("id") != F.col("first_id")).where(_may_link("n", "pos", "first_n", "first_pos", percent)).select(F.col("id").alias("a"), F.col("first_id").alias("b"))
-    links = linked(star)
+    links = scratch.put(_linked(scratch.put(_firsts(entries, None, 0, percent)), rows, percent))
     parts = components(links, scratch)
-    entries = entries.select("s", "id", "n", "pos")
-    for turn in range(ROUNDS):
-        mixed = scratch.put(_mixed(entries, parts, turn).where(F.col("size") > LONG_COLUMN))
-        if mixed.isEmpty():
+    for turn in range(1, ROUNDS + 1):
+        pairs = scratch.put(_firsts(entries, parts, turn, percent))
+        found = scratch.put(_linked(pairs, rows, percent))
+        if 10 * found.count() < pairs.count() or found.isEmpty():  # what is left are few links among many pairs
+            links = links.unionByName(found)
             break
-        pairs = mixed.where(F.col("part") != F.col("b_part")).where(_may_link("n", "pos", "b_n", "b_pos", percent)).select(F.col("id").alias("a"), "b")
-        links = scratch.put(links.unionByName(linked(pairs)), instead_of=links)
+        links = scratch.put(links.unionByName(found), instead_of=links)
         parts = components(links, scratch)
-    mixed = scratch.put(_mixed(entries, parts, ROUNDS).select("s", "id", "n", "pos", "part"))
-    other = mixed.select("s", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "part")])
-    pairs = mixed.join(other, "s").where((F.col("id") < F.col("b_id")) & (F.col("part") != F.col("b_part")))
-    pairs = pairs.where(_may_link("n", "pos", "b_n", "b_pos", percent)).select(F.col("id").alias("a"), F.col("b_id").alias("b"))
-    parts = components(links.unionByName(linked(pairs)), scratch)
-    found = rows.join(classes.select("h1", "h2", "n", "node"), ["h1", "h2", "n"], "left").join(parts.select(F.col("id").alias("node"), "component"), "node", "left")
+    links = links.unionByName(_linked(scratch.put(_rest(entries, parts, percent)), rows, percent))
+    parts = components(links, scratch)
+    found = seen.join(classes.select("h1", "h2", "n", "node"), ["h1", "h2", "n"], "left").join(parts.select(F.col("id").alias("node"), "component"), "node", "left")
     return found.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component_id"))
 
 
