@@ -1,7 +1,7 @@
 """The sparse incidence matrix of documents by n-grams, in blocks of columns.
 
 An entry is (column, document). A pack of documents gives its entries of one block of columns as one row of plain
-bytes, so that the matrix crosses the shuffle at about 10 bytes an entry. A block is a range of column hashes, sized by
+bytes, so that the matrix crosses the shuffle at 9 to 12 bytes an entry. A block is a range of column hashes, sized by
 the number of all entries: a task holds one block at a time, however large the corpus is.
 """
 
@@ -14,16 +14,16 @@ import pyarrow as pa
 
 #: Entries of one block, and of one pack over all blocks, about.
 BLOCK_ENTRIES, PACK_ENTRIES = 1 << 20, 1 << 19
-#: block, and of that block's entries: column hashes (sorted), each entry's document in the row's own numbering, other integers of each entry; the documents' ids and sizes.
-SCHEMA = "block int, columns binary, docs binary, places binary, ids binary, sizes binary"
+#: block, and of that block's entries, document by document: column hashes; places; and for each document: id and number of entries. least: the least of the ids, which the others are counted from.
+SCHEMA = "block int, least long, columns binary, places binary, ids binary, counts binary"
 
 
 def block_count(entries: int) -> int:
     return max(1, -(-entries // BLOCK_ENTRIES))
 
 
-def packed(parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], blocks: int) -> Iterator[pa.RecordBatch]:
-    """Rows of SCHEMA of parts (column hashes, document of each, place of each or nothing, ids of documents, sizes of documents)."""
+def packed(parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], blocks: int) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA of parts (column hashes, id of each entry's document, place of each or nothing)."""
     held: list[tuple[np.ndarray, ...]] = []
     entries = 0
     for part in parts:
@@ -36,43 +36,52 @@ def packed(parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
         yield _pack(held, blocks)
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """The values of x (none negative) in the least of 1, 2, 4 or 8 bytes each, after that number."""
+    most = int(x.max())
+    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64
+    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+
+
+def _wide(x: pa.Buffer) -> np.ndarray:
+    x = memoryview(x)
+    return np.frombuffer(x[1:], f"u{x[0]}").astype(np.int64)
+
+
 def _pack(parts: list[tuple[np.ndarray, ...]], blocks: int) -> pa.RecordBatch:
-    first = np.cumsum([0, *(len(p[3]) for p in parts)])
-    column, place, ids, sizes = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3, 4))
-    doc = np.concatenate([p[1] + a for p, a in zip(parts, first, strict=False)])
-    order = np.argsort(column)
-    column, doc, place = column[order], doc[order], place[order] if len(place) else np.zeros((len(order), 0), np.int32)
-    block = ((column >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+    column, ids, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    block = (((column >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int32)
+    order = np.lexsort((ids, block))
+    column, ids, block = column[order], ids[order], block[order]
     begins = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    ends = np.append(begins[1:], len(block))
-    docs, own_ids, own_sizes = [], [], []
-    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-        known, at = np.unique(doc[a:b], return_inverse=True)
-        docs.append(at.astype(np.uint32 if len(known) > 65535 else np.uint16).tobytes())
-        own_ids.append(ids[known].astype(np.int64).tobytes())
-        own_sizes.append(sizes[known].astype(np.int32).tobytes())
-    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(block[begins].astype(np.int32)), cut(column), pa.array(docs, pa.binary()), cut(place.astype(np.int32)), pa.array(own_ids, pa.binary()), pa.array(own_sizes, pa.binary())],
-        ["block", "columns", "docs", "places", "ids", "sizes"],
-    )
-
-
-def unpacked(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """column, id, size and place (none, or of each) of all entries of one block, sorted by column, id and place."""
-    parts: list[list[np.ndarray]] = [[], [], [], []]
-    for r in zip(*(block.column(c) for c in ("columns", "docs", "places", "ids", "sizes")), strict=True):
-        columns, docs, places, ids, sizes = (x.as_buffer() for x in r)
-        columns, ids = np.frombuffer(columns, np.uint64), np.frombuffer(ids, np.int64)
-        at = np.frombuffer(docs, np.uint32 if len(ids) > 65535 else np.uint16)
-        for part, x in zip(parts, (columns, ids[at], np.frombuffer(sizes, np.int32)[at], np.frombuffer(places, np.int32)), strict=True):
-            part.append(x)
-    column, ids, size, where = (np.concatenate(p) for p in parts)
-    order = np.lexsort((where, ids, column) if len(where) else (ids, column))
-    return column[order], ids[order], size[order], where[order] if len(where) else where
-
-
-def runs(column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each column of the sorted entries begins, and how many entries it has."""
-    begins = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]])) if len(column) else np.zeros(0, np.int64)
-    return begins, np.diff(np.append(begins, len(column)))
+    out: dict[str, list] = {c: [] for c in ("least", "columns", "places", "ids", "counts")}
+    place = place[order].astype(np.int64) if len(place) else place
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(block)], strict=True):
+        first, count = runs(ids[a:b])
+        own = ids[a:b][first]
+        out["least"].append(int(own[0]))
+        out["columns"].append(column[a:b].tobytes())
+        out["places"].append(_narrow(place[a:b]) if len(place) else b"")
+        out["ids"].append(_narrow((own.view(np.uint64) - own[:1].view(np.uint64))))
+        out["counts"].append(_narrow(count))
+    kinds = {"least": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(block[begins]), *[pa.array(v, kinds.get(c, pa.binary())) for c, v in out.items()]], ["block", *out])
+
+
+def unpacked(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """column, id and place (or nothing) of all entries of one block, sorted by column, id and place."""
+    columns, ids, places = [], [], []
+    for r in zip(*(block.column(c) for c in ("least", "columns", "places", "ids", "counts")), strict=True):
+        least, (own, place, docs, counts) = r[0].as_py(), (x.as_buffer() for x in r[1:])
+        columns.append(np.frombuffer(own, np.uint64))
+        ids.append(np.repeat(_wide(docs) + least, _wide(counts)))
+        places.append(_wide(place) if place.size else np.zeros(0, np.int64))
+    column, doc, place = (np.concatenate(x) for x in (columns, ids, places))
+    order = np.lexsort((place, doc, column) if len(place) else (doc, column))
+    return column[order], doc[order], place[order] if len(place) else place
+
+
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and how long it is."""
+    begins = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return begins, np.diff(np.append(begins, len(x)))

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,43 +22,38 @@ COSINE, TABLES, PROJECTIONS, WIDTH = 0.93, 16, 6, 1.5
 BLOCK = 512
 
 
-def _vectors(column: pa.Array) -> tuple[list[np.ndarray | None], np.ndarray]:
-    """Float64 vectors (None: null, empty, zero, or with null or non-finite components) and their lengths."""
-    out: list[np.ndarray | None] = []
-    lengths = np.zeros(len(column), np.int64)
-    for i, x in enumerate(column):
-        v = None if not x.is_valid or x.values.null_count else np.asarray(x.values, np.float64)
-        if v is not None and len(v) and np.isfinite(v).all() and v.any():
-            out.append(v)
-            lengths[i] = len(v)
-        else:
-            out.append(None)
-    return out, lengths
+def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and float64 vectors of each length, of rows that aren't null, empty or zero and have no null or non-finite components."""
+    sizes = np.where(np.asarray(column.is_valid()), np.asarray(pc.fill_null(pc.list_value_length(column), 0)), 0)
+    flat = column.flatten()
+    values = np.asarray(pc.fill_null(flat, float("nan")), np.float64)
+    starts = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    good = (np.bincount(row, ~np.isfinite(values), len(sizes)) == 0) & (np.bincount(row, values != 0, len(sizes)) > 0)
+    for n in np.unique(sizes[good]):
+        at = np.flatnonzero(good & (sizes == n))
+        yield at, values[starts[at][:, None] + np.arange(n)[None, :]]
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], tables: int, projections: int, width: float) -> Iterator[pa.RecordBatch]:
-    """id, label, v (unit vector), keys (the vector's bucket in each table). Unusable vectors and null labels are left out."""
+    """id, label, h1, h2, v (unit vector), keys (the vector's bucket in each table). Unusable vectors and null labels are left out."""
     directions: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for rows in batches:
-        vectors, lengths = _vectors(rows.column("v"))
-        labelled = np.asarray(rows.column("label").is_valid())
-        for n in np.unique(lengths[lengths > 0]):
-            at = np.flatnonzero((lengths == n) & labelled)
-            if not len(at):
-                continue
+        rows = rows.filter(rows.column("label").is_valid())
+        for at, x in _vectors(rows.column("v")):
+            n = x.shape[1]
             if n not in directions:
-                rng = np.random.Generator(np.random.PCG64(int(n)))
+                rng = np.random.Generator(np.random.PCG64(n))
                 directions[n] = rng.standard_normal((n, tables * projections)), rng.uniform(0, width, tables * projections), rng.integers(1, 2**63, (tables, projections)).astype(np.uint64) | np.uint64(1)
             a, b, odd = directions[n]
-            x = np.stack([vectors[i] / np.linalg.norm(vectors[i] / np.abs(vectors[i]).max()) / np.abs(vectors[i]).max() for i in at])
+            x = x / np.abs(x).max(axis=1)[:, None]  # no square overflows or vanishes
+            x = x / np.linalg.norm(x, axis=1)[:, None]
             cells = np.floor((x @ a + b) / width).astype(np.int64).reshape(len(at), tables, projections)
             with np.errstate(over="ignore"):
                 keys = (cells.view(np.uint64) * odd).sum(axis=2) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
             keys ^= keys >> np.uint64(29)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("id").take(pa.array(at)), rows.column("label").take(pa.array(at)).cast(pa.int64()), _lists(x, pa.float64()), _lists(keys.view(np.int64), pa.int64())],
-                ["id", "label", "v", "keys"],
-            )
+            own = [rows.column(c).take(pa.array(at)) for c in ("id", "label", "h1", "h2")]
+            yield pa.RecordBatch.from_arrays([*own, _lists(x, pa.float64()), _lists(keys.view(np.int64), pa.int64())], ["id", "label", "h1", "h2", "v", "keys"])
 
 
 def _lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -70,24 +66,17 @@ def _matrix(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
 
 
 def _compare(group: pa.Table, cosine: float) -> pa.Table:
-    """Links among the rows of one block, or between its two blocks: per vector the links found, and one link that keeps it connected.
+    """Links among the rows of one block, or between its two blocks: per vector the linked vectors (copies counted), and one link that keeps it connected.
 
     A pair that shares buckets of several tables counts in the first of them only.
     """
     t, left, right = (group.column(c)[0].as_py() for c in ("t", "left", "right"))
-    ids, block = np.asarray(group.column("id")), np.asarray(group.column("block"))
+    ids, block, copies = (np.asarray(group.column(c)) for c in ("id", "block", "copies"))
     x, keys = _matrix(group.column("v"), np.float64), _matrix(group.column("keys"), np.int64)
     a = np.flatnonzero(block == left)
     b = a if left == right else np.flatnonzero(block == right)
     count = np.zeros(len(ids), np.int64)
     root = np.arange(len(ids))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     for begin in range(0, len(a), BLOCK):  # a block of one bucket may hold more rows than BLOCK by chance
         own = a[begin : begin + BLOCK]
         i, j = np.nonzero(x[own] @ x[b].T >= cosine)
@@ -95,15 +84,20 @@ def _compare(group: pa.Table, cosine: float) -> pa.Table:
         if left == right:
             i, j = i[i < j], j[i < j]
         new = ~(keys[i, :t] == keys[j, :t]).any(axis=1)
-        np.add.at(count, i[new], 1)
-        np.add.at(count, j[new], 1)
-        for p, q in zip(i.tolist(), j.tolist(), strict=True):
-            p, q = top(p), top(q)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-    roots = np.array([top(i) for i in range(len(ids))], np.int64)
-    keep = (count > 0) | (roots != np.arange(len(ids)))
-    return pa.table({"id": ids[keep], "n": count[keep], "other": ids[roots[keep]]})
+        np.add.at(count, i[new], copies[j[new]])
+        np.add.at(count, j[new], copies[i[new]])
+        while True:  # each row takes the least row that its links reach
+            low = np.minimum(root[i], root[j])
+            before = root.copy()
+            np.minimum.at(root, i, low)
+            np.minimum.at(root, j, low)
+            np.minimum.at(root, before[i], low)
+            np.minimum.at(root, before[j], low)
+            root = root[root]
+            if (root == before).all():
+                break
+    keep = (count > 0) | (root != np.arange(len(ids)))
+    return pa.table({"id": ids[keep], "n": count[keep], "other": ids[root[keep]]})
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> DataFrame:
@@ -112,16 +106,21 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     Vectors of equal label and length are linked if their cosine in double precision reaches the threshold. Of pairs at
     the very threshold 0.93, 16 tables of 6 projections and width 1.5 find about 99 %, of closer pairs more. Vectors
     that are null, empty or zero or hold null or non-finite components, and those without label, have no links.
-    vec_id must be unique and not null: it names the vectors that are linked.
+    vec_id should be unique and not null, as it names the vectors that are linked: rows are kept one for one, but those
+    without vec_id have no links, and several rows of one vec_id count as one vector each time they are met.
 
-    A bucket of any size is compared in blocks of about BLOCK vectors, each pair of blocks in a group of its own; links
-    are summed in these groups, so that no pair becomes a row. The cost of a bucket grows with the square of its rows.
+    Equal vectors are one class with a number of copies, which is compared once. A bucket of any size is compared in
+    blocks of about BLOCK classes, each pair of blocks in a group of its own; links are summed in these groups, so that
+    no pair becomes a row. The cost of a bucket grows with the square of its different vectors.
     """
     scratch = Scratch(vectors.sparkSession, "embedding-dedup")
     rows = vectors.select(packed(vectors).alias("row"), vectors["vec_id"].alias("id"))
-    plain = vectors.select(vectors["vec_id"].alias("id"), vectors["label"].alias("label"), vectors["embedding"].alias("v"))
-    hashed = scratch.put(plain.mapInArrow(lambda b: _buckets(b, tables, projections, width), "id long, label long, v array<double>, keys array<long>"))
-    places = hashed.select("id", "label", F.posexplode("keys").alias("t", "key"))
+    plain = vectors.select(vectors["vec_id"].cast("long").alias("id"), vectors["label"].cast("long").alias("label"), vectors["embedding"].cast("array<double>").alias("v"))
+    plain = plain.where("id IS NOT NULL").withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
+    hashed = scratch.put(plain.mapInArrow(lambda b: _buckets(b, tables, projections, width), "id long, label long, h1 long, h2 long, v array<double>, keys array<long>"))
+    classes = scratch.put(hashed.groupBy("label", "h1", "h2").agg(F.min("id").alias("node"), F.count_distinct("id").alias("copies")))
+    nodes = scratch.put(hashed.join(classes, ["label", "h1", "h2"]).where("id = node").dropDuplicates(["id"]).select("id", "label", "v", "keys", "copies"))
+    places = nodes.select("id", "label", F.posexplode("keys").alias("t", "key"))
     sizes = places.groupBy("label", "t", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
     sizes = small(scratch.put(sizes.drop("size")))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -129,12 +128,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     # block i stands in the groups (i, i), (i, j) and (j, i)
     pairs = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("id", "label", "t", "key", "block", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"))
-    full = pairs.join(hashed.select("id", "v", "keys"), "id")
+    full = pairs.join(nodes.select("id", "v", "keys", "copies"), "id")
     found = full.groupBy("label", "t", "key", "left", "right").applyInArrow(lambda g: _compare(g, cosine), "id long, n long, other long")
     found = scratch.put(found)
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
-    classes = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")), scratch)
-    both = rows.join(links, "id", "left").join(classes, "id", "left")
+    parts = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")), scratch)
+    of_nodes = classes.join(links, classes["node"] == links["id"], "left").drop("id").join(parts, F.col("node") == F.col("id"), "left").drop("id")
+    of_nodes = of_nodes.select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("component"))
+    members = hashed.join(of_nodes, ["label", "h1", "h2"]).groupBy("id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
+    both = rows.join(members, "id", "left")
     first = F.coalesce("component", "id")
     return with_columns(both, "row", n_links=F.coalesce("n", F.lit(0)).cast("long"), component_id=first, kept=F.coalesce(first == F.col("id"), F.lit(True)))
 

@@ -53,34 +53,36 @@ def _entries(batches: Iterator[pa.RecordBatch], k: int, count: int) -> Iterator[
             for part in tokens.batches(rows, "t"):
                 sets = list(_sets(part.column("t"), k))
                 n = np.array([len(x) for x in sets])
-                yield np.concatenate(sets), np.repeat(np.arange(len(n)), n), np.zeros(0, np.int32), np.asarray(part.column("id")), n
+                yield np.concatenate(sets), np.repeat(np.asarray(part.column("id")), n), np.zeros(0, np.int64)
 
     return blocks.packed(parts(), count)
 
 
 def _shared(block: pa.Table) -> pa.Table:
     """The entries of columns that several documents have, with the column's document frequency."""
-    column, ids, n, _ = blocks.unpacked(block)
+    column, ids, _ = blocks.unpacked(block)
     new = np.concatenate([[True], (column[1:] != column[:-1]) | (ids[1:] != ids[:-1])])  # a row may stand twice in the table
-    column, ids, n = column[new], ids[new], n[new]
+    column, ids = column[new], ids[new]
     _, df = blocks.runs(column)
     keep = np.repeat(df > 1, df)
-    return pa.table({"id": ids[keep], "df": np.repeat(df, df)[keep].astype(np.int32), "s": column[keep].view(np.int64), "n": n[keep]})
+    return pa.table({"id": ids[keep], "df": np.repeat(df, df)[keep].astype(np.int32), "s": column[keep].view(np.int64)})
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, n and columns of each document, of entries sorted by document. A document's entries may lie in several batches."""
+    """id, n and columns of each document, of entries sorted by document, its size (df = 0, s = size) before its columns. They may lie in several batches."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def out(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        begins, counts = blocks.runs(x[0])
-        ends = pa.array(np.append(begins, len(x[0])).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(x[0][begins]), pa.array(x[1][begins]), pa.ListArray.from_arrays(ends, pa.array(x[2]))], ["id", "n", "columns"])
+        ids, df, s = x
+        at = blocks.runs(ids)[0]
+        column = df > 0
+        ends = np.concatenate([[0], np.cumsum(np.add.reduceat(column, at))]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(s[at].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(s[column]))], ["id", "n", "columns"])
 
     for rows in batches:
         if not rows.num_rows:
             continue
-        x = tuple(np.asarray(rows.column(c)) for c in ("id", "n", "s"))
+        x = tuple(np.asarray(rows.column(c)) for c in ("id", "df", "s"))
         cut = int(np.searchsorted(x[0], x[0][-1]))
         if cut or (held and held[-1][0][-1] != x[0][0]):
             held.append(tuple(v[:cut] for v in x))
@@ -96,10 +98,11 @@ def _asked(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b).cast("long") / (100 + percent)).cast("int")
 
 
-def _may_link(n1: str, p1: str, n2: str, p2: str, percent: int) -> Column:
-    """Whether sizes, and places in the order, leave room for the overlap that is asked for."""
-    a, b, i, j = (F.col(c) for c in (n1, n2, p1, p2))
-    most = F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1)
+def _may_link(percent: int) -> Column:
+    """Whether sizes, and the places in the order of a column that both have, leave room for the overlap that is asked for. Columns that one
+    document alone has (own) come before all others and are in no overlap."""
+    a, b, i, j, x, y = (F.col(f"{p}{c}") for c in ("n", "pos", "own") for p in ("", "b_"))
+    most = F.least(i - x, j - y) + 1 + F.least(a - i - 1, b - j - 1)
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (most >= _asked(a, b, percent))
 
 
@@ -126,11 +129,11 @@ def _firsts(entries: DataFrame, parts: DataFrame | None, turn: int, percent: int
     else:
         placed = entries.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
         order = F.struct(F.xxhash64(F.lit(turn), "part"), "pos", F.xxhash64(F.lit(turn), "id"))
-    pick = F.min_by(F.struct("id", "n", "pos", "part"), order).alias("p")
+    pick = F.min_by(F.struct("id", "n", "pos", "own", "part"), order).alias("p")
     columns = placed.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size"), pick)
     columns = columns.where("low < high" + ("" if parts is None else f" AND size > {LONG_COLUMN}"))
-    columns = columns.select("s", *[F.col(f"p.{c}").alias(f"b_{c}") for c in ("id", "n", "pos", "part")])
-    met = placed.join(columns, "s").where(F.col("part") != F.col("b_part")).where(_may_link("n", "pos", "b_n", "b_pos", percent))
+    columns = columns.select("s", *[F.col(f"p.{c}").alias(f"b_{c}") for c in ("id", "n", "pos", "own", "part")])
+    met = placed.join(columns, "s").where(F.col("part") != F.col("b_part")).where(_may_link(percent))
     met = met.groupBy(F.col("id").alias("a"), F.col("b_id").alias("b")).agg(F.count("*").alias("times"))
     return met.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
 
@@ -142,10 +145,10 @@ def _rest(entries: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     columns = placed.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("s")
     # sizes of linked sets lie in one band or in neighbours
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    mixed = placed.join(columns, "s", "left_semi").select("s", "id", "n", "pos", "part", "first", band.alias("band"))
-    other = mixed.select("s", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "part", "first")], F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
+    mixed = placed.join(columns, "s", "left_semi").select("s", "id", "n", "pos", "own", "part", "first", band.alias("band"))
+    other = mixed.select("s", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "own", "part", "first")], F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
     smaller = (F.col("n") < F.col("b_n")) | ((F.col("n") == F.col("b_n")) & (F.col("id") < F.col("b_id")))
-    met = mixed.join(other, ["s", "band"]).where(smaller & (F.col("part") != F.col("b_part")) & _may_link("n", "pos", "b_n", "b_pos", percent))
+    met = mixed.join(other, ["s", "band"]).where(smaller & (F.col("part") != F.col("b_part")) & _may_link(percent))
     pairs = met.groupBy(F.col("id").alias("a"), F.col("b_id").alias("b")).agg(F.count("*").alias("met"), F.first("n").alias("a_n"), F.first("b_n").alias("b_n"), F.first("first").alias("a_first"), F.first("b_first").alias("b_first"))
     # whose block ends first in the global order has no common column elsewhere in the other's block
     most = F.col("met") + F.greatest(F.col("a_n") - F.col("a_first"), F.col("b_n") - F.col("b_first"))
@@ -170,13 +173,14 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("t")).withColumn("th", F.xxhash64("t"))
     seen = scratch.put(texts.mapInArrow(lambda b: _profile(b, k), "id long, th long, n int, h1 long, h2 long"))
     known = seen.where("n > 0 AND id IS NOT NULL")
-    classes = scratch.put(known.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.sum("n").alias("entries")))
+    classes = scratch.put(known.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
     copies = known.join(classes.where("copies > 1"), ["h1", "h2", "n"]).where("id <> node").select("id", "th")
     nodes = texts.where("id IS NOT NULL").join(small(scratch.put(copies)), ["id", "th"], "left_anti")
 
     count = blocks.block_count(classes.agg(F.sum("n")).first()[0] or 0)
     matrix = nodes.mapInArrow(lambda b: _entries(b, k, count), blocks.SCHEMA)
-    shared = matrix.groupBy("block").applyInArrow(_shared, "id long, df int, s long, n int")
+    shared = matrix.groupBy("block").applyInArrow(_shared, "id long, df int, s long")
+    shared = shared.unionByName(classes.select(F.col("node").alias("id"), F.lit(0).alias("df"), F.col("n").cast("long").alias("s")))
     rows = shared.repartition("id").sortWithinPartitions("id", "df", "s").mapInArrow(_rows, "id long, n int, columns array<long>")
     rows = scratch.put(rows)
 
@@ -185,7 +189,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     own = F.col("n") - F.size("columns")
     entries = rows.withColumn("first", first).withColumn("own", own).where("first > own")
     entries = entries.select("id", "n", "first", "own", F.posexplode(F.slice("columns", F.lit(1), F.col("first") - F.col("own"))).alias("i", "s"))
-    entries = scratch.put(entries.select("s", "id", "n", (F.col("own") + F.col("i")).alias("pos"), "first"))
+    entries = scratch.put(entries.select("s", "id", "n", (F.col("own") + F.col("i")).alias("pos"), "own", "first"))
 
     links = scratch.put(_linked(scratch.put(_firsts(entries, None, 0, percent)), rows, percent))
     parts = components(links, scratch)

@@ -22,6 +22,9 @@ BUCKET_BITS, FACTORS = 20, 4
 SAMPLE_ROWS = 12_000
 #: Terms kept: in so many sampled texts, and so many deviations off the share of label 1; the MAX_TERMS furthest off.
 MIN_TEXTS, MIN_DEVIATIONS, MAX_TERMS = 4, 5.0, 2_000
+#: Terms that say nothing alone: of the kept ones and the FREQUENT_TERMS in most texts, all pairs are counted; both terms of a pair in so many
+#: texts are kept if its share of label 1 is so many deviations off what the two add up to.
+FREQUENT_TERMS, MIN_PAIR_TEXTS, MIN_PAIR_DEVIATIONS = 2_000, 8, 7.0
 EPOCHS, RATE, L1, L2 = 300, 0.2, 2e-4, 1e-3
 
 
@@ -61,15 +64,41 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _deviations(n: np.ndarray, ones: np.ndarray, p: np.ndarray | float) -> np.ndarray:
+    return np.abs(ones - n * p) / np.sqrt(np.maximum(n, 1) * p * (1 - p))
+
+
 def chosen_terms(text: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Buckets whose share of label 1 is far off the mean."""
+    """Buckets whose share of label 1 is far off the mean, and those of pairs whose share is far off what their two shares add up to."""
     known, at = np.unique(bucket, return_inverse=True)
     n = np.bincount(at, minlength=len(known))
     ones = np.bincount(at, y[text], len(known))
     p = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
-    off = np.abs(ones - n * p) / np.sqrt(np.maximum(n, 1) * p * (1 - p))
-    good = np.flatnonzero((n >= MIN_TEXTS) & (off >= MIN_DEVIATIONS))
-    return np.sort(known[good[np.argsort(-off[good], kind="stable")[:MAX_TERMS]]])
+    off = _deviations(n, ones, p)
+    alone = np.flatnonzero((n >= MIN_TEXTS) & (off >= MIN_DEVIATIONS))
+    alone = alone[np.argsort(-off[alone], kind="stable")[:MAX_TERMS]]
+    often = np.argsort(-n, kind="stable")[:FREQUENT_TERMS]
+    asked = np.union1d(alone, often[n[often] >= MIN_PAIR_TEXTS])
+    place = np.full(len(known), -1)
+    place[asked] = np.arange(len(asked))
+    held = place[at] >= 0
+    text, term = text[held], place[at[held]]
+    both, toxic = (np.zeros((len(asked), len(asked)), np.float32) for _ in range(2))
+    for a in range(0, len(y), 1_000):  # a thousand texts at once
+        own = (text >= a) & (text < a + 1_000)
+        x = np.zeros((min(1_000, len(y) - a), len(asked)), np.float32)
+        x[text[own] - a, term[own]] = 1
+        both += x.T @ x
+        x1 = x[y[a : a + 1_000] > 0]
+        toxic += x1.T @ x1
+    share = ones[asked] / np.maximum(n[asked], 1)
+    found = np.zeros(len(asked), bool)
+    for i in range(len(asked)):  # a row of the table of pairs at once
+        added = np.clip(share[i] + share - p, 0.01, 0.99)
+        far = (both[i] >= MIN_PAIR_TEXTS) & (_deviations(both[i], toxic[i], added) >= MIN_PAIR_DEVIATIONS)
+        far[i] = False
+        found[i] |= far.any()
+    return np.sort(known[np.union1d(alone, asked[found])])
 
 
 def fit(text: np.ndarray, bucket: np.ndarray, y: np.ndarray, seed: int = 7) -> FactorizationMachine:
@@ -105,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Factor
 
     Where one doc_id has several labels, the greatest counts; null labels and ids don't. Labels are drawn first, by
     hash, so that `rows` is about what is read further. Statistics of the terms are made by Spark; the driver gets
-    MAX_TERMS buckets at most, and which of the sampled texts have them.
+    MAX_TERMS + FREQUENT_TERMS buckets at most, and which of the sampled texts have them.
     """
     known = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("label") != 0).cast("int")).alias("y"))
     n = known.count()
@@ -120,19 +149,18 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Factor
         p = min(max(total["ones"] / total["n"], 1e-6), 1 - 1e-6)
         by = sampled.where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("y").alias("ones")).where(F.col("n") >= MIN_TEXTS)
         off = F.abs(F.col("ones") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-        wanted = by.where(off >= MIN_DEVIATIONS).orderBy(off.desc(), "bucket").limit(MAX_TERMS).select("bucket")
-        rows_of = sampled.where("bucket IS NULL").select("k", "y").collect()
-        seen = sampled.join(F.broadcast(wanted), "bucket").select("k", "bucket").collect()
+        alone = by.where(off >= MIN_DEVIATIONS).orderBy(off.desc(), "bucket").limit(MAX_TERMS).select("bucket")
+        often = by.orderBy(F.desc("n"), "bucket").limit(FREQUENT_TERMS).select("bucket")
+        wanted = alone.unionByName(often).distinct()
+        rows_of = sampled.where("bucket IS NULL").select("k", "y").toArrow()
+        seen = sampled.join(F.broadcast(wanted), "bucket").select("k", "bucket").toArrow()
     finally:
         sampled.unpersist()
-    place: dict[int, int] = {}
-    y = []
-    for r in sorted(rows_of):
-        if r["k"] not in place:
-            place[r["k"]] = len(y)
-            y.append(r["y"])
-    both = np.array(sorted({(place[r["k"]], r["bucket"]) for r in seen}), np.int64).reshape(-1, 2)
-    return fit(both[:, 0], both[:, 1], np.array(y, float))
+    keys, y = np.asarray(rows_of["k"]), np.asarray(rows_of["y"])
+    order = np.lexsort((y, keys))
+    known, first = np.unique(keys[order], return_index=True)  # a row may stand twice in the table
+    both = np.unique(np.stack([np.searchsorted(known, np.asarray(seen["k"])), np.asarray(seen["bucket"])], 1).astype(np.int64).reshape(-1, 2), axis=0)
+    return fit(both[:, 0], both[:, 1], y[order][first].astype(float))
 
 
 def _sampled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
