@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirgate.llm.common import Scratch, table
+from weirgate.llm.common import Scratch, small, table
 from weirgate.llm.decontamination import mark_contamination
 from weirgate.llm.jaccard_join import near_duplicates
 from weirgate.llm.line_dedup import dedup_lines
@@ -16,37 +16,41 @@ from weirgate.llm.toxicity import learn_from_tables, score_toxicity
 TOXIC = 0.5
 
 
-def _documents(found: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
-    return found.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+def _held(docs: DataFrame, *columns: str) -> DataFrame:
+    """The given columns, and all of them as one struct, so that an operator's columns don't clash with the documents'."""
+    return docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("document"), *columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under TOXIC. The model learns from the labelled rows of the documents table, op10's fold of them."""
     model = learn_from_tables(spark, table(spark, sf_dir, "documents"), sf_dir)
-    named = docs.withColumnRenamed("score", "score of the document") if "score" in docs.columns else docs
-    kept = score_toxicity(named, model).where(F.col("score") < TOXIC).drop("score")
-    return kept.withColumnRenamed("score of the document", "score") if "score" in docs.columns else kept
+    return score_toxicity(_held(docs, "text"), model).where(F.col("score") < TOXIC).select("document.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their frequent lines, n_chars to match. All rows stay. Lines count by distinct texts: exact copies are left
-    whole for the Jaccard join, which keeps one of them."""
-    return _documents(dedup_lines(docs, by_text=True), docs, n_chars=F.char_length("text").cast("long"))
+    """Texts without their frequent lines, n_chars to match. All rows stay, and null texts stay null. Lines count by distinct texts:
+    exact copies are left whole for the Jaccard join, which keeps one of them."""
+    found = dedup_lines(_held(docs, "doc_id", "text"), by_text=True)
+    text = F.when(F.col("document")["text"].isNotNull(), F.col("text"))
+    changed = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return found.select(*[changed.get(c, F.col("document")[c]).alias(c) for c in docs.columns])
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the row with the least doc_id; of its rows that are equal in doc_id, the first by content.
-    Documents without shingles or doc_id are no duplicates of anything, and stay."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    firsts = found.where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.where("doc_id IS NOT NULL").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each component of near duplicates the row with the least doc_id; of rows that are equal in doc_id, the one whose content has
+    the least hash. Documents without shingles or doc_id are no duplicates of anything, and stay."""
+    scratch = Scratch(spark, "pipeline-jaccard")
+    found = scratch.put(near_duplicates(docs.select("doc_id", "text")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times")))
+    left = docs.join(small(scratch.put(found.where("doc_id <> component_id").select("doc_id"))), "doc_id", "left_anti").select(*docs.columns)
+    repeated = small(scratch.put(found.where("times > 1").select("doc_id")))
+    own = _held(left.join(repeated, "doc_id", "left_semi").select(*docs.columns), "doc_id")
+    firsts = own.groupBy("doc_id").agg(F.min_by("document", F.xxhash64("document")).alias("document")).select("document.*")
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(firsts)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    packed = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("document"), "doc_id", "text")
-    found = mark_contamination(packed, table(spark, sf_dir, "benchmark")).where("NOT contaminated")
+    found = mark_contamination(_held(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark")).where("NOT contaminated")
     return found.select("document.*")
 
 
