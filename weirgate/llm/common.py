@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,6 +31,8 @@ class Scratch:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="weirgate-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root}/{name}-{uuid.uuid4().hex}"
