@@ -1,5 +1,6 @@
 """Cases of the operators with their expected values, and windows against a sequential model."""
 
+import ipaddress
 import random
 from datetime import datetime
 
@@ -7,12 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirgate.config import DetectorConfig
-from weirgate.functions.net import public_ip
+from weirgate.functions.net import canonical_ip, public_ip
 from weirgate.functions.regex import lint, to_java
 from weirgate.functions.text import normalize_request, percent_decode, stable_event_id
 from weirgate.operators import alerting, detect, evaluate, matching, parse, stats
 from weirgate.sources import envelopes, logs
-from weirgate.sources.rules import default_rules, validate_rules
+from weirgate.sources.rules import active_rules, default_rules, validate_rules
 
 NGINX = '172.23.0.1 - - [16/Sep/2026:09:11:06 +0000] "GET /api/products?id=1%27%20OR%20%271%27%3D%271 HTTP/1.1" 200 15 "-" "curl/8.7.1" "shop.local" rt=0.123 sid="demo-1"'
 APACHE = '172.23.0.1 - - [16/Sep/2026:09:11:06 +0000] "GET /x HTTP/1.1" 404 236 "-" "Mozilla/5.0" "blog.local" rt_us=863 sid="demo-2"'
@@ -50,8 +51,16 @@ def test_text(spark):
 
 def test_ips(spark):
     ips = [("8.8.8.8", True), ("10.0.0.1", False), ("203.0.113.9", False), ("x", False), (None, False), ("256.1.1.1", False)]
-    got = spark.createDataFrame(ips, "ip string, want boolean").select(public_ip(F.col("ip")).alias("got"), "want").collect()
+    ips += [(x, not any(getattr(ipaddress.ip_address(x), f"is_{k}") for k in ("private", "loopback", "link_local", "reserved", "multicast", "unspecified"))) for x in V6]
+    got = spark.createDataFrame(ips, "ip string, want boolean").select("ip", public_ip(F.col("ip")).alias("got"), "want", canonical_ip(F.col("ip")).alias("canonical")).collect()
     assert all(r.got == r.want for r in got)
+    assert all(r.canonical == str(ipaddress.ip_address(r.ip)) for r in got if r.ip in V6)
+    lines = [(f"{x} - - rest of a line", "D.local") for x in ("2001:0DB8::0001", "1.2.3.4", "1::2::3", "x")]
+    keys = logs.raw_events(spark.createDataFrame(lines, "line string, domain string")).collect()
+    assert [r.key for r in keys] == ["d.local|2001:db8::1", "d.local|1.2.3.4", "d.local", "d.local"]
+
+
+V6 = ("::", "::1", "2001:4860:4860:0:0:0:0:8888", "FE80::1", "fc00::1", "2001:db8::1", "2002::1", "2001:20::1", "2001:3::5", "64:ff9b::8.8.8.8", "2606:4700:0:0:1:0:0:1", "2606:4700::0:1", "1:0:0:0:0:0:0:0", "2001:0:0:1:0:0:0:1", "ff02::1")
 
 
 @pytest.mark.parametrize(("path", "query", "agent", "groups"), [
@@ -111,6 +120,50 @@ def test_cooldown_recurrence(spark):
     assert detect.with_cooldown(df, "k", "s", "seq", 0).where("fired").count() == 6
 
 
+def test_cooldown_over_batches(spark):
+    """Keys whose seconds go over several Arrow batches, against the recurrence."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice("ab"), 3 * rng.randrange(2000)) for i in range(3000)] + [(9000, None, 5), (9001, None, 6)]
+    want, last = set(), {}
+    for seq, k, s in sorted(rows, key=lambda r: (r[2], r[0])):
+        if k not in last or s >= last[k] + 10:
+            last[k] = s
+            want.add(seq)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = {r.seq for r in detect.with_cooldown(spark.createDataFrame(rows, "seq long, k string, s long"), "k", "s", "seq", 10).where("fired").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == want
+
+
+def test_late_events_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(detect, "RANGE", 8)
+    rng = random.Random(13)
+    rows = [(rng.randrange(300) * 1000, f"1.1.1.{rng.randrange(2)}", "/", 200) for _ in range(200)]
+    got = {r.seq: r.late for r in detect.late_events(_requests(spark, rows)).collect()}
+    for i, (t, ip, _, _) in enumerate(rows):
+        assert got[i] == (t <= max(r[0] for r in rows[: i + 1] if r[1] == ip) - 60_000)
+
+
+def test_rule_snapshots(spark):
+    one = ("GOOD_ID", "g", "d", True, ["url"], "x", 50, [])
+    snapshots = [(1, [one]), (2, [("A", *one[1:])]), (150, [(None, *one[1:])]), (3, [one, one])]
+    rule = "struct<id:string,group:string,description:string,enabled:boolean,targets:array<string>,pattern:string,score:int,normalizers:array<string>>"
+    df = spark.createDataFrame(snapshots, f"version long, rules array<{rule}>")
+    assert [r.id for r in active_rules(df).collect()] == ["GOOD_ID"]
+    long = ("L" * 80, *one[1:])
+    assert [r.id for r in active_rules(df.unionByName(spark.createDataFrame([(200, [long])], df.schema))).collect()] == ["L" * 80]
+
+
+def test_parse_marks_and_odd_requests(spark):
+    odd = NGINX.replace("curl", "cu\x01rl")
+    lines = spark.createDataFrame([(0, odd), (1, NGINX.replace("GET ", "")), (2, "\x01" * 12 + "x"), (3, None)], "n int, line string").withColumn("domain", F.lit("d"))
+    good, bad = parse.parse_access_log(lines)
+    a, b = good.orderBy("n").collect()
+    assert a.user_agent == "cu\x01rl/8.7.1" and a.path == "/api/products" and (b.method, b.protocol) == ("", "") and b.path.startswith("/api/products")
+    assert sorted(r.n for r in bad.collect()) == [2, 3]
+
+
 def test_thresholds(spark):
     t = alerting.parse_thresholds(spark, "shop.local:0.8, nope, bad:xx ,:0.5,*:3,*:4")
     assert {(r.domain, r.threshold) for r in t.collect()} == {("shop.local", 0.8), ("*", 4.0)}

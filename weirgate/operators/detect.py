@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +13,13 @@ from ..config import DetectorConfig
 from ..functions.net import client_key
 from ..functions.text import severity
 
+# Fixed value: paths of static assets.
 STATIC_ASSET = r"(?i)\.(?:ico|css|js|mjs|png|jpe?g|gif|svg|webp|woff2?|ttf|eot|map|txt)$"
 #: Windows are computed in slices of so many window widths. Each slice also reads one width of the slice before it,
 #: so a hot key is as many independent groups as it has slices.
 SLICE_WIDTHS = 60
+#: Arrivals (numbers of seq) whose latest time is found at once.
+RANGE = 10_000
 
 
 def sliding(rows: DataFrame, key: str, ts: str, seq: str, width: int, counts: dict[str, Column], distinct: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
@@ -57,30 +64,43 @@ def req_count_1m(requests: DataFrame, seconds: int = 60, cap: int = 1000) -> Dat
     return found.drop("_k").withColumn("req_count_1m", F.least("req_count_1m", F.lit(cap)))
 
 
-def anomaly_scores(windowed: DataFrame, matches: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """windowed and rule_ids, groups, score, severity, reasons, attack_types, emitted. matches: rule_matches() of the same requests, by request_id.
-
-    score: the greatest rule score and bonus_per_rule for each further one, and points for each behaviour, 100 at most.
-    """
+def with_matches(windowed: DataFrame, matches: DataFrame) -> DataFrame:
+    """windowed and rule_ids, groups (arrays, empty without a match), top and hits of its rows' matches, by request_id."""
     by_request = matches.groupBy("request_id").agg(F.array_sort(F.collect_set("rule_id")).alias("rule_ids"), F.array_sort(F.collect_set("rule_group")).alias("groups"), F.max("rule_score").alias("top"), F.count("*").alias("hits"))
-    x = windowed.join(by_request, "request_id", "left")
     none = F.array().cast("array<string>")
-    late = F.col("late") if "late" in windowed.columns else F.lit(False)
+    return windowed.join(by_request, "request_id", "left").withColumns({"rule_ids": F.coalesce("rule_ids", none), "groups": F.coalesce("groups", none)})
+
+
+def scored_by(x: DataFrame, cfg: DetectorConfig, by_rules: Column | None = None, by_behaviour: Column | None = None) -> DataFrame:
+    """anomaly_scores() of with_matches(); rows can leave rules or behaviour out of account."""
+    if by_rules is not None:
+        none = F.array().cast("array<string>")
+        x = x.withColumns({c: F.when(by_rules, F.col(c)).otherwise(none) for c in ("rule_ids", "groups")} | {c: F.when(by_rules, F.col(c)) for c in ("top", "hits")})
+    counts = F.lit(True) if by_behaviour is None else by_behaviour
+    late = F.col("late") if "late" in x.columns else F.lit(False)
     reasons = [
         (late, 0, "late_event_outside_window"),
-        (F.col("requests") >= cfg.burst_requests, cfg.burst_points, "request_burst"),
-        (F.col("requests") >= cfg.flood_requests, cfg.flood_points, "request_flood"),
-        (F.col("errors") >= cfg.error_count, cfg.error_points, "http_error_burst"),
-        (F.col("distinct_paths") >= cfg.path_count, cfg.path_points, "path_scan"),
+        (counts & (F.col("requests") >= cfg.burst_requests), cfg.burst_points, "request_burst"),
+        (counts & (F.col("requests") >= cfg.flood_requests), cfg.flood_points, "request_flood"),
+        (counts & (F.col("errors") >= cfg.error_count), cfg.error_points, "http_error_burst"),
+        (counts & (F.col("distinct_paths") >= cfg.path_count), cfg.path_points, "path_scan"),
     ]
     score = F.coalesce(F.col("top") + cfg.bonus_per_rule * (F.col("hits") - 1), F.lit(0))
     for fires, points, _ in reasons:
         score = score + F.when(fires, points).otherwise(0)
-    x = x.withColumns({"rule_ids": F.coalesce("rule_ids", none), "groups": F.coalesce("groups", none), "score": F.least(score, F.lit(100)).cast("int"), "reasons": F.filter(F.array(*[F.when(fires, name) for fires, _, name in reasons]), lambda r: r.isNotNull())})
+    x = x.withColumns({"score": F.least(score, F.lit(100)).cast("int"), "reasons": F.filter(F.array(*[F.when(fires, name) for fires, _, name in reasons]), lambda r: r.isNotNull())})
     x = x.withColumn("severity", severity(F.col("score"))).withColumn("attack_types", attack_types(F.col("groups"), F.col("reasons")))
     return x.withColumn("emitted", (F.size("rule_ids") > 0) | (F.col("score") >= cfg.emit_score)).drop("top", "hits")
 
 
+def anomaly_scores(windowed: DataFrame, matches: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+    """windowed and rule_ids, groups, score, severity, reasons, attack_types, emitted. matches: rule_matches() of the same requests, by request_id.
+
+    score: the greatest rule score and bonus_per_rule for each further one, and points for each behaviour, 100 at most.
+    """
+    return scored_by(with_matches(windowed, matches), cfg)
+
+
 def attack_types(groups: Column, reasons: Column) -> Column:
     """The rules' groups, else what the reasons stand for."""
     named = lambda r: F.when(r.isin("request_burst", "request_flood"), "traffic_flood").when(r == "http_error_burst", "error_scan").when(r == "distributed_request_burst", "ddos").otherwise(r)
@@ -91,22 +111,36 @@ def attack_types(groups: Column, reasons: Column) -> Column:
 def with_cooldown(rows: DataFrame, key: str, second: str, seq: str, seconds: int) -> DataFrame:
     """rows and fired: the first row of a key fires, then each first row that is `seconds` or more after the last that fired.
 
-    That is a recurrence, but only over distinct seconds, and a pause of `seconds` begins it anew: each stretch without
-    such a pause is folded for itself. With seconds <= 0, all fire.
+    That is a recurrence, but only over a key's distinct seconds. They are counted out first, then read in order: a task holds
+    a batch of them and the last second that fired, however long a key goes on. seq is unique. With seconds <= 0, all fire.
     """
     if seconds <= 0:
         return rows.withColumn("fired", F.lit(True))
-    by_key = Window.partitionBy("k").orderBy("s")
-    times = rows.select(F.col(key).alias("k"), F.col(second).alias("s")).distinct()
-    times = times.withColumn("new", F.coalesce(F.col("s") - F.lag("s").over(by_key) >= seconds, F.lit(True)).cast("int"))
-    times = times.withColumn("stretch", F.sum("new").over(by_key)).groupBy("k", "stretch").agg(F.array_sort(F.collect_list("s")).alias("all"))
-    begin = F.struct(F.array().cast("array<long>").alias("done"), F.lit(None).cast("long").alias("last"))
-    step = lambda a, s: F.when(a["last"].isNull() | (s - a["last"] >= seconds), F.struct(F.concat(a["done"], F.array(s)).alias("done"), s.alias("last"))).otherwise(a)
-    fired = times.select("k", F.explode(F.aggregate(F.transform("all", lambda s: s.cast("long")), begin, step, lambda a: a["done"])).alias("s"))
-    fired = fired.select(F.col("k").alias("f_k"), F.col("s").alias("f_s"))
-    first = F.row_number().over(Window.partitionBy(key, second).orderBy(seq)) == 1
-    both = rows.withColumn("_first", first).join(fired, (F.col(key) == F.col("f_k")) & (F.col(second) == F.col("f_s")), "left")
-    return both.withColumn("fired", F.col("_first") & F.col("f_s").isNotNull()).drop("_first", "f_k", "f_s")
+    times = rows.groupBy(F.col(key).alias("f_k"), F.col(second).cast("long").alias("f_s")).agg(F.min(seq).alias("f_seq"))
+    kind = dict(times.dtypes)
+    fired = times.repartition("f_k").sortWithinPartitions("f_k", "f_s").mapInArrow(lambda b: _fired(b, seconds), f"f_k {kind['f_k']}, f_s long, f_seq {kind['f_seq']}")
+    both = rows.join(fired, F.col(key).eqNullSafe(F.col("f_k")) & (F.col(second) == F.col("f_s")) & (F.col(seq) == F.col("f_seq")), "left")
+    return both.withColumn("fired", F.col("f_s").isNotNull()).drop("f_k", "f_s", "f_seq")
+
+
+def _fired(batches: Iterator[pa.RecordBatch], seconds: int) -> Iterator[pa.RecordBatch]:
+    """The rows that fire, of rows sorted by key and second."""
+    key, last = None, None
+    for rows in batches:
+        s = np.asarray(rows.column("f_s"))
+        keys = rows.column("f_k").dictionary_encode("encode")
+        at, names = np.asarray(keys.indices), keys.dictionary.to_pylist()
+        begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
+        found = []
+        for a, b in zip(begins, [*begins[1:], len(at)], strict=True):
+            if last is None or names[at[a]] != key:
+                key, last = names[at[a]], None
+            i = a if last is None else a + int(np.searchsorted(s[a:b], last + seconds))
+            while i < b:
+                found.append(i)
+                last = int(s[i])
+                i = a + int(np.searchsorted(s[a:b], last + seconds))
+        yield rows.take(pa.array(found, pa.int64()))
 
 
 def alerts(scored: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
@@ -132,8 +166,13 @@ def ddos_alerts(requests: DataFrame, cfg: DetectorConfig = DetectorConfig()) ->
 def late_events(requests: DataFrame, window_ms: int = 60_000) -> DataFrame:
     """requests and late: whether one arrives (by seq) a window or more after the latest time of its client so far."""
     keyed = requests.withColumn("client", client_key(F.col("domain"), F.col("src_ip")))
-    so_far = Window.partitionBy("client").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return keyed.withColumn("late", F.col("ts_ms") <= F.max("ts_ms").over(so_far) - window_ms)
+    # the latest time of each range of arrivals first, so that a busy client is as many groups as it has ranges
+    keyed = keyed.withColumn("_range", F.floor(F.col("seq") / RANGE))
+    before = Window.partitionBy("client").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = keyed.groupBy("client", "_range").agg(F.max("ts_ms").alias("_max")).select("client", "_range", F.max("_max").over(before).alias("_before"))
+    so_far = Window.partitionBy("client", "_range").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    latest = F.greatest(F.max("ts_ms").over(so_far), F.col("_before"))
+    return keyed.join(ahead, ["client", "_range"]).withColumn("late", F.col("ts_ms") <= latest - window_ms).drop("_range", "_before")
 
 
 def reject_future(requests: DataFrame, now: Column, skew_s: int = 300) -> tuple[DataFrame, DataFrame]:

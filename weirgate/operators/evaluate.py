@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DetectorConfig
-from .detect import alerts, anomaly_scores, client_window
+from .detect import alerts, client_window, scored_by, with_matches
 from .matching import rule_matches
 
 # Categories that are no payload.
@@ -16,17 +14,13 @@ NO_PAYLOAD = ("benign", "scan", "flood")
 
 
 def ablation_replay(requests: DataFrame, rules: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Scored requests and alert (fired) under A rules only, B behaviour only, C both; config tells them apart. Windows and matches are made once."""
-    never = 2**31 - 1
-    windowed, matches = client_window(requests, cfg), rule_matches(requests, rules).select("request_id", "rule_id", "rule_group", "rule_score")
-    quiet = replace(cfg, burst_requests=never, flood_requests=never, error_count=never, path_count=never)
-    out = None
-    for name, m, c in (("A", matches, quiet), ("B", matches.where("false"), cfg), ("C", matches, cfg)):
-        scored = anomaly_scores(windowed, m, c)
-        fired = alerts(scored, c).where("NOT suppressed").select("request_id", F.lit(True).alias("alert"))
-        both = scored.join(fired, "request_id", "left").withColumn("alert", F.coalesce("alert", F.lit(False))).withColumn("config", F.lit(name))
-        out = both if out is None else out.unionByName(both)
-    return out
+    """Scored requests and alert (fired) under A rules only, B behaviour only, C both; config tells them apart. Each request is windowed and
+    matched once, and then stands once for each config."""
+    x = with_matches(client_window(requests, cfg), rule_matches(requests, rules).select("request_id", "rule_id", "rule_group", "rule_score"))
+    x = x.withColumn("config", F.explode(F.array(*map(F.lit, "ABC"))))
+    scored = scored_by(x, cfg, by_rules=F.col("config") != "B", by_behaviour=F.col("config") != "A")
+    fired = alerts(scored.withColumn("client", F.concat_ws("|", "config", "client")), cfg).where("NOT suppressed").select("config", "request_id", F.lit(True).alias("alert"))
+    return scored.join(fired, ["config", "request_id"], "left").withColumn("alert", F.coalesce("alert", F.lit(False)))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -67,6 +61,7 @@ def eval_by_category(labels: DataFrame, detected: DataFrame) -> DataFrame:
     return x.withColumn("recall", _ratio(F.col("found"), F.col("total")))
 
 
+# The order of the kinds and the addresses of crawlers and API pollers.
 def actors(labels: DataFrame) -> DataFrame:
     """ip, actor, malicious: what kind of source the categories of its requests make it."""
     c = F.col("categories")
@@ -108,8 +103,10 @@ def eval_alert_delay(labels: DataFrame, alerted: DataFrame) -> DataFrame:
     began = labels.where("label = 'attack'").groupBy("ip").agg(F.min("t").alias("began"))
     times = labels.select("request_id", "t")
     first = alerted.join(times, "request_id").join(began, "ip").groupBy("config", "ip").agg(F.min_by(F.bround(F.col("t") - F.col("began"), 1), "seq").alias("delay"))
-    ranked = first.groupBy("config").agg(F.count("*").alias("sources"), F.sort_array(F.collect_list("delay")).alias("all"))
-    return ranked.select("config", "sources", F.get("all", F.floor(F.col("sources") / 2).cast("int")).alias("median_seconds"))
+    counted = first.groupBy("config", "delay").agg(F.count("*").alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy("config").orderBy("delay"))
+    ranked = counted.select("config", "delay", up_to.alias("up_to"), F.sum("n").over(Window.partitionBy("config")).alias("sources"))
+    return ranked.groupBy("config").agg(F.max("sources").alias("sources"), F.min(F.when(F.col("up_to") > F.floor(F.col("sources") / 2), F.col("delay"))).alias("median_seconds"))
 
 
 def eval_coverage(labels: DataFrame, enriched_ids: DataFrame) -> DataFrame:

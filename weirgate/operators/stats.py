@@ -92,16 +92,16 @@ def attack_heatmap(rows: DataFrame, now: datetime, tz: str = "UTC") -> DataFrame
 
 
 def top_ips(rows: DataFrame, now: datetime, hours: int = 24, top: int = 5) -> DataFrame:
-    """src_ip, n, share, main_type and trend (array of 24) of the busiest addresses: the heavy parts read their rows only."""
+    """src_ip, n, share, main_type and trend (array of 24) of the busiest addresses. One count by address, type and bucket gives all parts."""
     _, start, _, hours = _span(now, hours)
-    seen = in_window(rows, now, hours)
-    by_ip = seen.groupBy("src_ip").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    best = by_ip.orderBy(F.desc("n"), "src_ip").limit(top)
-    theirs = seen.join(F.broadcast(best), "src_ip")  # `top` rows
-    types = theirs.groupBy("src_ip", "attack_type").agg(F.count("*").alias("t")).groupBy("src_ip").agg(F.min_by("attack_type", F.struct(-F.col("t"), "attack_type")).alias("main_type"))
-    trend = theirs.groupBy("src_ip", bucket(start, hours * 3600 / TREND_BUCKETS).alias("bucket")).agg(F.count("*").alias("b")).groupBy("src_ip").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "b"))).alias("m"))
+    base = in_window(rows, now, hours).groupBy("src_ip", "attack_type", bucket(start, hours * 3600 / TREND_BUCKETS).alias("bucket")).agg(F.count("*").alias("b"))
+    best = base.groupBy("src_ip").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "src_ip").limit(top)
+    theirs = base.join(F.broadcast(best.select("src_ip")), "src_ip")  # `top` rows
+    types = theirs.groupBy("src_ip", "attack_type").agg(F.sum("b").alias("t")).groupBy("src_ip").agg(F.min_by("attack_type", F.struct(-F.col("t"), "attack_type")).alias("main_type"))
+    trend = theirs.groupBy("src_ip", "bucket").agg(F.sum("b").alias("b")).groupBy("src_ip").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "b"))).alias("m"))
     filled = F.transform(F.sequence(F.lit(0), F.lit(TREND_BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
-    return best.join(types, "src_ip").join(trend, "src_ip").select("src_ip", "n", F.bround(F.col("n") * 100.0 / F.col("total"), 1).alias("share"), "main_type", filled.alias("trend"))
+    total = base.agg(F.sum("b").alias("total")).scalar()
+    return best.join(types, "src_ip").join(trend, "src_ip").select("src_ip", "n", F.bround(F.col("n") * 100.0 / total, 1).alias("share"), "main_type", filled.alias("trend"))
 
 
 def _grouped(rows: DataFrame, key: str, now: datetime, hours: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.net import is_ipv4
+from ..functions.net import canonical_ip
 
 
 def scan_access_logs(spark: SparkSession, root: str, domain_override: str = "") -> DataFrame:
@@ -30,9 +30,9 @@ def _named(lines: DataFrame, override: str) -> DataFrame:
 
 
 def raw_events(lines: DataFrame) -> DataFrame:
-    """lines and src_ip (first field, if it is an address), key and request_id, which follow from the line's content: a replay gives the same ids."""
+    """lines and src_ip (first field in canonical form, if it is an address), key and request_id, which follow from the line's content: a replay gives the same ids."""
     first = F.regexp_extract("line", r"^(\S+)", 1)
-    ip = F.when(is_ipv4(first) | first.rlike(r"^[0-9a-fA-F:]*:[0-9a-fA-F:.]*$"), first)
+    ip = canonical_ip(first)
     place = [F.col(c).cast("string") for c in ("log_path", "line_no") if c in lines.columns]
     x = lines.withColumn("src_ip", ip)
     key = F.when(F.col("src_ip").isNull(), F.lower("domain")).otherwise(F.concat_ws("|", F.lower("domain"), "src_ip"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,15 +46,15 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"schemaVersion int, rules array<{rule}>").json(path, multiLine=True).select(F.inline("rules"))
 
 
-def validate_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected with error). A catalogue is small; patterns are linted by a pandas UDF, a rule a row."""
+def validate_rules(rules: DataFrame, *within: str) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected with error); ids are unique, or within the given columns. A catalogue is small; patterns are linted by a pandas UDF, a rule a row."""
 
     @F.pandas_udf("string")
     def lint(pattern):
         return pattern.map(lambda p: regex.lint(p or ""))
 
     listed = lambda c, known: F.forall(F.coalesce(F.col(c), F.array()), lambda x: x.isin(*known))
-    copies = F.count("*").over(Window.partitionBy("id"))
+    copies = F.count("*").over(Window.partitionBy(*within, "id"))
     checks = [
         (F.coalesce(F.col("id").rlike(r"\A[A-Z0-9_]{3,80}\z"), F.lit(False)), "id"),
         (F.coalesce(F.trim("group") != "", F.lit(False)), "group"),
@@ -73,19 +71,12 @@ def validate_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def active_rules(snapshots: DataFrame) -> DataFrame:
     """Rules of the last valid snapshot of (version long, rules array<struct>): an invalid one leaves the one before it in force."""
-    each = snapshots.select("version", F.inline("rules"))
-    _, bad = validate_rules_by_version(each)
+    _, rejected = validate_rules(snapshots.select("version", F.inline("rules")), "version")
+    bad = rejected.select("version").distinct()
     newest = snapshots.where(F.size("rules") > 0).join(bad, "version", "left_anti").agg(F.max_by("rules", "version").alias("rules"))
     return newest.select(F.inline("rules")).orderBy("id")
 
 
-def validate_rules_by_version(each: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rules, versions with an invalid rule) of rules with their version; ids must be unique within a version."""
-    keyed = each.withColumn("id", F.concat_ws("_V", "id", F.col("version").cast("string")))
-    good, bad = validate_rules(keyed)
-    return good, bad.select("version").distinct()
-
-
 def apply_rule_changes(rules: DataFrame, changes: DataFrame) -> DataFrame:
     """The next snapshot, by id: changes has op ('upsert', 'create' or 'delete') and a rule's columns, one row an id.
 
@@ -99,7 +90,3 @@ def apply_rule_changes(rules: DataFrame, changes: DataFrame) -> DataFrame:
     left = F.count_if(~gone).over(Window.partitionBy())
     both = both.withColumn("left", left).where(~gone | ((F.col("left") == 0) & F.col("known").isNotNull()))
     return both.select(*[F.when(change & ~gone, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in names]).orderBy("id")
-
-
-def as_document(rules: list[dict]) -> str:
-    return json.dumps({"schemaVersion": 1, "rules": rules})
