@@ -23,6 +23,8 @@ from .graph import components
 SHINGLE_WORDS, PERCENT = 5, 75
 #: Parts in which the products of a pair's columns are added up.
 PARTS = 4
+#: Words of 64 bits in which a row keeps, for each hashed group of its columns, whether their number is odd.
+PARITY = [f"odd{i}" for i in range(8)]
 #: Before all pairs that are left are counted, the rows of columns longer than LONG_COLUMN are compared with one of them, in up to ROUNDS rounds, as long as these find links.
 LONG_COLUMN, ROUNDS = 16, 4
 
@@ -69,15 +71,18 @@ def _shared(block: pa.Table) -> pa.Table:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, n and columns of each document, of entries sorted by document, its size (df = 0, s = size) before its columns. They may lie in several batches."""
+    """id, n, PARITY and columns of each document, of entries sorted by document, its size (df = 0, s = size) before its columns. They may lie in several batches."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def out(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         ids, df, s = x
         at = blocks.runs(ids)[0]
         column = df > 0
-        ends = np.concatenate([[0], np.cumsum(np.add.reduceat(column, at))]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(s[at].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(s[column]))], ["id", "n", "columns"])
+        counts, bits = np.add.reduceat(column, at, dtype=np.int64), 64 * len(PARITY)
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        group = np.repeat(np.arange(len(at)), counts) * bits + ((s[column] >> 8) & (bits - 1))
+        odd = np.packbits((np.bincount(group, minlength=len(at) * bits) & 1).astype(np.uint8)).view(np.int64).reshape(len(at), -1)
+        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(s[at].astype(np.int32)), *[pa.array(x) for x in odd.T.copy()], pa.ListArray.from_arrays(pa.array(ends), pa.array(s[column]))], ["id", "n", *PARITY, "columns"])
 
     for rows in batches:
         if not rows.num_rows:
@@ -138,17 +143,24 @@ def _firsts(entries: DataFrame, parts: DataFrame | None, turn: int, percent: int
     return met.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
 
 
-def _rest(entries: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _rest(entries: DataFrame, parts: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of documents in different components that meet in a column of their first blocks and can still link. The number of
-    columns that they meet in is their first blocks' overlap: it and the columns that either has beyond bound the whole."""
+    columns that they meet in is their first blocks' overlap: it and the columns that either has beyond bound the whole. A group of columns
+    whose number is odd in one row and even in the other holds a column that only one of the two has, which bounds what they can have in common."""
     placed = entries.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     columns = placed.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("s")
     # sizes of linked sets lie in one band or in neighbours
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    mixed = placed.join(columns, "s", "left_semi").select("s", "id", "n", "pos", "own", "part", "first", band.alias("band"))
-    other = mixed.select("s", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "own", "part", "first")], F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
+    mixed = placed.join(columns, "s", "left_semi").join(rows.select("id", *PARITY), "id").withColumn("band", band)
+    names = ["id", "n", "pos", "own", "part", "first", *PARITY]
+    mixed = mixed.select("s", "band", *names)
+    other = mixed.select("s", *[F.col(c).alias(f"b_{c}") for c in names], F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
     smaller = (F.col("n") < F.col("b_n")) | ((F.col("n") == F.col("b_n")) & (F.col("id") < F.col("b_id")))
-    met = mixed.join(other, ["s", "band"]).where(smaller & (F.col("part") != F.col("b_part")) & _may_link(percent))
+    apart = F.col("own") + F.col("b_own")
+    for c in PARITY:
+        apart = apart + F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}")))
+    room = apart <= F.col("n") + F.col("b_n") - 2 * _asked(F.col("n"), F.col("b_n"), percent)
+    met = mixed.join(other, ["s", "band"]).where(smaller & (F.col("part") != F.col("b_part")) & _may_link(percent) & room)
     pairs = met.groupBy(F.col("id").alias("a"), F.col("b_id").alias("b")).agg(F.count("*").alias("met"), F.first("n").alias("a_n"), F.first("b_n").alias("b_n"), F.first("first").alias("a_first"), F.first("b_first").alias("b_first"))
     # whose block ends first in the global order has no common column elsewhere in the other's block
     most = F.col("met") + F.greatest(F.col("a_n") - F.col("a_first"), F.col("b_n") - F.col("b_first"))
@@ -181,7 +193,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     matrix = nodes.mapInArrow(lambda b: _entries(b, k, count), blocks.SCHEMA)
     shared = matrix.groupBy("block").applyInArrow(_shared, "id long, df int, s long")
     shared = shared.unionByName(classes.select(F.col("node").alias("id"), F.lit(0).alias("df"), F.col("n").cast("long").alias("s")))
-    rows = shared.repartition("id").sortWithinPartitions("id", "df", "s").mapInArrow(_rows, "id long, n int, columns array<long>")
+    rows = shared.repartition("id").sortWithinPartitions("id", "df", "s").mapInArrow(_rows, ", ".join(["id long", "n int", *[f"{c} long" for c in PARITY], "columns array<long>"]))
     rows = scratch.put(rows)
 
     # columns that no other document has come first in the order, and fill some of the first block
@@ -201,7 +213,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
             break
         links = scratch.put(links.unionByName(found), instead_of=links)
         parts = components(links, scratch)
-    links = links.unionByName(_linked(scratch.put(_rest(entries, parts, percent)), rows, percent))
+    links = links.unionByName(_linked(scratch.put(_rest(entries, parts, rows, percent)), rows, percent))
     parts = components(links, scratch)
     found = seen.join(classes.select("h1", "h2", "n", "node"), ["h1", "h2", "n"], "left").join(parts.select(F.col("id").alias("node"), "component"), "node", "left")
     return found.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component_id"))
