@@ -14,6 +14,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = " \t\n\x0b\x0c\r"
 #: A side of at most so many rows may be broadcast; rows of the sides concerned take under 100 bytes.
 BROADCAST_ROWS = 300_000
+#: While a table is written, texts go to Python in small batches: buffers outside of the heap stay small on either side.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +49,14 @@ class Scratch:
 
     def put(self, df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
         path = f"{self.root}/{len(self.paths)}"
-        df.write.parquet(path)
+        before = {k: self.spark.conf.get(k, None) for k in ARROW}
+        try:
+            for k, v in ARROW.items():
+                self.spark.conf.set(k, v)
+            df.write.parquet(path)
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[len(self.paths)] = path
         out._scratch_path = path
