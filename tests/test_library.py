@@ -222,3 +222,94 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select(*names)
     want = detect.client_window(batch).select(*names)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def _replayed(spark, tmp_path, stream, out_schema, batch, by=None):
+    """Rows that the stream made of the batch's rows makes, over two runs; the second has nothing new."""
+    from weirgate.streaming.pipeline import into_table
+
+    batch.repartitionByRange(2, "seq").write.parquet(str(tmp_path / "in"))
+    rows = stream(spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    for _ in range(2):
+        q = rows.writeStream.foreachBatch(into_table(str(tmp_path / "out"), "seq", by)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(out_schema).parquet(str(tmp_path / "out"))
+
+
+def test_stream_alerts_in_arrival_order(spark, tmp_path):
+    """Cooldown and late rows, against a sequential model."""
+    from weirgate.streaming.pipeline import OUT, windowed_requests
+
+    rng = random.Random(31)
+    cfg = DetectorConfig(window_ms=10_000, burst_requests=3, flood_requests=6, alert_cooldown_s=4)
+    rows = [(1000 * max(0, i // 2 - (30 if rng.random() < 0.05 else 0)), "9.9.9.9", f"/p{rng.randrange(3)}", 200) for i in range(150)]
+    df = _requests(spark, rows).withColumn("rule_points", F.when(F.col("seq") % 50 == 0, 80).otherwise(0))
+    got = {r.seq: r for r in _replayed(spark, tmp_path, lambda x: windowed_requests(x, cfg, forget_idle=False), OUT, df).collect()}
+    held, latest, last = [], -(10**9), -(10**9)
+    for i, (t, _, path, _) in enumerate(rows):
+        late = t <= latest - 10_000
+        if not late:
+            latest = max(latest, t)
+            held = [h for h in [*held, (t, path)] if h[0] > latest - 10_000]
+        score = (80 if i % 50 == 0 else 0) + 30 * (len(held) >= 3) + 40 * (len(held) >= 6)
+        alert = score >= 70
+        suppressed = alert and t // 1000 - last < 4
+        last = t // 1000 if alert and not suppressed else last
+        r = got[i]
+        assert (r.requests, r.distinct_paths, r.late, r.score, r.alert, r.suppressed) == (len(held), len({p for _, p in held}), late, min(score, 100), alert, suppressed)
+    assert len(got) == 150 and any(r.late for r in got.values()) and any(r.suppressed for r in got.values())
+
+
+def test_stream_floods_equal_batch(spark, tmp_path):
+    from weirgate.streaming.pipeline import FLOOD_OUT, flood_alerts
+
+    cfg = DetectorConfig(ddos_requests=30, ddos_ips=5)
+    rows = [(1000 * (i // 8), f"1.1.1.{i % 9}", "/", 200) for i in range(400)]
+    df = _requests(spark, rows)
+    names = ["seq", "domain", "ts_s", "requests", "unique_ips"]
+    got = _replayed(spark, tmp_path, lambda x: flood_alerts(x, cfg, forget_idle=False), FLOOD_OUT, df, by="domain").select(*names)
+    want = detect.ddos_alerts(df, cfg).select(*names)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 2
+
+
+def test_rules_are_read_again_for_each_batch(spark):
+    from weirgate.streaming.pipeline import with_current_rules
+
+    one = ("GOOD_ID", "g", "d", True, ["url"], "x", 50, [])
+    rule = "struct<id:string,group:string,description:string,enabled:boolean,targets:array<string>,pattern:string,score:int,normalizers:array<string>>"
+    snapshots, seen = [], []
+    write = with_current_rules(lambda s: s.createDataFrame(snapshots, f"version long, rules array<{rule}>"), lambda batch, rules, i: seen.append([r.id for r in rules.collect()]))
+    with pytest.raises(ValueError):
+        write(spark.range(1), 0)
+    for version, rules in ((1, [one]), (2, [("A", *one[1:])]), (3, [("OTHER_ID", *one[1:])])):
+        snapshots.append((version, rules))
+        write(spark.range(1), version)
+    assert seen == [["GOOD_ID"], ["GOOD_ID"], ["OTHER_ID"]]
+
+
+def test_stream_state_times_out(spark, tmp_path):
+    """With the timer on, an idle client's state goes; its next request is the first of its window."""
+    import time
+
+    from weirgate.streaming.pipeline import windowed_requests
+
+    cfg = DetectorConfig(window_ms=500)
+    first = _requests(spark, [(0, "1.1.1.1", "/a", 200)] * 3)
+    (tmp_path / "in").mkdir()
+    first.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = windowed_requests(spark.readStream.schema(first.schema).parquet(str(tmp_path / "in")), cfg).writeStream.format("memory").queryName("timed").option("checkpointLocation", str(tmp_path / "cp")).start()
+
+    def wait_for(rows):  # a query with timers is never idle
+        until = time.time() + 60
+        while spark.table("timed").count() < rows and time.time() < until:
+            time.sleep(0.5)
+
+    try:
+        wait_for(3)
+        time.sleep(4)
+        first.withColumn("seq", F.col("seq") + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        wait_for(6)
+    finally:
+        q.stop()
+    got = {r.seq: r.requests for r in spark.table("timed").collect()}
+    assert got[2] == 3 and got[10] == 1 and got[12] == 3

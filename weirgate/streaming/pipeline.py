@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,9 +15,43 @@ from ..config import DetectorConfig
 from ..functions.net import client_key
 from ..operators.alerting import upsert_once
 from ..operators.detect import STATIC_ASSET
+from ..sources.rules import SCHEMA, active_rules
 
 STATE = "latest long, last_alert_s long, ts array<long>, error array<boolean>, path array<string>"
-OUT = "seq long, request_id string, client string, ts_ms long, requests long, errors long, distinct_paths long, late boolean"
+OUT = "seq long, request_id string, client string, ts_ms long, requests long, errors long, distinct_paths long, late boolean, score int, alert boolean, suppressed boolean"
+FLOOD_STATE = "latest long, last_alert_s long, ts array<long>, ip array<string>"
+FLOOD_OUT = "seq long, request_id string, domain string, ts_s long, requests long, unique_ips long"
+#: No time yet.
+NEVER = -(2**62)
+
+
+class _Held:
+    """The rows of one key that its window holds, with running counts: a row costs a heap's step, however many others there are."""
+
+    def __init__(self, ts: list, flags: list, values: list):
+        self.heap: list[tuple] = []
+        self.flagged, self.values = 0, Counter()
+        for i, x in enumerate(zip(ts, flags, values, strict=True)):
+            self.add(*x, i)
+
+    def add(self, ts: int, flag: bool, value: str | None, order: int) -> None:
+        heapq.heappush(self.heap, (ts, order, flag, value))
+        self.flagged += flag
+        if value is not None:
+            self.values[value] += 1
+
+    def drop(self, until: int) -> None:
+        while self.heap and self.heap[0][0] <= until:
+            _, _, flag, value = heapq.heappop(self.heap)
+            self.flagged -= flag
+            if value is not None:
+                self.values[value] -= 1
+                if not self.values[value]:
+                    del self.values[value]
+
+    def columns(self) -> tuple[list, list, list]:
+        rows = sorted(self.heap)
+        return [r[0] for r in rows], [r[2] for r in rows], [r[3] for r in rows]
 
 
 def once_by_id(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -30,31 +66,37 @@ def counts_per(events: DataFrame, keys: list[str], period: str, delay: str = "10
 
 
 def windowed_requests(requests: DataFrame, cfg: DetectorConfig = DetectorConfig(), forget_idle: bool = True) -> DataFrame:
-    """The client window of each request of a stream (domain, src_ip, path, status, ts_ms, seq, request_id), in arrival order (seq) within a batch.
+    """The client window of each request of a stream (domain, src_ip, path, status, ts_ms, seq, request_id, and rule_points if there are any),
+    in arrival order (seq) within a batch; score, whether it calls for an alert, and whether the client's cooldown suppresses that.
 
     A request that is a window or more behind its client's latest is late: it is scored by the window, but doesn't enter it. State holds
     one window a client and goes when the client has been idle for two. With forget_idle=False it stays: for replays that end by themselves
     (trigger availableNow), as a timer keeps a query running.
     """
     counted = ~F.coalesce(F.col("path").rlike(STATIC_ASSET), F.lit(False))
-    x = requests.select("seq", "request_id", client_key(F.col("domain"), F.col("src_ip")).alias("client"), "ts_ms", (counted & (F.coalesce("status", F.lit(0)) >= 400)).alias("error"), F.when(counted, F.col("path")).alias("path"))
+    points = F.coalesce("rule_points", F.lit(0)) if "rule_points" in requests.columns else F.lit(0)
+    x = requests.select("seq", "request_id", client_key(F.col("domain"), F.col("src_ip")).alias("client"), "ts_ms", (counted & (F.coalesce("status", F.lit(0)) >= 400)).alias("error"), F.when(counted, F.col("path")).alias("path"), points.alias("points"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        latest, last_alert, ts, error, path = state.get if state.exists else (-(2**62), -1, [], [], [])
-        held = list(zip(ts, error, path, strict=True))
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for r in rows.itertuples():
+        latest, last_alert, *kept = state.get if state.exists else (NEVER, NEVER, [], [], [])
+        held, out = _Held(*kept), []
+        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
             late = r.ts_ms <= latest - cfg.window_ms
             if not late:
-                held.append((r.ts_ms, bool(r.error), r.path))
+                held.add(r.ts_ms, bool(r.error), r.path, r.seq)
                 latest = max(latest, r.ts_ms)
-                held = [h for h in held if h[0] > latest - cfg.window_ms]
-            out.append((r.seq, r.request_id, key[0], r.ts_ms, len(held), sum(h[1] for h in held), len({h[2] for h in held if h[2] is not None}), late))
-        state.update((latest, last_alert, [h[0] for h in held], [h[1] for h in held], [h[2] for h in held]))
+                held.drop(latest - cfg.window_ms)
+            n, errors, paths = len(held.heap), held.flagged, len(held.values)
+            score = r.points + cfg.burst_points * (n >= cfg.burst_requests) + cfg.flood_points * (n >= cfg.flood_requests) + cfg.error_points * (errors >= cfg.error_count) + cfg.path_points * (paths >= cfg.path_count)
+            alert, second = score >= cfg.alert_score, r.ts_ms // 1000
+            suppressed = alert and second - last_alert < cfg.alert_cooldown_s
+            if alert and not suppressed:
+                last_alert = second
+            out.append((r.seq, r.request_id, key[0], r.ts_ms, n, errors, paths, late, min(score, 100), alert, suppressed))
+        state.update((latest, last_alert, *held.columns()))
         if forget_idle:
             state.setTimeoutDuration(2 * cfg.window_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
@@ -62,14 +104,67 @@ def windowed_requests(requests: DataFrame, cfg: DetectorConfig = DetectorConfig(
     return x.groupBy("client").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if forget_idle else GroupStateTimeout.NoTimeout)
 
 
-def into_table(path: str, key: str = "event_id") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends rows whose key the Parquet table at path doesn't have: a batch that is run again adds nothing."""
+def flood_alerts(requests: DataFrame, cfg: DetectorConfig = DetectorConfig(), forget_idle: bool = True) -> DataFrame:
+    """The requests of a stream, by domain in any case and in arrival order, at which a flood from many addresses calls for an alert and the
+    domain's cooldown is over. Requests a window or more behind their domain's latest are left out. State as in windowed_requests()."""
+    x = requests.select("seq", "request_id", F.lower("domain").alias("domain"), F.floor(F.col("ts_ms") / 1000).alias("ts_s"), "src_ip")
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        latest, last_alert, ts, ips = state.get if state.exists else (NEVER, NEVER, [], [])
+        held, out = _Held(ts, [False] * len(ts), ips), []
+        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
+            if r.ts_s <= latest - cfg.ddos_window_s:
+                continue
+            held.add(r.ts_s, False, r.src_ip, r.seq)
+            latest = max(latest, r.ts_s)
+            held.drop(latest - cfg.ddos_window_s)
+            if len(held.heap) >= cfg.ddos_requests and len(held.values) >= cfg.ddos_ips and r.ts_s - last_alert >= cfg.ddos_cooldown_s:
+                last_alert = r.ts_s
+                out.append((r.seq, r.request_id, key[0], r.ts_s, len(held.heap), len(held.values)))
+        ts, _, ips = held.columns()
+        state.update((latest, last_alert, ts, ips))
+        if forget_idle:
+            state.setTimeoutDuration(2000 * cfg.ddos_window_s)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in FLOOD_OUT.split(", ")])
+
+    return x.groupBy("domain").applyInPandasWithState(step, FLOOD_OUT, FLOOD_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if forget_idle else GroupStateTimeout.NoTimeout)
+
+
+def with_current_rules(snapshots: Callable[[SparkSession], DataFrame], then: Callable[[DataFrame, DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that calls then(batch, rules, batch_id) with the rules of the last valid snapshot (version, rules) at each
+    batch's start. snapshots reads them anew; rules are collected again only if there is a new version, and a batch fails as long as there is none."""
+    held: dict = {}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        found = snapshots(spark)
+        version = found.agg(F.max("version")).first()[0]
+        if version is not None and version != held.get("version"):
+            held["version"], held["rules"] = version, active_rules(found).collect() or held.get("rules")  # a catalogue of a few dozen rows
+        if not held.get("rules"):
+            raise ValueError("there is no valid rule snapshot yet")
+        then(batch, spark.createDataFrame(held["rules"], SCHEMA), batch_id)
+
+    return write
+
+
+def into_table(path: str, key: str = "event_id", by: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends rows whose key the Parquet table at path doesn't have: a batch that is run again adds nothing.
+
+    by: a column with few values a batch, such as a date, that follows from the row. The table is partitioned by it, and a batch is compared
+    with its own partitions only; without it, with the whole table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        upsert_once(batch, spark.read.schema(batch.schema).parquet(path) if exists else None, key).write.mode("append").parquet(path)
+        known = spark.read.schema(batch.schema).parquet(path) if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop) else None
+        if known is not None and by:
+            known = known.where(F.col(by).isin([r[0] for r in batch.select(by).distinct().collect()]))
+        new = upsert_once(batch, known, key).write.mode("append")
+        (new.partitionBy(by) if by else new).parquet(path)
 
     return write
 
