@@ -92,3 +92,15 @@ def service_log_rates(logs: DataFrame) -> DataFrame:
     """service, minute, lines, errors of service logs (ts, service, msg)."""
     bad = F.coalesce(F.col("msg").rlike("(?i)error|fail|exception"), F.lit(False))
     return logs.groupBy("service", F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").alias("lines"), F.count_if(bad).alias("errors"))
+
+
+def error_rates(requests: DataFrame, seconds: int) -> DataFrame:
+    """domain, client_errors and server_errors (4xx and 5xx a second, over so many seconds) and error_share of all requests."""
+    status = F.coalesce("status", F.lit(0))
+    x = requests.groupBy(F.lower("domain").alias("domain")).agg(F.count("*").alias("n"), F.count_if(status.between(400, 499)).alias("c"), F.count_if(status.between(500, 599)).alias("s"))
+    return x.select("domain", (F.col("c") / seconds).alias("client_errors"), (F.col("s") / seconds).alias("server_errors"), ((F.col("c") + F.col("s")) / F.col("n")).alias("error_share"))
+
+
+def monitored_domains(events: DataFrame) -> DataFrame:
+    """domains: how many have events."""
+    return events.agg(F.count_distinct(F.lower("domain")).alias("domains"))

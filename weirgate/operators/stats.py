@@ -174,6 +174,29 @@ def recent(rows: DataFrame, ts: str, n: int, domain: str | None = None) -> DataF
     return x.orderBy(F.desc_nulls_last(ts), "event_id").limit(n)
 
 
+def recent_feed(events: DataFrame, n: int = 100) -> DataFrame:
+    """event, event_id, ts, domain of the newest events; stage.completed is bookkeeping and left out."""
+    return recent(events.where("event <> 'stage.completed'").select("event", "event_id", "ts", "domain"), "ts", n)
+
+
+def live_feed(rows: DataFrame, domain: str | None = None, severity: str | None = None, attack_type: str | None = None, q: str | None = None) -> DataFrame:
+    """Attacks, of a table or a stream, by equality and by a substring in any case of address or URL."""
+    for column, value in (("domain", domain), ("severity", severity), ("attack_type", attack_type)):
+        rows = rows.where(F.col(column) == value) if value else rows
+    return rows.where(F.contains(F.lower(F.concat_ws(" ", "src_ip", "url")), F.lit(q.lower()))) if q else rows
+
+
+def known_domains(allowlist: DataFrame, events: DataFrame) -> DataFrame:
+    """domain: those allowed and those seen, in lower case."""
+    return allowlist.select(F.lower("target").alias("domain")).union(events.select(F.lower("domain"))).where("domain IS NOT NULL").distinct()
+
+
+def count_trend(rows: DataFrame, now: datetime, hours: int = 24, ts: str = "detected_at") -> DataFrame:
+    """bucket 0..23 and n: of searched attacks, or of alerts by triggered_at; empty buckets are there too."""
+    _, start, _, hours = _span(now, hours)
+    return _filled(rows, in_window(rows, now, hours, ts).groupBy(bucket(start, hours * 3600 / TREND_BUCKETS, ts).alias("bucket")).agg(F.count("*").alias("n")), TREND_BUCKETS)
+
+
 def traffic_per_minute(requests: DataFrame, ts: str = "ts", minutes: int = 60) -> DataFrame:
     """domain, minute, n: the last 60 minutes of each domain that had requests."""
     counted = requests.groupBy("domain", F.date_trunc("minute", ts).alias("minute")).agg(F.count("*").alias("n"))

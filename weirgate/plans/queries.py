@@ -211,6 +211,13 @@ def rule_group_hits(spark, d):
     return used.groupBy("group").agg(F.count("*").alias("rules"), F.sum("n").alias("hits"))
 
 
+@query(with_("SELECT r.rule_group AS \"group\", count(*) AS rules, count(h.rule_id) AS enabled, count(*) - count(h.rule_id) AS disabled FROM rules r LEFT JOIN (SELECT DISTINCT rule_id FROM matches) h ON h.rule_id = r.rule_id GROUP BY 1", "rules", "matches"))
+def rule_group_overview(spark, d):
+    """Rules without a match count as disabled here."""
+    hit = views.matches(spark, d).select(F.col("rule_id").alias("id")).distinct().withColumn("hit", F.lit(True))
+    return stats.rule_group_counts(default_rules(spark).join(hit, "id", "left").withColumn("enabled", F.coalesce("hit", F.lit(False))))
+
+
 # ---- behaviour
 
 
@@ -473,6 +480,31 @@ def soc_recent_attacks(spark, d):
     return stats.recent(views.attacks(spark, d), "detected_at", 200).select("event_id", "rule_id", "src_ip")
 
 
+@query(with_(f"SELECT CAST(b AS INTEGER) AS bucket, coalesce(n, 0) AS n FROM range(24) t(b) LEFT JOIN (SELECT {BUCKET} AS k, count(*) AS n FROM attacks WHERE {IN_WINDOW} AND domain = 'shop.local' GROUP BY 1) ON k = b", "attacks"))
+def history_trend(spark, d):
+    return stats.count_trend(stats.history_search(views.attacks(spark, d), NOW, domain="shop.local"), NOW, HOURS)
+
+
+@query(with_("SELECT event_id, src_ip, url FROM attacks WHERE severity = 'high' AND contains(lower(concat(src_ip, ' ', url)), 'passwd')", "attacks"))
+def live_feed(spark, d):
+    return stats.live_feed(views.attacks(spark, d), severity="high", q="PassWd").select("event_id", "src_ip", "url")
+
+
+@query(with_("SELECT lower(domain) AS domain FROM requests UNION SELECT unnest(['shop.local', 'blog.local', 'old.local'])", "requests"))
+def known_domains(spark, d):
+    return stats.known_domains(views.allowlist(spark), views.requests(spark, d))
+
+
+@query(with_(f"SELECT lower(domain) AS domain, count(*) FILTER (WHERE status BETWEEN 400 AND 499) / {HOURS * 3600}.0::DOUBLE AS client_errors, count(*) FILTER (WHERE status BETWEEN 500 AND 599) / {HOURS * 3600}.0::DOUBLE AS server_errors, count(*) FILTER (WHERE status >= 400) / count(*)::DOUBLE AS error_share FROM requests GROUP BY 1", "requests"))
+def error_rates(spark, d):
+    return metrics.error_rates(views.requests(spark, d), HOURS * 3600)
+
+
+@query(with_("SELECT count(DISTINCT lower(domain)) AS domains FROM requests", "requests"))
+def monitored_domains(spark, d):
+    return metrics.monitored_domains(views.requests(spark, d))
+
+
 # ---- pipeline metrics
 
 
@@ -487,6 +519,12 @@ _EVENTS = (", ev AS (SELECT e AS event, concat(e, '|', request_id) AS event_id,
  " UNION ALL SELECT 'attack.detected', event_id, domain, epoch(detected_at)::BIGINT, floor(epoch(detected_at))::BIGINT FROM attacks UNION ALL SELECT 'log.raw.ingested', concat('log.raw.ingested|', request_id), lower(domain), ts_s, ts_s FROM requests WHERE request_id LIKE '%7') ")
 
 
+@query(with_("", "attacks").rstrip() + _EVENTS + "SELECT event, event_id, domain FROM ev ORDER BY ts_s DESC, event_id LIMIT 100")
+def recent_feed(spark, d):
+    x = _events(spark, d).withColumn("ts", F.date_trunc("second", "ts"))
+    return stats.recent_feed(x).select("event", "event_id", "domain")
+
+
 @query(with_("", "attacks").rstrip() + _EVENTS + f"SELECT domain, {STAGE_CASE} AS stage, count(DISTINCT event_id) AS n FROM ev GROUP BY 1, 2")
 def stage_progress(spark, d):
     return metrics.stage_progress(_events(spark, d)).select("domain", "stage", "n")
