@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from weirgate.llm import blocks, embedding_dedup, jaccard_join, language_id, quality, tokens, toxicity
+from weirgate.llm import blocks, embedding_dedup, jaccard_join, language_id, quality, substring_dedup, tokens, toxicity
 from weirgate.llm.common import Scratch
 from weirgate.llm.decontamination import mark_contamination
 from weirgate.llm.embedding_dedup import near_vectors
@@ -143,7 +143,47 @@ def test_chains_prefer_ordered_matches():
     pos = np.array([0, 5, 10, 30, 35, 100])
     got = chains(segments(pos, pos + np.array([7, 7, 7, 9, 9, -90])), 20)
     assert [s[:2].tolist() for s in got[0]] == [[0, 18], [30, 43]]
-    assert common_words(np.array([1, 2, 3, 4]), np.array([2, 9, 3])) == 2
+    assert common_words([1, 2, 3, 4], [2, 9, 3]) == 2
+
+
+def longest(x, y):
+    """Lengths of the longest common subsequences of all beginnings, by the table."""
+    t = np.zeros((len(x) + 1, len(y) + 1), int)
+    for i, a in enumerate(x, 1):
+        for j, b in enumerate(y, 1):
+            t[i, j] = t[i - 1, j - 1] + 1 if a == b else max(t[i - 1, j], t[i, j - 1])
+    return t
+
+
+def test_alignment_against_the_table():
+    rng = random.Random(21)
+    for _ in range(300):
+        x, y = ([rng.randrange(rng.choice([3, 8, 30])) for _ in range(rng.randrange(30))] for _ in range(2))
+        if rng.random() < 0.5:
+            y = [w for w in x if rng.random() < 0.8] + y[:5]
+        t = longest(x, y)
+        assert common_words(x, y) == t[-1, -1]
+        i, j, n = substring_dedup._extension(x, y)
+        score = t - 0.5 * np.maximum(np.arange(len(x) + 1)[:, None], np.arange(len(y) + 1)[None])
+        assert t[i, j] == n and n - 0.5 * max(i, j) == max(0, score.max())
+
+
+def test_chains_against_all_predecessors():
+    """The Fenwick tree gives the worth of the best chain, as trying all predecessors does."""
+    rng = random.Random(22)
+    for _ in range(60):
+        segs = []
+        for _ in range(rng.randrange(1, 25)):
+            a, b, n = rng.randrange(120), rng.randrange(120), rng.randrange(4, 20)
+            segs.append([a, a + n, b, b + n])
+        segs = np.array(sorted(segs))
+        worth = []
+        for i, (a, b, c, _) in enumerate(segs):
+            gains = [worth[j] - substring_dedup.GAP_COST * (a - segs[j][1] + c - segs[j][3]) for j in range(i) if segs[j][1] <= a and segs[j][3] <= c]
+            worth.append(b - a + max([0, *gains]))
+        best = chains(segs, 4)[0]
+        got = sum(best[:, 1] - best[:, 0]) - substring_dedup.GAP_COST * sum((best[1:, 0] - best[:-1, 1]) + (best[1:, 2] - best[:-1, 3]))
+        assert got == pytest.approx(max(worth))
 
 
 def test_repeated_passages(spark):
@@ -174,7 +214,7 @@ def test_edited_passages_against_brute_force(spark):
         for _ in range(30):
             one = prose(rng, kind[0]).split()
             two = edited(rng, one, kind[1])
-            i, common = len(texts), common_words(np.array([hash(w) for w in one]), np.array([hash(w) for w in two]))
+            i, common = len(texts), common_words([hash(w) for w in one], [hash(w) for w in two])
             assert common >= 40 and common >= 0.7 * kind[0]
             texts += [(1000 + i, f"{prose(rng, 50)} {' '.join(one)} {prose(rng, 50)}"), (1001 + i, f"{prose(rng, 20)} {' '.join(two)} {prose(rng, 70)}")]
             wanted[kind].append((1001 + i, 1000 + i))
@@ -185,7 +225,8 @@ def test_edited_passages_against_brute_force(spark):
     assert all(abs(got[p].start - 20) <= 4 and abs(got[p].end - 80) <= 4 for p in wanted[60, 10])
 
 
-def test_passages_composed_of_other_documents(spark):
+def test_passages_composed_of_other_documents(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_DOCS", 32)
     rng = random.Random(7)
     texts, wanted = [], set()
     for case in range(10):

@@ -22,8 +22,9 @@ def block_count(entries: int) -> int:
     return max(1, -(-entries // BLOCK_ENTRIES))
 
 
-def packed(parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], blocks: int) -> Iterator[pa.RecordBatch]:
-    """Rows of SCHEMA of parts (column hashes, id of each entry's document, place of each or nothing)."""
+def packed(parts: Iterable[tuple[np.ndarray, ...]], blocks: int) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA of parts (column hashes, id of each entry's document, place of each or nothing, salt of each or nothing).
+    A column with salts is in a block of each salt, and blocks of salt n are numbered from n * blocks on."""
     held: list[tuple[np.ndarray, ...]] = []
     entries = 0
     for part in parts:
@@ -49,8 +50,9 @@ def _wide(x: pa.Buffer) -> np.ndarray:
 
 
 def _pack(parts: list[tuple[np.ndarray, ...]], blocks: int) -> pa.RecordBatch:
-    column, ids, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    column, ids, place, *salt = (np.concatenate(x) for x in zip(*parts, strict=True))
     block = (((column >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int32)
+    block = block + (salt[0] * blocks).astype(np.int32) if salt else block
     order = np.lexsort((ids, block))
     column, ids, block = column[order], ids[order], block[order]
     begins = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
