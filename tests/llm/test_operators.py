@@ -458,6 +458,64 @@ def test_ordinal_regression():
     assert (tails[:, 0] >= tails[:, 1]).all() and np.corrcoef(m.expected(tails), y[500:])[0, 1] > 0.85
 
 
+def test_ordinal_fit_is_a_maximum():
+    """At the fitted values, the penalised likelihood falls whichever way a parameter is moved."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 4))
+    z = x @ np.array([1.0, -0.5, 0.0, 0.3]) + rng.logistic(size=400)
+    y = (z > -1).astype(int) + (z > 0.5) + (z > 1.5)
+    m = quality.fit(x, y, [0, 1, 2, 3])
+
+    def value(w, theta):
+        tails = 1 / (1 + np.exp(-((x @ w)[:, None] - theta[None])))
+        full = np.concatenate([np.ones((400, 1)), tails, np.zeros((400, 1))], 1)
+        return np.log(full[np.arange(400), y] - full[np.arange(400), y + 1]).mean() - quality.L2 * (w @ w) / 2
+
+    both = np.concatenate([m.w, m.theta])
+    for i in range(len(both)):
+        step = np.eye(len(both))[i] * 1e-4
+        slope = (value(*np.split(both + step, [4])) - value(*np.split(both - step, [4]))) / 2e-4
+        assert abs(slope) < 2e-3
+    assert (np.diff(m.theta) > 0).all()
+
+
+def test_recurrent_gradient_against_finite_differences():
+    rng = np.random.default_rng(7)
+    hidden, times, lanes = 3, 6, 4
+    d = {"x": rng.normal(0, 0.5, (2 * hidden, language_id.PAD + 1)).astype(np.float32), "u": rng.normal(0, 0.5, (2 * hidden, hidden)).astype(np.float32)}
+    steps = rng.integers(0, 5, (times, lanes))
+    steps[4:, 0] = language_id.PAD  # a text that ends before
+    weight = rng.standard_normal((times, hidden, lanes)).astype(np.float32)
+    states, saved = language_id._states(d, steps, True)
+    grads = dict(zip(("x", "u"), language_id._gradient(d, steps, saved, weight), strict=True))
+    assert (states[4:, :, 0] == states[3, :, 0]).all() and (grads["x"][:, language_id.PAD] == 0).all()
+
+    def loss():
+        return float((language_id._states(d, steps, False)[0].astype(np.float64) * weight).sum())
+
+    for name in d:
+        for _ in range(25):
+            i, j = rng.integers(0, d[name].shape[0]), rng.integers(0, 5 if name == "x" else hidden)
+            kept = d[name][i, j]
+            d[name][i, j] = kept + 0.01
+            up = loss()
+            d[name][i, j] = kept - 0.01
+            slope = (up - loss()) / 0.02
+            d[name][i, j] = kept
+            assert slope == pytest.approx(grads[name][i, j], rel=0.03, abs=5e-3)
+
+
+def test_odd_rows_of_models(spark):
+    """Clashing columns, repeated rows, very long texts, labels that tie."""
+    rng = random.Random(8)
+    texts = [(i, prose(rng, 20), "aa" if i % 2 else "bb", "own", -1.0) for i in range(40)] + [(3, prose(rng, 5), "aa", "own", -1.0)] * 2 + [(90, "word " * 150_000, None, "own", -1.0), (91, None, None, "own", -1.0)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string, lang_pred string, expected_grade double")
+    out = language_id.identify(df, language_id.learn(df.where("doc_id < 90")))
+    assert out.count() == len(texts) and set(df.columns) <= set(out.columns) and out.where("lang_pred NOT IN ('aa', 'bb', 'und')").count() == 0
+    model = quality.learn(df, spark.createDataFrame([(i, i % 3) for i in range(40)] + [(3, 2), (None, 1)], "doc_id long, grade int"))
+    assert quality.score_quality(df, model).count() == len(texts)
+
+
 def test_quality_operator(spark):
     rng = random.Random(1)
     texts = [(i, prose(rng, 30) if i % 2 else "*** $$$ " * 20) for i in range(120)]
