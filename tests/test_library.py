@@ -1,6 +1,7 @@
 """Cases of the operators with their expected values, and windows against a sequential model."""
 
 import ipaddress
+import os
 import random
 from datetime import datetime
 
@@ -224,16 +225,31 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def in_order(batch, path, parts=2):
+    """Writes the rows in files by seq, one after the other and with times to match, as windowed_requests() wants them of the file source."""
+    rows = batch.orderBy("seq").collect()
+    for n in range(parts):
+        part = rows[len(rows) * n // parts : len(rows) * (n + 1) // parts]
+        batch.sparkSession.createDataFrame(part, batch.schema).coalesce(1).write.mode("append").parquet(str(path))
+        for f in path.glob("part-*"):
+            if f.name not in in_order.seen:
+                in_order.seen.add(f.name)
+                os.utime(f, (1_700_000_000 + n, 1_700_000_000 + n))
+
+
+in_order.seen = set()
+
+
 def _replayed(spark, tmp_path, stream, out_schema, batch, by=None):
     """Rows that the stream made of the batch's rows makes, over two runs; the second has nothing new."""
-    from weirgate.streaming.pipeline import into_table
+    from weirgate.streaming.pipeline import into_table, read_table
 
-    batch.repartitionByRange(2, "seq").write.parquet(str(tmp_path / "in"))
+    in_order(batch, tmp_path / "in")
     rows = stream(spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
     for _ in range(2):
         q = rows.writeStream.foreachBatch(into_table(str(tmp_path / "out"), "seq", by)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination()
-    return spark.read.schema(out_schema).parquet(str(tmp_path / "out"))
+    return read_table(spark, str(tmp_path / "out"), out_schema)
 
 
 def test_stream_alerts_in_arrival_order(spark, tmp_path):

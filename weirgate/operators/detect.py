@@ -12,49 +12,82 @@ from pyspark.sql import functions as F
 from ..config import DetectorConfig
 from ..functions.net import client_key
 from ..functions.text import severity
+from ..sources.shared import stored
 
 # Fixed value: paths of static assets.
 STATIC_ASSET = r"(?i)\.(?:ico|css|js|mjs|png|jpe?g|gif|svg|webp|woff2?|ttf|eot|map|txt)$"
 #: Windows are computed in slices of so many window widths. Each slice also reads one width of the slice before it,
 #: so a hot key is as many independent groups as it has slices.
 SLICE_WIDTHS = 60
-#: Arrivals (numbers of seq) whose latest time is found at once.
-RANGE = 10_000
+#: Rows of all keys, about, whose latest time is found at once.
+RANGE = 100_000
 
 
-def sliding(rows: DataFrame, key: str, ts: str, seq: str, width: int, counts: dict[str, Column], distinct: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+def latest_so_far(rows: DataFrame, key: str, ts: str, seq: str, name: str = "latest") -> DataFrame:
+    """rows and name: the latest time of its key among the rows up to each one, in order of arrival (seq).
+
+    Arrivals are cut into ranges, and the latest time of each range comes first, so that a busy key is as many groups as it has ranges.
+    """
+    bounds = rows.agg(F.min(seq), F.max(seq), F.count("*")).first()
+    spread = max(1, ((bounds[1] or 0) - (bounds[0] or 0) + 1) * RANGE // max(1, bounds[2]))  # numbers of seq that hold RANGE rows
+    ranged = rows.withColumns({"_key": F.coalesce(F.col(key).cast("string"), F.lit("\0")), "_range": F.floor(F.col(seq) / spread)})
+    before = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ranged.groupBy("_key", "_range").agg(F.max(ts).alias("_max")).select("_key", "_range", F.max("_max").over(before).alias("_before")).where("_before IS NOT NULL")
+    so_far = Window.partitionBy("_key", "_range").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    found = ranged.withColumn("_own", F.max(ts).over(so_far)).join(ahead, ["_key", "_range"], "left")
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], F.greatest("_own", "_before").alias(name))
+
+
+def sliding(rows: DataFrame, key: str, ts: str, seq: str, width: int, counts: dict[str, Column], distinct: dict[str, tuple[str, Column]] | None = None, clock: str | None = None) -> DataFrame:
     """rows and, for each row, over the rows of its key with time in (ts - width, ts] that don't stand after it in (ts, seq): counts
     (how many meet a condition) and distinct (how many values a column has among those that meet a condition).
 
+    clock: a column that never falls in order of seq, latest_so_far(): the window then is (clock - width, clock] over the rows that came
+    no later by seq. A row that comes a width or more behind the clock is in no window; it only reads its own.
+
     No frame is walked again and again: a row adds to running sums when it comes and takes off when its time is over, so the cost is
     a sort. A value counts from the first row that brings it in until a width after the last one, unless it comes again meanwhile.
+    Only the row that is returned carries its columns; what stands for it elsewhere is a few numbers.
     """
     distinct = distinct or {}
     span = width * SLICE_WIDTHS
-    own = F.floor(F.col(ts) / span)
-    slices = F.explode(F.array_distinct(F.array(F.col("own"), F.floor((F.col("t") + (width - 1)) / span))))
-    x = rows.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.col(ts).alias("t"), F.col(seq).alias("seq"), own.alias("own"), *[c.cast("int").alias(f"n_{n}") for n, c in counts.items()], *[F.when(c, F.col(v)).alias(f"v_{n}") for n, (v, c) in distinct.items()])
-    x = x.select("*", slices.alias("slice")).repartition("k", "slice")
+    now = clock or ts
+    own = F.floor(F.col(now) / span)
+    enters = F.col(ts) > F.col(now) - width
+    slices = F.explode(F.array_distinct(F.array(F.col("own"), F.greatest(F.col("own"), F.floor((F.col("until") - 1) / span)))))
+    x = rows.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.col(now).alias("t"), (F.col(ts) + width).alias("until"), enters.alias("enters"), F.col(seq).alias("seq"), own.alias("own"), *[F.when(enters & c, 1).otherwise(0).alias(f"n_{n}") for n, c in counts.items()], *[F.when(enters & c, F.col(v)).alias(f"v_{n}") for n, (v, c) in distinct.items()])
+    x = x.select("*", slices.alias("slice")).withColumn("row", F.when(F.col("own") == F.col("slice"), F.col("row"))).repartition("k", "slice")
     for n in distinct:
         at = Window.partitionBy("k", "slice", f"v_{n}").orderBy("t", "seq")
+        so_far = at.rowsBetween(Window.unboundedPreceding, 0)
         known = F.col(f"v_{n}").isNotNull()
-        x = x.withColumn(f"b_{n}", F.when(known, F.coalesce(F.col("t") - F.lag("t").over(at) >= width, F.lit(True)).cast("int")).otherwise(0))
-        x = x.withColumn(f"e_{n}", F.when(known, F.coalesce(F.lead("t").over(at) - F.col("t") >= width, F.lit(True)).cast("int")).otherwise(0))
-    sides = F.explode(F.array(F.struct(F.lit(1).alias("in"), F.col("t").alias("at")), F.struct(F.lit(0).alias("in"), (F.col("t") + width).alias("at"))))
-    x = x.select("*", sides.alias("side"))
+        # a value goes when the last of its rows so far does, unless it is back by then
+        x = x.withColumn(f"u_{n}", F.max("until").over(so_far) if clock else F.col("until"))
+        x = x.withColumn(f"b_{n}", F.when(known, F.coalesce(F.col("t") >= F.lag(f"u_{n}").over(at), F.lit(True)).cast("int")).otherwise(0))
+        x = x.withColumn(f"e_{n}", F.when(known, F.coalesce(F.lead("t").over(at) >= F.col(f"u_{n}"), F.lit(True)).cast("int")).otherwise(0))
+    gone = [F.struct(F.lit(0).alias("in"), F.col(u).alias("at"), F.lit(n).alias("of")) for n, u in ([("", "until")] + [(n, f"u_{n}") for n in distinct] if clock else [("", "until")])]
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("in"), F.col("t").alias("at"), F.lit("").alias("of")), *gone))
+    x = x.select("*", sides.alias("side")).withColumn("row", F.when(F.col("side.in") == 1, F.col("row")))
     coming = F.col("side.in") == 1
     order = Window.partitionBy("k", "slice").orderBy("side.at", "side.in", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    sums = [F.sum(F.when(coming, F.coalesce(f"n_{n}", F.lit(0))).otherwise(-F.coalesce(f"n_{n}", F.lit(0)))).over(order).alias(n) for n in counts]
-    sums += [F.sum(F.when(coming, F.col(f"b_{n}")).otherwise(-F.col(f"e_{n}"))).over(order).alias(n) for n in distinct]
-    done = x.select("row", "own", "slice", coming.alias("coming"), *sums).where("coming AND own = slice")
-    return done.select("row.*", *counts, *distinct)
+    leaving = lambda n, c: F.when(F.col("side.of") == n, -F.col(c)).otherwise(0)
+    sums = [F.sum(F.when(coming, F.col(f"n_{n}")).otherwise(leaving("", f"n_{n}"))).over(order).alias(n) for n in counts]
+    sums += [F.sum(F.when(coming, F.col(f"b_{n}")).otherwise(leaving(n if clock else "", f"e_{n}"))).over(order).alias(n) for n in distinct]
+    return x.select("row", *sums).where("row IS NOT NULL").select("row.*", *counts, *distinct)
+
 
+def client_window(requests: DataFrame, cfg: DetectorConfig = DetectorConfig(), arrival: bool = False) -> DataFrame:
+    """requests (domain, src_ip, path, status, ts_ms, seq ..) and client, requests, errors, distinct_paths of the client's window, in order of time and seq.
 
-def client_window(requests: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """requests (domain, src_ip, path, status, ts_ms, seq ..) and client, requests, errors, distinct_paths of the client's window, in order of time and seq."""
+    arrival: in order of seq instead, whatever the times: the window ends at the latest time of the client so far. late then says whether
+    a request is a window or more behind that; it is in no window, but gets the figures of the one at its arrival.
+    """
     counted = ~F.coalesce(F.col("path").rlike(STATIC_ASSET), F.lit(False))
     keyed = requests.withColumn("client", client_key(F.col("domain"), F.col("src_ip")))
-    return sliding(keyed, "client", "ts_ms", "seq", cfg.window_ms, {"requests": F.lit(True), "errors": counted & (F.coalesce(F.col("status"), F.lit(0)) >= 400)}, {"distinct_paths": ("path", counted)})
+    if arrival:
+        keyed = latest_so_far(keyed, "client", "ts_ms", "seq").withColumn("late", F.col("ts_ms") <= F.col("latest") - cfg.window_ms)
+    found = sliding(keyed, "client", "ts_ms", "seq", cfg.window_ms, {"requests": F.lit(True), "errors": counted & (F.coalesce(F.col("status"), F.lit(0)) >= 400)}, {"distinct_paths": ("path", counted)}, "latest" if arrival else None)
+    return found.drop("latest")
 
 
 def req_count_1m(requests: DataFrame, seconds: int = 60, cap: int = 1000) -> DataFrame:
@@ -108,23 +141,25 @@ def attack_types(groups: Column, reasons: Column) -> Column:
     return F.when(F.size(groups) > 0, groups).otherwise(by_reason)
 
 
-def with_cooldown(rows: DataFrame, key: str, second: str, seq: str, seconds: int) -> DataFrame:
+def with_cooldown(rows: DataFrame, key: str, second: str, seq: str, seconds: int, arrival: bool = False) -> DataFrame:
     """rows and fired: the first row of a key fires, then each first row that is `seconds` or more after the last that fired.
 
-    That is a recurrence, but only over a key's distinct seconds. They are counted out first, then read in order: a task holds
-    a batch of them and the last second that fired, however long a key goes on. seq is unique. With seconds <= 0, all fire.
+    That is a recurrence, but only over a key's distinct seconds, as a second whose first row doesn't fire has none that does. They are
+    counted out first, then read in order: a task holds a batch of them and the last second that fired, however long a key goes on.
+    Rows come in order of time; with arrival, in order of seq, and one from before the last that fired doesn't fire.
+    seq is unique. With seconds <= 0, all fire. rows are read twice.
     """
     if seconds <= 0:
         return rows.withColumn("fired", F.lit(True))
     times = rows.groupBy(F.col(key).alias("f_k"), F.col(second).cast("long").alias("f_s")).agg(F.min(seq).alias("f_seq"))
     kind = dict(times.dtypes)
-    fired = times.repartition("f_k").sortWithinPartitions("f_k", "f_s").mapInArrow(lambda b: _fired(b, seconds), f"f_k {kind['f_k']}, f_s long, f_seq {kind['f_seq']}")
+    fired = times.repartition("f_k").sortWithinPartitions("f_k", "f_seq" if arrival else "f_s").mapInArrow(lambda b: _fired(b, seconds), f"f_k {kind['f_k']}, f_s long, f_seq {kind['f_seq']}")
     both = rows.join(fired, F.col(key).eqNullSafe(F.col("f_k")) & (F.col(second) == F.col("f_s")) & (F.col(seq) == F.col("f_seq")), "left")
     return both.withColumn("fired", F.col("f_s").isNotNull()).drop("f_k", "f_s", "f_seq")
 
 
 def _fired(batches: Iterator[pa.RecordBatch], seconds: int) -> Iterator[pa.RecordBatch]:
-    """The rows that fire, of rows sorted by key and second."""
+    """The rows that fire, of rows sorted by key and second, or by key and arrival."""
     key, last = None, None
     for rows in batches:
         s = np.asarray(rows.column("f_s"))
@@ -135,18 +170,22 @@ def _fired(batches: Iterator[pa.RecordBatch], seconds: int) -> Iterator[pa.Recor
         for a, b in zip(begins, [*begins[1:], len(at)], strict=True):
             if last is None or names[at[a]] != key:
                 key, last = names[at[a]], None
-            i = a if last is None else a + int(np.searchsorted(s[a:b], last + seconds))
+            highest = np.maximum.accumulate(s[a:b])  # the first row that reaches a second is where this does
+            i = a if last is None else a + int(np.searchsorted(highest, last + seconds))
             while i < b:
                 found.append(i)
                 last = int(s[i])
-                i = a + int(np.searchsorted(s[a:b], last + seconds))
+                i = a + int(np.searchsorted(highest, last + seconds))
         yield rows.take(pa.array(found, pa.int64()))
 
 
-def alerts(scored: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Rows of scored whose score calls for an alert, and suppressed (within the client's cooldown)."""
-    due = scored.where(F.col("score") >= cfg.alert_score).withColumn("second", F.floor(F.col("ts_ms") / 1000))
-    return with_cooldown(due, "client", "second", "seq", cfg.alert_cooldown_s).withColumn("suppressed", ~F.col("fired")).drop("fired", "second")
+def alerts(scored: DataFrame, cfg: DetectorConfig = DetectorConfig(), arrival: bool = False) -> DataFrame:
+    """Rows of scored whose score calls for an alert, and suppressed (within the client's cooldown); arrival as in with_cooldown().
+
+    What calls for an alert is written to the shared folder first, so that the scores are worked out once.
+    """
+    due = stored(scored.where(F.col("score") >= cfg.alert_score).withColumn("second", F.floor(F.col("ts_ms") / 1000)), "alerts-due")
+    return with_cooldown(due, "client", "second", "seq", cfg.alert_cooldown_s, arrival).withColumn("suppressed", ~F.col("fired")).drop("fired", "second")
 
 
 def alert_reason(cfg: DetectorConfig = DetectorConfig()) -> Column:
@@ -154,25 +193,24 @@ def alert_reason(cfg: DetectorConfig = DetectorConfig()) -> Column:
     return F.concat(F.lit("score "), F.col("score").cast("string"), F.lit(f" >= threshold {cfg.alert_score}; rules="), listed("rule_ids"), F.lit("; signals="), listed("reasons"))
 
 
-def ddos_alerts(requests: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """seq, request_id, domain, ts_s, requests, unique_ips, score, severity, attack_types, src_ip of each request at which a domain's flood calls for an alert."""
+def ddos_alerts(requests: DataFrame, cfg: DetectorConfig = DetectorConfig(), arrival: bool = False) -> DataFrame:
+    """seq, request_id, domain, ts_s, requests, unique_ips, score, severity, attack_types, src_ip of each request at which a domain's flood calls for an alert.
+
+    arrival: in order of seq, as in client_window(); requests a window or more behind their domain's latest are left out.
+    """
     keyed = requests.select("seq", "request_id", F.lower("domain").alias("domain"), "src_ip", F.floor(F.col("ts_ms") / 1000).alias("ts_s"))
-    found = sliding(keyed, "domain", "ts_s", "seq", cfg.ddos_window_s, {"requests": F.lit(True)}, {"unique_ips": ("src_ip", F.lit(True))})
+    if arrival:
+        keyed = latest_so_far(keyed, "domain", "ts_s", "seq").where(F.col("ts_s") > F.col("latest") - cfg.ddos_window_s)
+    found = sliding(keyed, "domain", "ts_s", "seq", cfg.ddos_window_s, {"requests": F.lit(True)}, {"unique_ips": ("src_ip", F.lit(True))}, "latest" if arrival else None).drop("latest")
     due = found.where((F.col("requests") >= cfg.ddos_requests) & (F.col("unique_ips") >= cfg.ddos_ips))
-    fired = with_cooldown(due, "domain", "ts_s", "seq", cfg.ddos_cooldown_s).where("fired").drop("fired", "src_ip")
+    fired = with_cooldown(due, "domain", "ts_s", "seq", cfg.ddos_cooldown_s, arrival).where("fired").drop("fired", "src_ip")
     return fired.withColumns({"score": F.lit(cfg.ddos_score), "severity": severity(F.lit(cfg.ddos_score)), "attack_types": F.array(F.lit("ddos")), "src_ip": F.lit("distributed")})
 
 
 def late_events(requests: DataFrame, window_ms: int = 60_000) -> DataFrame:
     """requests and late: whether one arrives (by seq) a window or more after the latest time of its client so far."""
-    keyed = requests.withColumn("client", client_key(F.col("domain"), F.col("src_ip")))
-    # the latest time of each range of arrivals first, so that a busy client is as many groups as it has ranges
-    keyed = keyed.withColumn("_range", F.floor(F.col("seq") / RANGE))
-    before = Window.partitionBy("client").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = keyed.groupBy("client", "_range").agg(F.max("ts_ms").alias("_max")).select("client", "_range", F.max("_max").over(before).alias("_before"))
-    so_far = Window.partitionBy("client", "_range").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    latest = F.greatest(F.max("ts_ms").over(so_far), F.col("_before"))
-    return keyed.join(ahead, ["client", "_range"]).withColumn("late", F.col("ts_ms") <= latest - window_ms).drop("_range", "_before")
+    keyed = latest_so_far(requests.withColumn("client", client_key(F.col("domain"), F.col("src_ip"))), "client", "ts_ms", "seq")
+    return keyed.withColumn("late", F.col("ts_ms") <= F.col("latest") - window_ms).drop("latest")
 
 
 def reject_future(requests: DataFrame, now: Column, skew_s: int = 300) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import severity, stable_event_id, url_of
 from ..operators.matching import rule_matches
 from ..sources.rules import default_rules
+from ..sources.shared import hadoop_path, shared_folder
 
 NOW = datetime(2024, 1, 20)
 HOURS = 168
@@ -46,6 +47,25 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql, events=events(spark, sf_dir)).withColumn("ts_ms", F.col("ts_s") * 1000)
 
 
+#: A log line of a request, to the day, so that equal lines occur.
+LOG_LINE = "concat(src_ip, ' - - [', {day}, ':00:00:00 +0000] \"', method, ' ', path, ' HTTP/1.1\" ', status, ' 0 \"-\" \"-\"')"
+
+
+def written_logs(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of access logs, two a domain, written of the requests by Spark and given the names of logs."""
+    line = F.expr(LOG_LINE.replace("{day}", "date_format(ts, 'dd/MMM/yyyy')"))
+    lines = requests(spark, sf_dir).select(line.alias("value"), F.lower("domain").alias("name"), (F.col("seq") % 2).alias("half"))
+    root = shared_folder(spark, "access-logs")
+    lines.repartition(4, "name", "half").write.partitionBy("half", "name").text(f"{root}/parts")
+    store, parts = hadoop_path(spark, f"{root}/parts/half=*/name=*/part-*")
+    for n, x in enumerate(sorted(store.globStatus(parts), key=lambda x: x.getPath().toString())):  # a file a domain and half
+        half, name = (x.getPath().toString().split("/")[i].split("=")[1] for i in (-3, -2))
+        _, to = hadoop_path(spark, f"{root}/{'nginx' if half == '0' else 'apache'}/{name}.{n}.access.log")
+        store.mkdirs(to.getParent())
+        store.rename(x.getPath(), to)
+    return root
+
+
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_matches(requests(spark, sf_dir), default_rules(spark))
 

@@ -2,23 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.net import canonical_ip
+from .tail import AccessLogTail
 
 
-def scan_access_logs(spark: SparkSession, root: str, domain_override: str = "") -> DataFrame:
-    """line, log_path, log_source, domain of <root>/{nginx,apache}/*access.log; rotated files have other names and are left out.
+def scan_access_logs(spark: SparkSession, root: str, domain_override: str = "", offsets: bool = True) -> DataFrame:
+    """line, log_path, line_offset, log_source, domain of <root>/{nginx,apache}/*access.log; rotated files have other names and are left out.
 
-    log_source is the folder. domain is the override, else the file's name without .access.log, else without .log.
+    log_source is the folder. domain is the override, else the file's name without .access.log, else without .log. line_offset is the
+    line's place in its file, in bytes: equal lines differ in it, and it is the same however the file is split and however often it is
+    read. It takes a second pass that only adds up lengths; without offsets it is left out.
     """
-    lines = spark.read.text(f"{root}/{{nginx,apache}}/*access.log").select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("log_path"))
-    return _named(lines, domain_override)
+    read = spark.read.text(f"{root}/{{nginx,apache}}/*access.log", lineSep="\n")
+    lines = read.select(F.col("value").alias("line"), F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("log_path"), F.col("_metadata.file_block_start").alias("block"))
+    if offsets:
+        lines = with_offsets(lines)
+    return _named(lines.drop("block").withColumn("line", F.rtrim("line", F.lit("\r"))), domain_override)
+
 
+def with_offsets(lines: DataFrame) -> DataFrame:
+    """lines (line, log_path, block: where the split begins, in the order of reading) and line_offset.
 
-def stream_access_logs(spark: SparkSession, root: str, domain_override: str = "") -> DataFrame:
-    """The same of files as they are closed or rotated in: Spark's file source reads each file once."""
+    The lines of all splits tile their file, so a split's first line lies behind what all splits before it have read: their lengths are
+    summed by split, which are few rows, and by file. Within a split, lengths add up as its task reads; lines aren't shuffled.
+    """
+    sizes = lines.groupBy("log_path", "block").agg(F.sum(F.octet_length("line") + 1).cast("long").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("log_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("log_path").alias("b_path"), F.col("block").alias("b_block"), F.coalesce(before, F.lit(0)).alias("before"))
+    placed = lines.select("line", "log_path", "block").mapInArrow(_places, "line string, log_path string, block long, place long")
+    sizes = F.broadcast(sizes) if sizes.limit(200_001).count() <= 200_000 else sizes  # a row a split
+    found = placed.join(sizes, (F.col("log_path") == F.col("b_path")) & (F.col("block") == F.col("b_block")))
+    return found.withColumn("line_offset", F.col("before") + F.col("place")).drop("b_path", "b_block", "before", "place")
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds place: bytes of the split's lines before this one. A task reads one split after the other."""
+    split, read = None, 0
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        paths = rows.column("log_path").dictionary_encode()
+        name, block = np.asarray(paths.indices), np.asarray(rows.column("block"))
+        size = np.asarray(pc.binary_length(rows.column("line"))).astype(np.int64) + 1
+        place = np.cumsum(size) - size
+        begins = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (block[1:] != block[:-1])]))
+        own = (paths.dictionary[int(name[0])].as_py(), int(block[0]))
+        start = place[begins].copy()
+        start[0] -= read if own == split else 0
+        place = place - np.repeat(start, np.diff(np.append(begins, len(name))))
+        split, read = (paths.dictionary[int(name[-1])].as_py(), int(block[-1])), int(place[-1] + size[-1])
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(place, pa.int64())], ["line", "log_path", "block", "place"])
+
+
+def stream_access_logs(spark: SparkSession, root: str, domain_override: str = "", read_existing: bool = False) -> DataFrame:
+    """The same, of lines as they are appended: growing, rotated and truncated files, as AccessLogTail says."""
+    spark.dataSource.register(AccessLogTail)
+    return _named(spark.readStream.format("access_log_tail").option("readExisting", str(read_existing).lower()).load(root), domain_override)
+
+
+def stream_closed_logs(spark: SparkSession, root: str, domain_override: str = "") -> DataFrame:
+    """The same, without offsets, of files of any store as they are closed or rotated in: Spark's file source reads each file once."""
     lines = spark.readStream.schema("value string").text(f"{root}/{{nginx,apache}}/*").select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("log_path"))
     return _named(lines, domain_override)
 
@@ -29,14 +80,18 @@ def _named(lines: DataFrame, override: str) -> DataFrame:
     return lines.where("line <> ''").withColumns({"log_source": F.regexp_extract("log_path", r"([^/]+)/[^/]+$", 1), "domain": F.coalesce(F.nullif(F.lit(override), F.lit("")), plain, name)})
 
 
-def raw_events(lines: DataFrame) -> DataFrame:
-    """lines and src_ip (first field in canonical form, if it is an address), key and request_id, which follow from the line's content: a replay gives the same ids."""
+def raw_events(lines: DataFrame, collected_at: Column | None = None) -> DataFrame:
+    """lines and src_ip (first field in canonical form, if it is an address), key, request_id and collected_at (a given time, else now).
+
+    request_id follows from the file, the line's place in it and the line: equal lines of one file have ids of their own, and a
+    line has the same id from a scan, a stream and a replay of either. A file that took a rotated one's place differs by its lines.
+    """
     first = F.regexp_extract("line", r"^(\S+)", 1)
     ip = canonical_ip(first)
-    place = [F.col(c).cast("string") for c in ("log_path", "line_no") if c in lines.columns]
+    place = [F.col(c).cast("string") for c in ("log_path", "line_offset", "line_no") if c in lines.columns]
     x = lines.withColumn("src_ip", ip)
     key = F.when(F.col("src_ip").isNull(), F.lower("domain")).otherwise(F.concat_ws("|", F.lower("domain"), "src_ip"))
-    return x.withColumns({"key": key, "request_id": F.md5(F.concat_ws("|", *place, "line"))})
+    return x.withColumns({"key": key, "request_id": F.md5(F.concat_ws("|", *place, "line")), "collected_at": F.current_timestamp() if collected_at is None else collected_at})
 
 
 def service_logs(lines: DataFrame) -> DataFrame:

@@ -1,57 +1,146 @@
-"""Streams: the batch operators per micro-batch, keyed window state in arrival order, idempotent tables."""
+"""Streams: the batch operators per micro-batch, keyed window state in arrival order, tables with a ledger."""
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import DetectorConfig
 from ..functions.net import client_key
 from ..operators.alerting import upsert_once
 from ..operators.detect import STATIC_ASSET
 from ..sources.rules import SCHEMA, active_rules
+from ..sources.shared import hadoop_path
 
-STATE = "latest long, last_alert_s long, ts array<long>, error array<boolean>, path array<string>"
 OUT = "seq long, request_id string, client string, ts_ms long, requests long, errors long, distinct_paths long, late boolean, score int, alert boolean, suppressed boolean"
-FLOOD_STATE = "latest long, last_alert_s long, ts array<long>, ip array<string>"
 FLOOD_OUT = "seq long, request_id string, domain string, ts_s long, requests long, unique_ips long"
+#: State that is held in cells needs this store.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 #: No time yet.
 NEVER = -(2**62)
 
 
-class _Held:
-    """The rows of one key that its window holds, with running counts: a row costs a heap's step, however many others there are."""
+class _Cells:
+    """One key's window: how many rows, and how many with a flag, each time has, and the latest time of each value. What enters or leaves costs
+    a heap's step. It remembers what changed, so that only that is written to the state."""
+
+    def __init__(self, cells: dict[int, tuple[int, int]], values: dict[str, int]):
+        self.cells, self.values = cells, values
+        self.times = list(cells)
+        self.last = [(t, v) for v, t in values.items()]
+        heapq.heapify(self.times)
+        heapq.heapify(self.last)
+        self.rows, self.flagged = (sum(x[i] for x in cells.values()) for i in (0, 1))
+        self.changed: set[int] = set()
+        self.moved: set[str] = set()
+
+    def add(self, time: int, flag: bool, value: str | None) -> None:
+        if time not in self.cells:
+            heapq.heappush(self.times, time)
+        n, flagged = self.cells.get(time, (0, 0))
+        self.cells[time] = n + 1, flagged + flag
+        self.rows, self.flagged = self.rows + 1, self.flagged + flag
+        self.changed.add(time)
+        if value is not None and time > self.values.get(value, NEVER):
+            self.values[value] = time
+            heapq.heappush(self.last, (time, value))
+            self.moved.add(value)
 
-    def __init__(self, ts: list, flags: list, values: list):
-        self.heap: list[tuple] = []
-        self.flagged, self.values = 0, Counter()
-        for i, x in enumerate(zip(ts, flags, values, strict=True)):
-            self.add(*x, i)
+    def drop(self, until: int) -> None:
+        while self.times and self.times[0] <= until:
+            time = heapq.heappop(self.times)
+            n, flagged = self.cells.pop(time)
+            self.rows, self.flagged = self.rows - n, self.flagged - flagged
+            self.changed.add(time)
+        while self.last and self.last[0][0] <= until:
+            time, value = heapq.heappop(self.last)
+            if self.values.get(value) == time:
+                del self.values[value]
+                self.moved.add(value)
+
+
+class _Windowed(StatefulProcessor):
+    """Keeps a key's window as state: facts (latest time, second of the last alert), cells by time, values by their latest time. Both maps grow with
+    the window's distinct times and values, not with its rows, and a batch writes the entries it changed."""
+
+    width: int
+
+    def __init__(self, cfg: DetectorConfig, ttl_ms: int | None):
+        self.cfg, self.ttl_ms = cfg, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.facts = handle.getValueState("facts", "latest long, last_alert long", self.ttl_ms)
+        self.cells = handle.getMapState("cells", "time long", "n long, flagged long", self.ttl_ms)
+        self.values = handle.getMapState("values", "value string", "time long", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        latest, last_alert = self.facts.get() or (NEVER, NEVER)
+        held = _Cells({k[0]: (v[0], v[1]) for k, v in self.cells.iterator()}, {k[0]: v[0] for k, v in self.values.iterator()})
+        out = []
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            late = r.time <= latest - self.width
+            if not late:
+                held.add(r.time, bool(r.flag), r.value)
+                latest = max(latest, r.time)
+                held.drop(latest - self.width)
+            found, last_alert = self.judged(key[0], r, held, late, last_alert)
+            out += found
+        self.facts.update((latest, last_alert))
+        _write(self.cells, held.changed, held.cells, lambda v: v)
+        _write(self.values, held.moved, held.values, lambda v: (v,))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in self.out.split(", ")])
 
-    def add(self, ts: int, flag: bool, value: str | None, order: int) -> None:
-        heapq.heappush(self.heap, (ts, order, flag, value))
-        self.flagged += flag
-        if value is not None:
-            self.values[value] += 1
+    def close(self) -> None:
+        pass
 
-    def drop(self, until: int) -> None:
-        while self.heap and self.heap[0][0] <= until:
-            _, _, flag, value = heapq.heappop(self.heap)
-            self.flagged -= flag
-            if value is not None:
-                self.values[value] -= 1
-                if not self.values[value]:
-                    del self.values[value]
 
-    def columns(self) -> tuple[list, list, list]:
-        rows = sorted(self.heap)
-        return [r[0] for r in rows], [r[2] for r in rows], [r[3] for r in rows]
+def _write(state, keys: Iterable, now: dict, as_row: Callable) -> None:
+    for k in keys:
+        if k in now:
+            state.updateValue((k,), as_row(now[k]))
+        elif state.containsKey((k,)):
+            state.removeKey((k,))
+
+
+class _ClientWindow(_Windowed):
+    out = OUT
+
+    @property
+    def width(self) -> int:
+        return self.cfg.window_ms
+
+    def judged(self, key: str, r, held: _Cells, late: bool, last_alert: int) -> tuple[list[tuple], int]:
+        cfg, n, errors, paths = self.cfg, held.rows, held.flagged, len(held.values)
+        score = r.points + cfg.burst_points * (n >= cfg.burst_requests) + cfg.flood_points * (n >= cfg.flood_requests) + cfg.error_points * (errors >= cfg.error_count) + cfg.path_points * (paths >= cfg.path_count)
+        alert, second = score >= cfg.alert_score, r.time // 1000
+        suppressed = alert and second - last_alert < cfg.alert_cooldown_s
+        row = (r.seq, r.request_id, key, r.time, n, errors, paths, late, min(score, 100), alert, suppressed)
+        return [row], second if alert and not suppressed else last_alert
+
+
+class _DomainFlood(_Windowed):
+    out = FLOOD_OUT
+
+    @property
+    def width(self) -> int:
+        return self.cfg.ddos_window_s
+
+    def judged(self, key: str, r, held: _Cells, late: bool, last_alert: int) -> tuple[list[tuple], int]:
+        cfg = self.cfg
+        if late or held.rows < cfg.ddos_requests or len(held.values) < cfg.ddos_ips or r.time - last_alert < cfg.ddos_cooldown_s:
+            return [], last_alert
+        return [(r.seq, r.request_id, key, r.time, held.rows, len(held.values))], r.time
+
+
+def _stateful(rows: DataFrame, key: str, processor: _Windowed) -> DataFrame:
+    rows.sparkSession.conf.set(*STORE)
+    return rows.groupBy(key).transformWithStateInPandas(processor, processor.out, "append", "ProcessingTime" if processor.ttl_ms else "None")
 
 
 def once_by_id(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -67,70 +156,28 @@ def counts_per(events: DataFrame, keys: list[str], period: str, delay: str = "10
 
 def windowed_requests(requests: DataFrame, cfg: DetectorConfig = DetectorConfig(), forget_idle: bool = True) -> DataFrame:
     """The client window of each request of a stream (domain, src_ip, path, status, ts_ms, seq, request_id, and rule_points if there are any),
-    in arrival order (seq) within a batch; score, whether it calls for an alert, and whether the client's cooldown suppresses that.
+    in order of arrival; score, whether it calls for an alert, and whether the client's cooldown suppresses that. The same rows as
+    client_window(arrival=True) and what follows from it give.
+
+    Arrival is seq within a micro-batch, and one batch after the other: a source owes that rows of a later batch come later. Spark's file
+    source hands out files by their times of modification, so files are to be written one after the other. A batch's requests of one client are
+    ordered in one task, so the source's limit for a batch (maxFilesPerTrigger, maxOffsetsPerTrigger) bounds its memory.
 
-    A request that is a window or more behind its client's latest is late: it is scored by the window, but doesn't enter it. State holds
-    one window a client and goes when the client has been idle for two. With forget_idle=False it stays: for replays that end by themselves
-    (trigger availableNow), as a timer keeps a query running.
+    A request that is a window or more behind its client's latest is late: it is scored by the window, but doesn't enter it. State is cells, in
+    RocksDB, which the session is set to. With forget_idle they go when the client has been idle for two windows of the clock on the
+    wall; replays, which run through past time, keep them.
     """
     counted = ~F.coalesce(F.col("path").rlike(STATIC_ASSET), F.lit(False))
     points = F.coalesce("rule_points", F.lit(0)) if "rule_points" in requests.columns else F.lit(0)
-    x = requests.select("seq", "request_id", client_key(F.col("domain"), F.col("src_ip")).alias("client"), "ts_ms", (counted & (F.coalesce("status", F.lit(0)) >= 400)).alias("error"), F.when(counted, F.col("path")).alias("path"), points.alias("points"))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        latest, last_alert, *kept = state.get if state.exists else (NEVER, NEVER, [], [], [])
-        held, out = _Held(*kept), []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            late = r.ts_ms <= latest - cfg.window_ms
-            if not late:
-                held.add(r.ts_ms, bool(r.error), r.path, r.seq)
-                latest = max(latest, r.ts_ms)
-                held.drop(latest - cfg.window_ms)
-            n, errors, paths = len(held.heap), held.flagged, len(held.values)
-            score = r.points + cfg.burst_points * (n >= cfg.burst_requests) + cfg.flood_points * (n >= cfg.flood_requests) + cfg.error_points * (errors >= cfg.error_count) + cfg.path_points * (paths >= cfg.path_count)
-            alert, second = score >= cfg.alert_score, r.ts_ms // 1000
-            suppressed = alert and second - last_alert < cfg.alert_cooldown_s
-            if alert and not suppressed:
-                last_alert = second
-            out.append((r.seq, r.request_id, key[0], r.ts_ms, n, errors, paths, late, min(score, 100), alert, suppressed))
-        state.update((latest, last_alert, *held.columns()))
-        if forget_idle:
-            state.setTimeoutDuration(2 * cfg.window_ms)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    return x.groupBy("client").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if forget_idle else GroupStateTimeout.NoTimeout)
+    x = requests.select("seq", "request_id", client_key(F.col("domain"), F.col("src_ip")).alias("client"), F.col("ts_ms").alias("time"), (counted & (F.coalesce("status", F.lit(0)) >= 400)).alias("flag"), F.when(counted, F.col("path")).alias("value"), points.alias("points"))
+    return _stateful(x, "client", _ClientWindow(cfg, 2 * cfg.window_ms if forget_idle else None))
 
 
 def flood_alerts(requests: DataFrame, cfg: DetectorConfig = DetectorConfig(), forget_idle: bool = True) -> DataFrame:
     """The requests of a stream, by domain in any case and in arrival order, at which a flood from many addresses calls for an alert and the
-    domain's cooldown is over. Requests a window or more behind their domain's latest are left out. State as in windowed_requests()."""
-    x = requests.select("seq", "request_id", F.lower("domain").alias("domain"), F.floor(F.col("ts_ms") / 1000).alias("ts_s"), "src_ip")
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        latest, last_alert, ts, ips = state.get if state.exists else (NEVER, NEVER, [], [])
-        held, out = _Held(ts, [False] * len(ts), ips), []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            if r.ts_s <= latest - cfg.ddos_window_s:
-                continue
-            held.add(r.ts_s, False, r.src_ip, r.seq)
-            latest = max(latest, r.ts_s)
-            held.drop(latest - cfg.ddos_window_s)
-            if len(held.heap) >= cfg.ddos_requests and len(held.values) >= cfg.ddos_ips and r.ts_s - last_alert >= cfg.ddos_cooldown_s:
-                last_alert = r.ts_s
-                out.append((r.seq, r.request_id, key[0], r.ts_s, len(held.heap), len(held.values)))
-        ts, _, ips = held.columns()
-        state.update((latest, last_alert, ts, ips))
-        if forget_idle:
-            state.setTimeoutDuration(2000 * cfg.ddos_window_s)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FLOOD_OUT.split(", ")])
-
-    return x.groupBy("domain").applyInPandasWithState(step, FLOOD_OUT, FLOOD_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if forget_idle else GroupStateTimeout.NoTimeout)
+    domain's cooldown is over. Requests a window or more behind their domain's latest are left out. Order and state as in windowed_requests()."""
+    x = requests.select("seq", "request_id", F.lower("domain").alias("domain"), F.floor(F.col("ts_ms") / 1000).alias("time"), F.lit(False).alias("flag"), F.col("src_ip").alias("value"))
+    return _stateful(x, "domain", _DomainFlood(cfg, 2000 * cfg.ddos_window_s if forget_idle else None))
 
 
 def with_current_rules(snapshots: Callable[[SparkSession], DataFrame], then: Callable[[DataFrame, DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
@@ -151,24 +198,64 @@ def with_current_rules(snapshots: Callable[[SparkSession], DataFrame], then: Cal
     return write
 
 
-def into_table(path: str, key: str = "event_id", by: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends rows whose key the Parquet table at path doesn't have: a batch that is run again adds nothing.
+def into_table(path: str, key: str = "event_id", by: str | None = None, writer: str = "stream") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that adds to the table at path the rows whose key it doesn't have. read_table() reads the table.
 
-    by: a column with few values a batch, such as a date, that follows from the row. The table is partitioned by it, and a batch is compared
-    with its own partitions only; without it, with the whole table."""
+    A batch is a folder of its own, and a line in the ledger once it is whole. A batch that is run again is known by the ledger, without reading
+    any data; one that broke off before its line replaces its folder. by: a column with few values a batch, such as a date, that
+    follows from the row. Folders are partitioned by it, and a batch is compared with the parts of its own values (null is one) only;
+    without it, with the whole table. writer: name of the stream, of which each has its own batch numbers.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        known = spark.read.schema(batch.schema).parquet(path) if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop) else None
+        spark, name = batch.sparkSession, f"{writer}-{batch_id}"
+        store, line = hadoop_path(spark, f"{path}/_ledger/{name}.json")
+        if store.exists(line):
+            return
+        known = read_table(spark, path, batch.schema)
         if known is not None and by:
-            known = known.where(F.col(by).isin([r[0] for r in batch.select(by).distinct().collect()]))
-        new = upsert_once(batch, known, key).write.mode("append")
-        (new.partitionBy(by) if by else new).parquet(path)
+            values = [r[0] for r in batch.select(by).distinct().collect()]
+            known = known.where(F.col(by).isin([v for v in values if v is not None]) | (F.col(by).isNull() if None in values else F.lit(False)))
+        new = upsert_once(batch, known, key).write.mode("overwrite")
+        folder = f"{path}/batch={name}"
+        (new.partitionBy(by) if by else new).parquet(folder)
+        _enter(spark, path, name, folder)
 
     return write
 
 
+def _enter(spark: SparkSession, path: str, name: str, folder: str) -> None:
+    """Puts a batch with its files into the ledger, by a rename: the line is whole or isn't there."""
+    store, at = hadoop_path(spark, folder)
+    files, found = [], store.listFiles(at, True)
+    while found.hasNext():
+        x = found.next().getPath()
+        if not x.getName().startswith("_"):
+            files.append(x.toString())
+    _, draft = hadoop_path(spark, f"{path}/_ledger/.{name}")
+    _, line = hadoop_path(spark, f"{path}/_ledger/{name}.json")
+    out = store.create(draft, True)
+    out.write(bytearray(json.dumps({"batch": name, "files": sorted(files)}).encode()))
+    out.close()
+    store.rename(draft, line)
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """batch, files of the table at path."""
+    return spark.read.schema("batch string, files array<string>").json(f"{path}/_ledger/*.json")
+
+
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The rows of the batches that the ledger names; None as long as there are none."""
+    store, lines = hadoop_path(spark, f"{path}/_ledger/*.json")
+    if not store.globStatus(lines):
+        return None
+    whole = ledger(spark, path).select(F.col("batch").alias("_whole"))
+    whole = F.broadcast(whole) if whole.limit(1_000_001).count() <= 1_000_000 else whole  # names of under 100 bytes
+    rows = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*")
+    return rows.join(whole, rows["batch"] == whole["_whole"], "left_semi").drop("batch")
+
+
 def split_batch(split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], good: Callable[[DataFrame, int], None], bad: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function for two outputs of one input, such as valid rows and dead letters; the input is computed once."""
 
