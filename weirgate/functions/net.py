@@ -55,6 +55,18 @@ def ipv6_groups(ip: Column) -> Column:
     return F.when(F.contains(ip, F.lit(":")), _let(F.split(F.lower(plain), "::"), sides))
 
 
+def ipv6_halves(ip: Column) -> Column:
+    """hi and lo, the two halves of an IPv6 literal as longs (of 64 bits, so with a sign); null if it is none."""
+    half = lambda g, i: F.conv(F.array_join(F.transform(F.slice(g, i, 4), lambda d: F.lpad(d, 4, "0")), ""), 16, -10).cast("long")
+    return _let(ipv6_groups(ip), lambda g: F.when(g.isNotNull(), F.struct(half(g, 1).alias("hi"), half(g, 5).alias("lo"))))
+
+
+def ipv6_network(halves: Column, length: Column) -> Column:
+    """hi and lo with all but the first `length` bits at zero."""
+    cut = lambda x, bits: F.when(bits <= 0, F.lit(0).cast("long")).when(bits >= 64, x).otherwise(x.bitwiseAND(F.call_function("shiftleft", F.lit(-1).cast("long"), (64 - bits).cast("int"))))
+    return F.struct(cut(halves["hi"], length).alias("hi"), cut(halves["lo"], length - 64).alias("lo"))
+
+
 def canonical_ip(ip: Column) -> Column:
     """An IPv4 literal as it is, an IPv6 literal with its first longest run of zero groups as ::, null for other text."""
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .detect import with_cooldown
 from .enrich import checked_broadcast
 
+# The columns of the attacks table, and the length to which its free texts are cut.
+ATTACK_COLUMNS = ("event_id", "detected_at", "domain", "attack_type", "severity", "rule_id", "rule_name", "src_ip", "method", "url", "host", "field", "matched_value", "evidence", "request_id", "session_id", "status", "user_agent", "score")
+MAX_TEXT = 500
+
 
 def parse_thresholds(spark: SparkSession, text: str) -> DataFrame:
     """domain, threshold of "domain:score,domain:score": malformed items are passed over, of several for a domain the last holds."""
@@ -77,6 +81,24 @@ def notifications(alerts: DataFrame) -> DataFrame:
     return alerts.select("event_id", subject.alias("subject"), F.concat_ws("\n", *[F.concat(F.lit(f"{n}: "), v) for n, v in lines]).alias("body"))
 
 
+def attack_rows(events: DataFrame) -> DataFrame:
+    """Rows of the attacks table of attack.detected events (event_id, timestamp, domain, request_id, session_id and the fields of data; those
+    that are missing are null): matched_value ('' if null) and user_agent (null if empty) cut to 500 characters, status and score as
+    whole numbers, or null for what is none."""
+    has = lambda c: F.col(c) if c in events.columns else F.lit(None)
+    text = lambda c: has(c).cast("string")
+    kinds = dict(events.dtypes)
+
+    def whole(c: str) -> Column:
+        if kinds.get(c, "string") == "string":
+            return F.when(text(c).rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text(c)).try_cast("int"))
+        return has(c).try_cast("int")
+
+    cut = lambda c: F.substring(F.coalesce(text(c), F.lit("")), 1, MAX_TEXT)
+    special = {"detected_at": has("timestamp").cast("timestamp"), "matched_value": cut("matched_value"), "user_agent": F.nullif(cut("user_agent"), F.lit("")), "status": whole("status"), "score": whole("score")}
+    return events.select(*[special[c].alias(c) if c in special else text(c).alias(c) for c in ATTACK_COLUMNS])
+
+
 def upsert_once(rows: DataFrame, known: DataFrame | None = None, key: str = "event_id") -> DataFrame:
     """One row for each key that the known table doesn't have; of equal keys the one that sorts first by its whole content."""
     first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*[c for c in rows.columns]))) == 1

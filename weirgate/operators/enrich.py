@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.net import ipv4_number, public_ip
+from ..functions.net import ipv4_number, ipv6_halves, ipv6_network, public_ip
 from ..functions.text import blank_to
 
 #: A dimension of at most so many rows is broadcast; counted, as these tables are small and read anyway.
@@ -43,20 +43,54 @@ def scope_targets(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     return typed.where(good), x.where(~good)
 
 
-def geo_enrich(requests: DataFrame, networks: DataFrame) -> DataFrame:
-    """requests and geo (struct country_iso, country, city): of the narrowest network (start_ip, end_ip ..) that holds src_ip.
+def seeded_scope(allowlist: DataFrame, seed: str) -> DataFrame:
+    """The allowlist, or if it has no row that of the names in "a,b,c": in lower case, enabled, app if there is no dot, note "seeded"."""
+    names = allowlist.sparkSession.range(1).select(F.explode(F.split(F.lit(seed), ",")).alias("target"))
+    names = names.select(F.lower(F.trim("target")).alias("target")).where("target <> ''").distinct()
+    known = {"target": F.col("target"), "target_type": F.when(F.contains("target", F.lit(".")), "domain").otherwise("app"), "enabled": F.lit(True), "note": F.lit("seeded")}
+    rows = names.select(*[known.get(c, F.lit(None)).cast(t).alias(c) for c, t in allowlist.dtypes])
+    empty = allowlist.agg((F.count("*") == 0).alias("_empty"))  # one row
+    return allowlist.unionByName(rows.join(F.broadcast(empty), F.col("_empty"), "left_semi"))
 
-    Null if the address is not public or in no network. Both sides meet by the address' upper 16 bits, so each address is
-    compared with the networks of its own block only; addresses are looked up once each.
+
+def allowlist_list(allowlist: DataFrame, q: str | None = None, target_type: str | None = None, enabled: bool | None = None) -> DataFrame:
+    """The allowlist by target: by a substring in any case of target and note, by type, by whether it is enabled."""
+    x = allowlist.where(F.contains(F.lower(F.concat_ws(" ", "target", "note")), F.lit(q.lower()))) if q else allowlist
+    x = x.where(F.col("target_type") == target_type) if target_type else x
+    return (x if enabled is None else x.where(F.col("enabled") == enabled)).orderBy("target")
+
+
+def geo_enrich(requests: DataFrame, networks: DataFrame, networks6: DataFrame | None = None) -> DataFrame:
+    """requests and geo (struct country_iso, country, city): of the narrowest network that holds src_ip.
+
+    networks: start_ip, end_ip (IPv4 as numbers) ..; networks6: network (IPv6, as address/length) ... Null if the address is not public or
+    in no network. Addresses are looked up once each. Those of IPv4 meet the networks of their upper 16 bits only; those of IPv6 are cut
+    to each prefix length that occurs, and looked up by equality. Networks that can't be read are left out.
     """
+    asked = requests.select("src_ip").distinct().where(public_ip(F.col("src_ip")))
     n = networks.withColumn("block", F.explode(F.sequence(F.shiftright("start_ip", 16), F.shiftright("end_ip", 16))))
-    ips = requests.select("src_ip").distinct().where(public_ip(F.col("src_ip"))).select("src_ip", ipv4_number(F.col("src_ip")).alias("ip"))
-    ips = ips.withColumn("block", F.shiftright("ip", 16))
-    met = ips.join(n, "block").where(F.col("ip").between(F.col("start_ip"), F.col("end_ip")))
+    ips = asked.select("src_ip", ipv4_number(F.col("src_ip")).alias("ip")).where("ip IS NOT NULL")
+    met = ips.withColumn("block", F.shiftright("ip", 16)).join(n, "block").where(F.col("ip").between(F.col("start_ip"), F.col("end_ip")))
     best = met.groupBy("src_ip").agg(F.min_by(F.struct("country_iso", "country", "city"), F.struct(F.col("end_ip") - F.col("start_ip"), "start_ip")).alias("geo"))
+    if networks6 is not None:
+        best = best.unionByName(_geo6(asked, networks6))
     return requests.join(best, "src_ip", "left")
 
 
+def _geo6(asked: DataFrame, networks: DataFrame) -> DataFrame:
+    """src_ip, geo of IPv6 addresses in a network, by longest prefix."""
+    text = F.trim("network")
+    length = F.when(F.contains(text, F.lit("/")), F.substring_index(text, "/", -1).try_cast("int")).otherwise(128)
+    n = networks.select(ipv6_halves(F.substring_index(text, "/", 1)).alias("at"), length.alias("bits"), F.struct("country_iso", "country", "city").alias("place"))
+    n = n.where(F.col("at").isNotNull() & F.col("bits").between(0, 128)).select("bits", ipv6_network(F.col("at"), F.col("bits")).alias("net"), "place")
+    n = n.groupBy("bits", "net.hi", "net.lo").agg(F.min("place").alias("place"))
+    lengths = F.broadcast(n.agg(F.collect_set("bits").alias("lengths")))  # one row of 129 numbers at most
+    ips = asked.where(F.contains("src_ip", F.lit(":"))).select("src_ip", ipv6_halves(F.col("src_ip")).alias("at"))
+    probes = ips.join(lengths, F.lit(True)).select("src_ip", "at", F.explode("lengths").alias("bits"))
+    probes = probes.select("src_ip", "bits", ipv6_network(F.col("at"), F.col("bits")).alias("net")).select("src_ip", "bits", "net.hi", "net.lo")
+    return probes.join(n, ["bits", "hi", "lo"]).groupBy("src_ip").agg(F.max_by("place", "bits").alias("geo"))
+
+
 def session_key(cookie: Column, ip: Column) -> Column:
     return blank_to(cookie, F.concat(F.lit("ip-"), blank_to(ip, F.lit("unknown"))))
 

@@ -119,3 +119,15 @@ def eval_coverage(labels: DataFrame, enriched_ids: DataFrame) -> DataFrame:
 
 def requests_by_category(labels: DataFrame) -> DataFrame:
     return labels.groupBy("category").agg(F.count("*").alias("n"))
+
+
+def external_detections(labels: DataFrame, flags: DataFrame, name: str = "CRS") -> DataFrame:
+    """config (the name), ip, request_id of the labelled requests that an external detector flagged (flags: request_id, flagged): what
+    eval_request_level(), eval_by_category(), eval_source_level() and eval_by_actor() take. A source counts as alerted with one flagged request."""
+    hit = flags.where("flagged").select("request_id").distinct()
+    return labels.join(hit, "request_id", "left_semi").select(F.lit(name).alias("config"), "ip", "request_id")
+
+
+def flagged_scan_flood(labels: DataFrame, flags: DataFrame) -> DataFrame:
+    """n: flagged requests of scans and floods, which are no payload."""
+    return external_detections(labels.where(F.col("category").isin("scan", "flood")), flags).agg(F.count_distinct("request_id").alias("n"))

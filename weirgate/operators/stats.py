@@ -5,13 +5,17 @@ from __future__ import annotations
 import math
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import change_pct
 
 TREND_BUCKETS, TIMELINE_BUCKETS, HEATMAP_DAYS, MAX_HOURS = 24, 48, 7, 720
 SEVERITIES = ("critical", "high", "medium", "low")
+#: Ranges by which deep pages are found: microseconds of a day, an hour, a minute, a second, one; then characters of an id.
+TIME_LEVELS, ID_LEVELS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1), (2, 4, 8)
+#: So many rows may be sorted for a page.
+SORTED_ROWS = 20_000
 
 
 def _span(now: datetime, hours: int) -> tuple[datetime, datetime, datetime, int]:
@@ -132,10 +136,10 @@ def rule_overview(rules: DataFrame, stats: DataFrame) -> DataFrame:
     return x.select("id", "group", "enabled", "score", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def alert_kpi(alerts: DataFrame | None, now: datetime, hours: int = 24) -> DataFrame | None:
-    """alerts, previous, pct of the window and the one before it; None if there is no table."""
+def alert_kpi(alerts: DataFrame | None, now: datetime, hours: int = 24, spark: SparkSession | None = None) -> DataFrame:
+    """alerts, previous, pct of the window and the one before it. Without a table (alerts None; spark is needed then) they are null."""
     if alerts is None:
-        return None
+        return spark.createDataFrame([(None, None, None)], "alerts long, previous long, pct double")
     before, start, end, _ = _span(now, hours)
     seen = alerts.where((F.col("triggered_at") >= F.lit(before)) & (F.col("triggered_at") < F.lit(end)))
     cur = F.col("triggered_at") >= F.lit(start)
@@ -143,6 +147,13 @@ def alert_kpi(alerts: DataFrame | None, now: datetime, hours: int = 24) -> DataF
     return out.withColumn("pct", change_pct(F.col("alerts"), F.col("previous")))
 
 
+def alert_trend(alerts: DataFrame | None, now: datetime, hours: int = 24, spark: SparkSession | None = None) -> DataFrame:
+    """bucket 0..23, n of alerts by triggered_at; zeros without a table (alerts None; spark is needed then)."""
+    if alerts is None:
+        return spark.range(TREND_BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
+    return count_trend(alerts, now, hours, "triggered_at")
+
+
 def history_search(rows: DataFrame, now: datetime, hours: int | None = None, q: str | None = None, domain: str | None = None, attack_type: str | None = None, severity: str | None = None) -> DataFrame:
     """Attacks by time, equality, and a substring in any case of address, URL, rule or domain. No character of q is special."""
     x = in_window(rows, now, hours) if hours else rows
@@ -155,7 +166,35 @@ def history_search(rows: DataFrame, now: datetime, hours: int | None = None, q:
 
 
 def history_page(rows: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    return rows.orderBy(F.desc_nulls_last("detected_at"), "event_id").offset(min(max(offset, 0), 1_000_000)).limit(min(max(limit, 1), 1000))
+    """The rows from an offset on, newest first, without a time last, of one time by event_id.
+
+    A shallow page is a top-k. For a deep one, rows are counted by day, hour and so on down to the microsecond, then by the beginning of
+    event_id, each time only in the range in which the page lies, until few enough are left to sort. A count's rows are the ranges that occur.
+    """
+    offset, limit = min(max(offset, 0), 1_000_000), min(max(limit, 1), 1000)
+    order = [F.desc_nulls_last("detected_at"), F.asc("event_id")]
+    part, skip, size = rows, offset, offset + limit
+    for level in (*TIME_LEVELS, *ID_LEVELS) if size > SORTED_ROWS else ():
+        by_time = level in TIME_LEVELS
+        value = F.floor(F.unix_micros("detected_at") / level) if by_time else F.substring("event_id", 1, level)
+        first = F.desc_nulls_last("b") if by_time else F.asc("b")
+        up_to = F.sum("n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, 0))
+        ranges = part.groupBy(value.alias("b")).agg(F.count("*").alias("n")).withColumn("up_to", up_to)
+        page = ranges.where((F.col("up_to") > skip) & (F.col("up_to") - F.col("n") < skip + limit)).orderBy("up_to").collect()  # each range has rows of the page
+        if not page:
+            return part.limit(0)
+        known = [r.b for r in page if r.b is not None]
+        inside = F.lit(False)
+        if known and by_time:
+            inside = (F.col("detected_at") >= F.timestamp_micros(F.lit(min(known) * level))) & (F.col("detected_at") < F.timestamp_micros(F.lit((max(known) + 1) * level)))
+        elif known:
+            inside = (F.col("event_id") >= min(known)) & (F.substring("event_id", 1, level) <= max(known))
+        part = part.where(inside | F.col("detected_at" if by_time else "event_id").isNull() if len(known) < len(page) else inside)
+        skip -= page[0].up_to - page[0].n
+        size = sum(r.n for r in page)
+        if size <= SORTED_ROWS or (not by_time and len(page) > 1) or (level == 1 and by_time and len(page) > 1):
+            break
+    return part.orderBy(*order).offset(skip).limit(limit)
 
 
 def history_totals(rows: DataFrame) -> DataFrame:
@@ -197,6 +236,31 @@ def count_trend(rows: DataFrame, now: datetime, hours: int = 24, ts: str = "dete
     return _filled(rows, in_window(rows, now, hours, ts).groupBy(bucket(start, hours * 3600 / TREND_BUCKETS, ts).alias("bucket")).agg(F.count("*").alias("n")), TREND_BUCKETS)
 
 
+def history_histogram(rows: DataFrame, now: datetime, hours: int = 24) -> DataFrame:
+    """bucket, bucket_start, minutes, n of searched attacks in the timeline's buckets: about 48, each of whole minutes; empty ones are there too."""
+    _, start, _, hours = _span(now, hours)
+    minutes = max(1, math.ceil(hours * 60 / TIMELINE_BUCKETS))
+    counted = in_window(rows, now, hours).groupBy(bucket(start, minutes * 60).alias("bucket")).agg(F.count("*").alias("n"))
+    full = _filled(rows, counted, math.ceil(hours * 60 / minutes))
+    return full.select("bucket", F.timestamp_micros(F.unix_micros(F.lit(start)) + F.col("bucket").cast("long") * minutes * 60_000_000).alias("bucket_start"), F.lit(minutes).alias("minutes"), "n")
+
+
+def recent_alerts(alerts: DataFrame, limit: int = 100, domain: str | None = None) -> DataFrame:
+    """The newest alerts (1 to 500), of one domain if given, and total: the number of all alerts there are."""
+    total = alerts.agg(F.count("*").alias("total"))  # one row
+    return recent(alerts, "triggered_at", min(max(int(limit), 1), 500), domain).join(F.broadcast(total), F.lit(True))
+
+
+def detection_delay(rows: DataFrame, ts: str = "ts", seen: str = "seen_at") -> DataFrame:
+    """n, latest_ms (of the row seen last), average_ms, max_ms between a row's time and when it was seen, 0 at least. Rows without either are left out."""
+    delay = F.greatest(F.lit(0), F.unix_millis(seen) - F.unix_millis(ts))
+    return rows.where(F.col(ts).isNotNull() & F.col(seen).isNotNull()).agg(*delay_metrics(delay, F.struct(seen, ts)))
+
+
+def delay_metrics(delay: Column, order: Column) -> list[Column]:
+    return [F.count("*").alias("n"), F.max_by(delay, order).alias("latest_ms"), F.avg(delay).alias("average_ms"), F.max(delay).alias("max_ms")]
+
+
 def traffic_per_minute(requests: DataFrame, ts: str = "ts", minutes: int = 60) -> DataFrame:
     """domain, minute, n: the last 60 minutes of each domain that had requests."""
     counted = requests.groupBy("domain", F.date_trunc("minute", ts).alias("minute")).agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +43,26 @@ def default_rules(spark: SparkSession) -> DataFrame:
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
-    """A document {"schemaVersion", "rules": [..]} in JSON, of any store that Spark reads."""
-    rule = f"struct<{', '.join(f'{n}:{t}' for n, t in (x.rsplit(' ', 1) for x in SCHEMA.split(', ')))}>"
-    return spark.read.schema(f"schemaVersion int, rules array<{rule}>").json(path, multiLine=True).select(F.inline("rules"))
+    """The rules of a document {schemaVersion, rules: [..]} in JSON or YAML (by the file's name), of any store that Spark reads.
+
+    A document is small: the driver reads it whole. One with another field, in it or in a rule, or without rules, is refused, as a field
+    with a slip in its name would else be a rule that does less than it seems. enabled is true where it is left out.
+    """
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    if path.rstrip("/").lower().endswith((".yaml", ".yml")):
+        import yaml
+
+        document = yaml.safe_load(text)
+    else:
+        document = json.loads(text)
+    names = [x.split(" ", 1)[0] for x in SCHEMA.split(", ")]
+    rules = document.get("rules") if isinstance(document, dict) else None
+    if not isinstance(rules, list) or not all(isinstance(r, dict) for r in rules):
+        raise ValueError(f"{path} has no list of rules")
+    unknown = sorted({f"{k}" for k in document if k not in ("schemaVersion", "rules")} | {f"rules.{k}" for r in rules for k in r if k not in names})
+    if unknown:
+        raise ValueError(f"unknown fields in {path}: {', '.join(unknown)}")
+    return spark.createDataFrame([tuple(r.get(n, True if n == "enabled" else None) for n in names) for r in rules], SCHEMA)
 
 
 def validate_rules(rules: DataFrame, *within: str) -> tuple[DataFrame, DataFrame]:

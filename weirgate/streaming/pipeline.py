@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import DetectorConfig
 from ..functions.net import client_key
@@ -245,14 +246,16 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("batch string, files array<string>").json(f"{path}/_ledger/*.json")
 
 
-def read_table(spark: SparkSession, path: str, schema) -> DataFrame | None:
+def read_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame | None:
     """The rows of the batches that the ledger names; None as long as there are none."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     store, lines = hadoop_path(spark, f"{path}/_ledger/*.json")
     if not store.globStatus(lines):
         return None
     whole = ledger(spark, path).select(F.col("batch").alias("_whole"))
     whole = F.broadcast(whole) if whole.limit(1_000_001).count() <= 1_000_000 else whole  # names of under 100 bytes
-    rows = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*")
+    named = StructType([*schema.fields, StructField("batch", StringType())])  # batches may be empty, all of them too
+    rows = spark.read.schema(named).option("basePath", path).parquet(f"{path}/batch=*")
     return rows.join(whole, rows["batch"] == whole["_whole"], "left_semi").drop("batch")
 
 
