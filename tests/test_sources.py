@@ -136,3 +136,24 @@ def test_a_file_that_goes_away(tmp_path):
     with pytest.raises(FileNotFoundError):
         list(reader.read(parts[0]))
     assert list(tail.TailReader(str(tmp_path), True, False).read(parts[0])) == []
+
+
+def test_rule_documents(spark, tmp_path):
+    """JSON and YAML give the same rules; a field that nobody knows is refused."""
+    from weirgate.sources.rules import default_rules, load_rules, validate_rules
+
+    yaml = pytest.importorskip("yaml")
+    rules = [{**r.asDict(), "targets": list(r.targets)} for r in default_rules(spark).collect()]
+    import json
+
+    (tmp_path / "a.json").write_text(json.dumps({"schemaVersion": 1, "rules": rules}))
+    (tmp_path / "b.yaml").write_text("# rules\n" + yaml.safe_dump({"schemaVersion": 1, "rules": rules}, allow_unicode=True))
+    first, second = (load_rules(spark, str(tmp_path / n)) for n in ("a.json", "b.yaml"))
+    assert first.collect() == second.collect() == default_rules(spark).collect() and validate_rules(second)[1].count() == 0
+    (tmp_path / "c.yml").write_text("rules:\n  - {id: SOME_ID, group: g, targets: [url], pattern: 'a''b', score: 50}\n")
+    r = load_rules(spark, str(tmp_path / "c.yml")).first()
+    assert (r.id, r.pattern, r.enabled, r.normalizers) == ("SOME_ID", "a'b", True, None)
+    for n, text in enumerate(("rules:\n  - {id: SOME_ID, patern: x}\n", "version: 1\nrules: []\n", "rules: 3\n", "- a\n")):
+        (tmp_path / f"bad{n}.yaml").write_text(text)
+        with pytest.raises(ValueError):
+            load_rules(spark, str(tmp_path / f"bad{n}.yaml"))

@@ -165,16 +165,16 @@ def history_search(rows: DataFrame, now: datetime, hours: int | None = None, q:
     return x
 
 
-def history_page(rows: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+def history_page(rows: DataFrame, limit: int = 50, offset: int = 0, most: int = SORTED_ROWS) -> DataFrame:
     """The rows from an offset on, newest first, without a time last, of one time by event_id.
 
     A shallow page is a top-k. For a deep one, rows are counted by day, hour and so on down to the microsecond, then by the beginning of
-    event_id, each time only in the range in which the page lies, until few enough are left to sort. A count's rows are the ranges that occur.
+    event_id, each time only in the range in which the page lies, until at most `most` are left to sort. A count's rows are the ranges that occur.
     """
     offset, limit = min(max(offset, 0), 1_000_000), min(max(limit, 1), 1000)
     order = [F.desc_nulls_last("detected_at"), F.asc("event_id")]
     part, skip, size = rows, offset, offset + limit
-    for level in (*TIME_LEVELS, *ID_LEVELS) if size > SORTED_ROWS else ():
+    for level in (*TIME_LEVELS, *ID_LEVELS) if size > most else ():
         by_time = level in TIME_LEVELS
         value = F.floor(F.unix_micros("detected_at") / level) if by_time else F.substring("event_id", 1, level)
         first = F.desc_nulls_last("b") if by_time else F.asc("b")
@@ -192,7 +192,7 @@ def history_page(rows: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame
         part = part.where(inside | F.col("detected_at" if by_time else "event_id").isNull() if len(known) < len(page) else inside)
         skip -= page[0].up_to - page[0].n
         size = sum(r.n for r in page)
-        if size <= SORTED_ROWS or (not by_time and len(page) > 1) or (level == 1 and by_time and len(page) > 1):
+        if size <= most or (not by_time and len(page) > 1) or (level == 1 and by_time and len(page) > 1):
             break
     return part.orderBy(*order).offset(skip).limit(limit)
 
@@ -202,9 +202,9 @@ def history_totals(rows: DataFrame) -> DataFrame:
 
 
 def export_history(rows: DataFrame, path: str, limit: int = 1000) -> None:
-    """CSV of the newest attacks, all quoted."""
+    """CSV of the newest attacks, all quoted, with times to the microsecond."""
     names = ["detected_at", "domain", "severity", "attack_type", "rule_id", "src_ip", "method", "url", "status", "score", "matched_value"]
-    rows.orderBy(F.desc_nulls_last("detected_at"), "event_id").limit(limit).select(*names).coalesce(1).write.csv(path, header=True, quoteAll=True, escape='"', mode="overwrite")
+    rows.orderBy(F.desc_nulls_last("detected_at"), "event_id").limit(limit).select(*names).coalesce(1).write.csv(path, header=True, quoteAll=True, escape='"', timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", mode="overwrite")
 
 
 def recent(rows: DataFrame, ts: str, n: int, domain: str | None = None) -> DataFrame:

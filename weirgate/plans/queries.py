@@ -13,7 +13,8 @@ from ..functions.net import client_key, public_ip
 from ..functions.text import normalize_request, percent_decode, severity, stable_event_id, strip_sql_comments, url_of
 from ..operators import alerting, detect, enrich, evaluate, matching, metrics, parse, stats
 from ..sources import envelopes, logs
-from ..sources.rules import active_rules, apply_rule_changes, default_rules, validate_rules
+from ..sources.rules import active_rules, apply_rule_changes, default_rules, load_rules, validate_rules
+from ..sources.shared import shared_folder, stored
 from . import views
 from .oracle import BUCKET, CURRENT, HISTOGRAM, IN_BOTH, IN_WINDOW, STAGE_CASE, confusion, with_
 from .views import HOURS, NOW
@@ -23,6 +24,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: The busiest domain's flood is below the default of 300 at small scale; both engines use this one.
 DDOS = DetectorConfig(ddos_requests=200)
+_START_US = f"epoch_us(TIMESTAMP '{NOW}' - INTERVAL {HOURS} HOUR)"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -685,3 +687,144 @@ def eval_crs(spark, d):
     flags = logs.crs_flags(log)
     labels = evaluate.observed_labels(views.labels(r), r.select("request_id")).join(flags, "request_id", "left")
     return evaluate.confusion_metrics(labels.select((F.col("label") != "benign").alias("positive"), F.coalesce("flagged", F.lit(False)).alias("detected")))
+
+
+@query(with_("SELECT category, found, total, round_even(found::DOUBLE / total, 4) AS recall FROM (SELECT category, count(*) FILTER (WHERE CAST(substr(request_id, 5) AS BIGINT) % 3 = 0) AS found, count(*) AS total FROM observed WHERE category NOT IN ('benign', 'scan', 'flood') GROUP BY 1)", "observed"))
+def eval_crs_by_category(spark, d):
+    labels, hits = _external(spark, d)
+    return evaluate.eval_by_category(labels, hits).drop("config")
+
+
+_CRS_SOURCES = "(SELECT a.actor NOT LIKE 'benign%' AS positive, h.ip IS NOT NULL AS detected, a.actor FROM actors a LEFT JOIN (SELECT DISTINCT ip FROM observed WHERE CAST(substr(request_id, 5) AS BIGINT) % 3 = 0 AND CAST(split_part(ip, '.', 4) AS INTEGER) % 2 = 0) h USING (ip))"
+
+
+@query(with_(confusion(_CRS_SOURCES), "actors"))
+def eval_crs_sources(spark, d):
+    labels, hits = _external(spark, d)
+    return evaluate.eval_source_level(labels, hits.where(_EVEN_IP)).drop("config")
+
+
+@query(with_(f"SELECT actor, concat(count(*) FILTER (WHERE detected), '/', count(*)) AS share FROM {_CRS_SOURCES} GROUP BY 1", "actors"))
+def eval_crs_by_actor(spark, d):
+    labels, hits = _external(spark, d)
+    return evaluate.eval_by_actor(labels, hits.where(_EVEN_IP)).drop("config")
+
+
+@query(with_("SELECT count(*) AS n FROM observed WHERE category IN ('scan', 'flood') AND CAST(substr(request_id, 5) AS BIGINT) % 3 = 0", "observed"))
+def crs_scan_flood(spark, d):
+    r = views.requests(spark, d)
+    return evaluate.flagged_scan_flood(evaluate.observed_labels(views.labels(r), r.select("request_id")), r.select("request_id", (F.col("seq") % 3 == 0).alias("flagged")))
+
+
+#: So that some sources have no flagged request.
+_EVEN_IP = "CAST(split_part(ip, '.', 4) AS INT) % 2 = 0"
+
+
+def _external(spark, d):
+    """Labels, and what an external detector that flags every third request found."""
+    r = views.requests(spark, d)
+    labels = evaluate.observed_labels(views.labels(r), r.select("request_id"))
+    return labels, evaluate.external_detections(labels, r.select("request_id", (F.col("seq") % 3 == 0).alias("flagged")))
+
+
+# ---- scope, geography, history, feeds
+
+
+@query(with_("SELECT seq, ip AS src_ip, CASE WHEN g = 9 AND family = 6 THEN NULL WHEN ip LIKE '2001:4860:2:%' AND h BETWEEN 256 AND 299 THEN 'Host' WHEN g = 2 AND family = 6 THEN 'Narrow' WHEN g BETWEEN 4 AND 7 AND family = 6 THEN 'Quad' WHEN family = 6 THEN 'Wide' WHEN ip LIKE '8.8.4.%' THEN CASE WHEN CAST(split_part(ip, '.', 4) AS INTEGER) < 16 THEN 'Springfield' ELSE 'Anytown' END END AS city FROM (SELECT seq, seq % 10 AS g, seq % 300 AS h, CASE WHEN seq % 3 = 0 THEN 4 ELSE 6 END AS family, CASE WHEN seq % 3 = 0 THEN src_ip WHEN seq % 10 = 9 THEN concat('2001:db8::', format('{:x}', seq % 300)) ELSE concat('2001:4860:', format('{:x}', seq % 10), '::', format('{:x}', seq % 300)) END AS ip FROM requests)", "requests"))
+def geo_both_families(spark, d):
+    digits = lambda n: F.lower(F.hex(F.col("seq") % n))
+    six = F.when(F.col("seq") % 10 == 9, F.concat(F.lit("2001:db8::"), digits(300))).otherwise(F.concat(F.lit("2001:4860:"), digits(10), F.lit("::"), digits(300)))
+    r = views.requests(spark, d).withColumn("src_ip", F.when(F.col("seq") % 3 == 0, F.col("src_ip")).otherwise(six))
+    return enrich.geo_enrich(r, views.networks(spark), views.networks6(spark)).select("seq", "src_ip", "geo.city")
+
+
+@query(with_("SELECT DISTINCT lower(domain) AS target, CASE WHEN contains(domain, '.') THEN 'domain' ELSE 'app' END AS target_type, true AS enabled FROM requests UNION SELECT 'seed-app', 'app', true", "requests"))
+def seeded_scope(spark, d):
+    """An empty allowlist, seeded with the domains that the requests have; seeding what has rows changes nothing."""
+    names = views.requests(spark, d).agg(F.array_join(F.array_sort(F.collect_set("domain")), ",").alias("names")).first().names  # a few domains
+    seeded = enrich.seeded_scope(views.allowlist(spark).where(F.lit(False)), names + ", Seed-App,")
+    return enrich.seeded_scope(seeded, "other.local").select("target", "target_type", "enabled")
+
+
+@query(with_("SELECT target, enabled FROM (SELECT DISTINCT lower(domain) AS target, seq % 2 = 0 AS enabled FROM requests WHERE seq < 40) WHERE contains(target, 'o') AND enabled", "requests"))
+def allowlist_filter(spark, d):
+    names = views.requests(spark, d).where("seq < 40").select(F.lower("domain").alias("target"), (F.col("seq") % 2 == 0).alias("enabled")).distinct()
+    listed = names.withColumns({"note": F.lit(None).cast("string"), "target_type": F.lit("domain")})
+    return enrich.allowlist_list(listed, q="O", target_type="domain", enabled=True).select("target", "enabled")
+
+
+@query(with_("SELECT event_id, epoch_us(detected_at) AS us, rule_id FROM attacks ORDER BY detected_at DESC, event_id LIMIT 200 OFFSET (SELECT count(*) * 9 // 10 FROM attacks)", "attacks"))
+def history_deep_page(spark, d):
+    """A page behind nine tenths of the attacks, found by counting."""
+    a = stored(views.attacks(spark, d).select("event_id", "detected_at", "rule_id"), "attacks")
+    return stats.history_page(a, 200, a.count() * 9 // 10, 500).select("event_id", F.unix_micros("detected_at").alias("us"), "rule_id")
+
+
+@query(with_(f"SELECT CAST(b AS INTEGER) AS bucket, {_START_US} + b * 12600000000 AS start_us, 210 AS minutes, coalesce(n, 0) AS n FROM range(48) t(b) LEFT JOIN (SELECT (epoch_us(detected_at) - {_START_US}) // 12600000000 AS k, count(*) AS n FROM attacks WHERE {IN_WINDOW} AND domain = 'shop.local' GROUP BY 1) ON k = b", "attacks"))
+def history_histogram(spark, d):
+    x = stats.history_histogram(stats.history_search(views.attacks(spark, d), NOW, domain="shop.local"), NOW, HOURS)
+    return x.select("bucket", F.unix_micros("bucket_start").alias("start_us"), "minutes", "n")
+
+
+@query(with_("SELECT seq, domain, score, (SELECT count(*) FROM sent) AS total FROM (SELECT seq, lower(domain) AS domain, score, ts_s, request_id FROM sent) WHERE domain = 'blog.local' ORDER BY ts_s DESC, request_id LIMIT 500", "sent"))
+def recent_alerts_total(spark, d):
+    x = _alerts(spark, d).withColumns({"domain": F.lower("domain"), "event_id": F.col("request_id"), "triggered_at": F.timestamp_seconds("ts_s")})
+    return stats.recent_alerts(x, 9999, "blog.local").select("seq", "domain", "score", "total")
+
+
+@query(with_("SELECT CAST(b AS INTEGER) AS bucket, coalesce(n, 0) AS n, CAST(0 AS BIGINT) AS without FROM range(24) t(b) LEFT JOIN (SELECT (second - (1704067300 + 60 - 3600)) // 150 AS k, count(*) AS n FROM sent WHERE second >= 1704067300 + 60 - 3600 AND second < 1704067300 + 60 GROUP BY 1) ON k = b", "sent"))
+def alert_trend(spark, d):
+    """Alerts by bucket, beside what there is without a table of alerts."""
+    now = datetime(2024, 1, 1, 0, 2, 40)
+    x = _alerts(spark, d).withColumn("triggered_at", F.timestamp_seconds("ts_s"))
+    return stats.alert_trend(x, now, 1).join(stats.alert_trend(None, now, 1, spark).withColumnRenamed("n", "without"), "bucket")
+
+
+@query(with_("SELECT count(*) AS n, arg_max(ms, (ts_s * 1000 + ms, ts_s)) AS latest_ms, avg(ms) AS average_ms, max(ms) AS max_ms FROM (SELECT ts_s, greatest(0, seq * 37 % 5000 - 200) AS ms FROM requests WHERE seq % 11 <> 0)", "requests"))
+def detection_delay(spark, d):
+    """Requests that are seen up to five seconds later; some clocks run ahead, some were never seen."""
+    r = views.requests(spark, d).withColumns({"at": F.timestamp_seconds("ts_s"), "ms": F.col("seq") * 37 % 5000 - 200})
+    return stats.detection_delay(r.withColumn("seen_at", F.when(F.col("seq") % 11 != 0, F.timestamp_millis(F.col("ts_s") * 1000 + F.greatest(F.lit(0), F.col("ms"))))), "at", "seen_at")
+
+
+# ---- catalogues and files
+
+
+@query(with_("SELECT r.rule_id AS id, rule_group AS grp, rule_score AS score, targets, coalesce(n, 0) AS n FROM rules r LEFT JOIN (SELECT rule_id, count(*) AS n FROM matches GROUP BY 1) m USING (rule_id)", "rules", "matches"))
+def loaded_rule_hits(spark, d):
+    """A rule document that Spark wrote as JSON, loaded, checked and matched."""
+    rules = default_rules(spark)
+    path = f"{shared_folder(spark, 'rules')}/document.json"
+    rules.agg(F.lit(1).alias("schemaVersion"), F.collect_list(F.struct(*rules.columns)).alias("rules")).coalesce(1).write.json(path)
+    loaded, _ = validate_rules(load_rules(spark, path))
+    hits = matching.rule_matches(views.requests(spark, d), loaded).groupBy("rule_id").agg(F.count("*").alias("n"))
+    x = loaded.join(hits, loaded["id"] == hits["rule_id"], "left")
+    return x.select("id", F.col("group").alias("grp"), "score", F.array_join("targets", " ").alias("targets"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(with_("SELECT event_type AS pipeline, concat(event_type, '.local') AS domain, 'ingestion>normalize>detect' AS stages FROM events GROUP BY 1", "requests"))
+def pipeline_files(spark, d):
+    """Pipeline definitions written as one file each, and read."""
+    names = views.events(spark, d).select("event_type").distinct()
+    text = F.concat(F.lit("pipeline: "), "event_type", F.lit("\ndomain: "), "event_type", F.lit(".local\nstages:\n  - ingestion\n  - normalize\n  - name: detect\n"))
+    path = f"{shared_folder(spark, 'pipelines')}/files"
+    names.select(text.alias("value"), F.col("event_type").alias("of")).repartition("of").write.partitionBy("of").text(path)
+    found = logs.pipelines(spark, f"{path}/of=*/*.txt")
+    return found.select("pipeline", "domain", F.array_join("stages", ">").alias("stages"))
+
+
+@query(with_("SELECT category, label, count(*) AS n, sum(t) AS t FROM labels_ GROUP BY 1, 2", "labels_"))
+def jsonl_labels(spark, d):
+    """Labels written as JSON lines, and read."""
+    path = f"{shared_folder(spark, 'labels')}/lines"
+    views.labels(views.requests(spark, d)).write.json(path)
+    return logs.read_jsonl(spark, path, "request_id string, category string, label string, t double").groupBy("category", "label").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
+
+
+@query(with_("SELECT epoch_us(detected_at) AS us, domain, severity, rule_id, url, CAST(status AS VARCHAR) AS status, matched_value FROM attacks ORDER BY detected_at DESC, event_id LIMIT 1000", "attacks"))
+def exported_history(spark, d):
+    """The newest thousand attacks as CSV, and read again."""
+    path = f"{shared_folder(spark, 'export')}/csv"
+    stats.export_history(views.attacks(spark, d), path)
+    x = spark.read.csv(path, header=True, escape='"', multiLine=True)
+    return x.select(F.unix_micros(F.col("detected_at").cast("timestamp")).alias("us"), "domain", "severity", "rule_id", "url", "status", "matched_value")

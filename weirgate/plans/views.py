@@ -105,6 +105,11 @@ def networks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "start_ip long, end_ip long, country_iso string, country string, city string")
 
 
+def networks6(spark: SparkSession) -> DataFrame:
+    rows = [("2001:4860::/32", "Wide"), ("2001:4860:2::/48", "Narrow"), ("2001:4860:2::100/120", "Host"), ("2001:4860:4::/46", "Quad"), ("2001:db8::/32", "Example"), ("nonsense/40", "None")]
+    return spark.createDataFrame([(n, "US", "United States", c) for n, c in rows], "network string, country_iso string, country string, city string")
+
+
 def labels(requests_: DataFrame) -> DataFrame:
     """Labels that a request's path and query give, as an experiment would have them."""
     cat = F.expr("CASE WHEN query_string LIKE '%UNION%' THEN 'sql_injection' WHEN query_string LIKE '%script%' THEN 'xss' WHEN query_string LIKE '%passwd%' THEN 'lfi' WHEN path LIKE '/old-%' THEN 'scan' WHEN query_string LIKE 'q=O%' THEN 'ssti' ELSE 'benign' END")
