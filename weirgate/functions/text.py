@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,13 +25,15 @@ def html_decode(value: Column) -> Column:
 
 
 def normalize_request(value: Column, plus_as_space: bool = False) -> Column:
-    """Two rounds of percent and HTML decoding; null is empty; cut to 16,384 characters."""
-    once = html_decode(percent_decode(F.coalesce(value, F.lit("")), plus_as_space))
-    return F.substring(html_decode(percent_decode(once, plus_as_space)), 1, MAX_NORMALIZED)
+    """Two rounds of percent and HTML decoding; null is empty; cut to 16,384 characters. What holds no mark of either is left alone."""
+    text = F.coalesce(value, F.lit(""))
+    once = html_decode(percent_decode(text, plus_as_space))
+    marked = reduce(or_, [F.contains(text, F.lit(c)) for c in ("%&+" if plus_as_space else "%&")])
+    return F.substring(F.when(marked, html_decode(percent_decode(once, plus_as_space))).otherwise(text), 1, MAX_NORMALIZED)
 
 
 def strip_sql_comments(value: Column) -> Column:
-    return F.regexp_replace(value, SQL_COMMENT, " ")
+    return F.when(F.contains(value, F.lit("/*")), F.regexp_replace(value, SQL_COMMENT, " ")).otherwise(value)
 
 
 def url_of(path: Column, query: Column) -> Column:

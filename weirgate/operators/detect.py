@@ -184,8 +184,13 @@ def alerts(scored: DataFrame, cfg: DetectorConfig = DetectorConfig(), arrival: b
 
     What calls for an alert is written to the shared folder first, so that the scores are worked out once.
     """
-    due = stored(scored.where(F.col("score") >= cfg.alert_score).withColumn("second", F.floor(F.col("ts_ms") / 1000)), "alerts-due")
-    return with_cooldown(due, "client", "second", "seq", cfg.alert_cooldown_s, arrival).withColumn("suppressed", ~F.col("fired")).drop("fired", "second")
+    return with_suppressed(stored(scored.where(F.col("score") >= cfg.alert_score), "alerts-due"), cfg, arrival)
+
+
+def with_suppressed(due: DataFrame, cfg: DetectorConfig, arrival: bool = False) -> DataFrame:
+    """due, which call for an alert, and suppressed. They are read twice."""
+    seconds = due.withColumn("_second", F.floor(F.col("ts_ms") / 1000))
+    return with_cooldown(seconds, "client", "_second", "seq", cfg.alert_cooldown_s, arrival).withColumn("suppressed", ~F.col("fired")).drop("fired", "_second")
 
 
 def alert_reason(cfg: DetectorConfig = DetectorConfig()) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DetectorConfig
-from .detect import alerts, client_window, scored_by, with_matches
+from ..sources.shared import stored
+from .detect import client_window, scored_by, with_matches, with_suppressed
 from .matching import rule_matches
 
 # Categories that are no payload.
@@ -15,11 +16,11 @@ NO_PAYLOAD = ("benign", "scan", "flood")
 
 def ablation_replay(requests: DataFrame, rules: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """Scored requests and alert (fired) under A rules only, B behaviour only, C both; config tells them apart. Each request is windowed and
-    matched once, and then stands once for each config."""
-    x = with_matches(client_window(requests, cfg), rule_matches(requests, rules).select("request_id", "rule_id", "rule_group", "rule_score"))
+    matched once, which is written to the shared folder, and then stands once for each config."""
+    x = stored(with_matches(client_window(requests, cfg), rule_matches(requests, rules).select("request_id", "rule_id", "rule_group", "rule_score")), "ablation")
     x = x.withColumn("config", F.explode(F.array(*map(F.lit, "ABC"))))
     scored = scored_by(x, cfg, by_rules=F.col("config") != "B", by_behaviour=F.col("config") != "A")
-    fired = alerts(scored.withColumn("client", F.concat_ws("|", "config", "client")), cfg).where("NOT suppressed").select("config", "request_id", F.lit(True).alias("alert"))
+    fired = with_suppressed(scored.withColumn("client", F.concat_ws("|", "config", "client")).where(F.col("score") >= cfg.alert_score), cfg).where("NOT suppressed").select("config", "request_id", F.lit(True).alias("alert"))
     return scored.join(fired, ["config", "request_id"], "left").withColumn("alert", F.coalesce("alert", F.lit(False)))
 
 

@@ -202,9 +202,9 @@ def history_totals(rows: DataFrame) -> DataFrame:
 
 
 def export_history(rows: DataFrame, path: str, limit: int = 1000) -> None:
-    """CSV of the newest attacks, all quoted, with times to the microsecond."""
+    """CSV of the newest attacks, all quoted, with times to the microsecond and blanks as they are."""
     names = ["detected_at", "domain", "severity", "attack_type", "rule_id", "src_ip", "method", "url", "status", "score", "matched_value"]
-    rows.orderBy(F.desc_nulls_last("detected_at"), "event_id").limit(limit).select(*names).coalesce(1).write.csv(path, header=True, quoteAll=True, escape='"', timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", mode="overwrite")
+    rows.orderBy(F.desc_nulls_last("detected_at"), "event_id").limit(limit).select(*names).coalesce(1).write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", mode="overwrite")
 
 
 def recent(rows: DataFrame, ts: str, n: int, domain: str | None = None) -> DataFrame:
