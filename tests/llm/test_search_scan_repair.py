@@ -249,3 +249,26 @@ def test_repair_of_nothing(spark):
     assert repair_conversations(damage(none)).count() == 0
     only = repair_conversations(none, spark.createDataFrame([(1,), (1,), (None,)], "conv_id long")).collect()
     assert {(r.conv_id, r.cost, r.audit, r.repaired_sha256) for r in only} == {(i, 0, "", hashlib.sha256(b"").hexdigest()) for i in (1, None)} and len(only) == 2
+
+
+# ---- earlier operators on repeated rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_languages_of_repeated_rows(spark, monkeypatch, seed):
+    """A text that stands thousands of times is one text; a language with few or repeated texts is learnt."""
+    from weirgate.llm import language_id
+
+    monkeypatch.setattr(language_id, "STEPS", 60)
+    rng = random.Random(seed)
+    prose = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(30))
+    one = [(prose("abcdefg"), "en")] * 9000
+    net = language_id.learn(spark.createDataFrame(one, "text string, lang string"), 300)
+    assert net.langs == ["en"]
+    many = one + [(prose("éèàçuvw"), "fr") for _ in range(300)] + [(prose("жшщыэюя"), "ru")] * 2
+    df = spark.createDataFrame(many, "text string, lang string")
+    net = language_id.learn(df, 300)
+    assert sorted(net.langs) == ["en", "fr", "ru"]
+    got = language_id.identify(df, net).groupBy("lang").agg({"*": "count"}).collect()
+    right = language_id.identify(df, net).where("lang = lang_pred").count()
+    assert len(got) == 3 and right / len(many) > 0.97

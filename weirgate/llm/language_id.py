@@ -24,7 +24,7 @@ from .common import packed, table, with_columns
 
 HIDDEN, WINDOW, TRAIN_WINDOW = 8, 128, 64
 #: Texts that are learnt from, at most, and windows of each; drawn by hash, the same number of each language if there are enough.
-SAMPLE_TEXTS, WINDOWS_OF_TEXT = 4_000, 4
+SAMPLE_TEXTS, WINDOWS_OF_TEXT, LEAST_TEXTS = 4_000, 4, 20
 STEPS, BATCH, RATE = 450, 160, 0.03
 #: A byte that closes the gate: the state passes it unchanged. It fills the last window of a text.
 PAD = 256
@@ -179,37 +179,42 @@ def probabilities(net: ByteNetwork, column: pa.Array) -> np.ndarray:
 
 
 def _drawn_windows(batches: Iterator[pa.RecordBatch], width: int, windows: int) -> Iterator[pa.RecordBatch]:
-    """lang, k, bytes of some windows of each text, at places that the text's own hash picks."""
+    """lang, k, nth (number), bytes of some windows of each text, at places that the text's own hash picks."""
     for rows in batches:
         for part in tokens.batches(rows, "text"):
             data, offsets = tokens._bytes_of(part.column("text"))
-            at, cut = [], []
+            at, nth, cut = [], [], []
             for i, k in enumerate(part.column("k").to_pylist()):
                 whole = data[offsets[i] : offsets[i + 1]]
                 rng = np.random.Generator(np.random.PCG64(k & (2**63 - 1)))
-                for begin in rng.integers(0, max(1, len(whole) - width + 1), windows if len(whole) else 0):
+                for n, begin in enumerate(rng.integers(0, max(1, len(whole) - width + 1), windows if len(whole) else 0)):
                     at.append(i)
+                    nth.append(n)
                     cut.append(whole[begin : begin + width].tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(at, pa.int64())), part.column("k").take(pa.array(at, pa.int64())), pa.array(cut, pa.binary())], ["lang", "k", "bytes"])
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("lang").take(at), part.column("k").take(at), pa.array(nth, pa.int32()), pa.array(cut, pa.binary())], ["lang", "k", "nth", "bytes"])
 
 
 def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> ByteNetwork | None:
     """Fits the network on docs (text, lang), null and empty ones left out; None if that leaves nothing.
 
-    Of each language about texts / (number of languages) texts are drawn by hash, and WINDOWS_OF_TEXT windows of
-    TRAIN_WINDOW bytes of each: that, and a count per language, is all that the driver gets.
+    Of each language about texts / (number of languages) different texts are drawn by hash, LEAST_TEXTS at least, or all if there are no more,
+    and WINDOWS_OF_TEXT windows of TRAIN_WINDOW bytes of each: that, and a count per language, is all that the driver gets.
+    Copies of a text count as one, however many there are.
     """
-    known = docs.where("lang IS NOT NULL AND text <> ''").select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(texts).collect()}
+    known = docs.where("lang IS NOT NULL AND text <> ''").select("text", "lang", F.xxhash64(F.lit("sample"), "text").alias("k"))
+    different = known.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("k").alias("n"))
+    counts = {r["lang"]: r["n"] for r in different.orderBy(F.desc("rows"), "lang").limit(texts).collect()}
     if not counts:
         return None
-    each = max(1, texts // len(counts))
-    rates = docs.sparkSession.createDataFrame([(k, min(1_000_000, each * 1_000_000 // n + 1)) for k, n in counts.items()], "lang string, rate long")
-    drawn = known.withColumn("k", F.xxhash64(F.lit("sample"), "text")).join(F.broadcast(rates), "lang")
-    drawn = drawn.where(F.pmod("k", F.lit(1_000_000)) < F.col("rate")).select("text", "lang", "k")
-    found = drawn.mapInArrow(lambda b: _drawn_windows(b, TRAIN_WINDOW, WINDOWS_OF_TEXT), "lang string, k long, bytes binary")
-    # repeated texts are drawn together: the limit holds for any input
-    rows = sorted(found.limit(4 * WINDOWS_OF_TEXT * texts).collect())
+    each = max(LEAST_TEXTS, texts // len(counts))
+    rates = docs.sparkSession.createDataFrame([(k, min(1_000_000, 6 * each * 1_000_000 // (5 * n) + 1)) for k, n in counts.items()], "lang string, rate long")
+    drawn = known.join(F.broadcast(rates), "lang").where(F.pmod("k", F.lit(1_000_000)) < F.col("rate")).select("text", "lang", "k")
+    # a text's windows follow from it, so those of its copies fall together; a short one has the same window several times, with as many numbers
+    found = drawn.mapInArrow(lambda b: _drawn_windows(b, TRAIN_WINDOW, WINDOWS_OF_TEXT), "lang string, k long, nth int, bytes binary").distinct()
+    rows = sorted(found.limit(4 * WINDOWS_OF_TEXT * each * len(counts)).collect())  # about 1.2 * each texts a language
+    if not rows:
+        return None
     windows = np.full((len(rows), TRAIN_WINDOW), PAD, np.int64)
     for x, r in zip(windows, rows, strict=True):
         x[: len(r["bytes"])] = np.frombuffer(r["bytes"], np.uint8)
