@@ -105,3 +105,30 @@ def test_delay_of_rows_and_of_a_stream(spark, tmp_path):
     q.awaitTermination()
     seen = [p["observedMetrics"]["detection_delay"] for p in (json.loads(p.json) for p in q.recentProgress) if p["observedMetrics"]]
     assert seen and (seen[0]["n"], seen[0]["max_ms"], seen[0]["latest_ms"]) == (3, 2500, 0)
+
+
+def test_counts_that_merge(spark):
+    """Rollups of two days, numbered one after the other, against counts over the rows."""
+    from weirgate.operators import rollup
+
+    rng = random.Random(5)
+    rows = [(f"10.0.{rng.randrange(40)}.{rng.randrange(20)}", rng.choice(["a", "b", None]), rng.choice(["R1", "R2", "R3"]), NOW - timedelta(minutes=rng.randrange(4500))) for _ in range(3000)]
+    rows += [(None, "a", "R1", NOW - timedelta(hours=1)), ("9.9.9.9", "c", "R4", None)]
+    df = spark.createDataFrame(rows, "src_ip string, domain string, rule_id string, detected_at timestamp")
+    parts = [df.where(F.col("detected_at") < NOW - timedelta(days=1)), df.where((F.col("detected_at") >= NOW - timedelta(days=1)) | F.col("detected_at").isNull())]
+    tables, rolled = {}, None
+    for part in parts:
+        tables = {c: rollup.numbered(part, c, tables.get(c)).cache() for c in ("src_ip", "domain", "rule_id")}
+        one = rollup.attack_rollup(part, tables)
+        rolled = one if rolled is None else rolled.unionByName(one)
+    n, least, most = tables["src_ip"].agg(F.count_distinct("number"), F.min("number"), F.max("number")).first()
+    assert (least, most) == (0, n - 1) and n == tables["src_ip"].count() == len({r[0] for r in rows} - {None})
+    names = ["attacks", "previous_attacks", "ips", "previous_ips", "attacks_pct", "ips_pct"]
+    for hours in (24, 48):
+        assert rollup.kpi_from_rollup(rolled, NOW, hours).select(*names).first() == stats.kpi_window(df, NOW, hours).select(*names).first()
+        got, want = (sorted(map(tuple, x.select("bucket", "attacks", "ips", "domains", "rules").collect())) for x in (rollup.trend_from_rollup(rolled, NOW, hours), stats.attack_trend(df, NOW, hours)))
+        assert got == want
+    with pytest.raises(ValueError):
+        rollup.kpi_from_rollup(rolled, NOW + timedelta(minutes=5))
+    none = rollup.attack_rollup(df.limit(0), {"src_ip": rollup.numbered(df.limit(0), "src_ip")})
+    assert tuple(rollup.kpi_from_rollup(none, NOW).select(*names).first()) == (0, 0, 0, 0, None, None)

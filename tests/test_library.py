@@ -80,7 +80,7 @@ def test_rule_sample_and_lint(spark):
     r = matching.rule_test(default_rules(spark), df).where("rule_id = 'SQLI_BOOLEAN_TAUTOLOGY'").first()
     assert (r.field, r.matched_value.strip(), r.end) == ("query", "OR 1=1", 11)
     assert lint("(?=x)") and lint(r"(a)\1") and lint("a{2000}") and lint("(") and not lint(r"(?i)a\s*$")
-    assert to_java(r"(?i)a[\s$]$") == r"(?iu)a[\t\n\f\r $]\z"
+    assert to_java(r"(?i)a[\s$]$") == r"(?d)(?iu)a[\t\n\f\r $]\z"
     good, bad = validate_rules(default_rules(spark).unionByName(default_rules(spark).limit(1)))
     assert good.count() == 19 and bad.count() == 2
 

@@ -3,10 +3,11 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from weirgate.functions.regex import needed_literals
+from weirgate.functions.regex import lint, needed_literals, to_java
 from weirgate.operators import matching
 from weirgate.sources.rules import DEFAULT_RULES, SCHEMA, default_rules
 
@@ -57,3 +58,45 @@ def test_only_enabled_rules(spark):
     with pytest.raises(ValueError):
         matching.rule_matches(df, default_rules(spark).withColumn("enabled", F.lit(False)))
     assert [r.rule_id for r in matching.rule_matches(df, default_rules(spark)).collect()] == ["SCANNER_TOOL_UA"]
+
+
+PATTERNS = [
+    r"(?i)a[\s$]$", r"(?m)^b$", "a{,2}", "b{x}", "x{", "[]a]+", "[a&&b]", "[a[b]", "[^]a]", r"(?P<one>a+)(?P<two_2>b)", r"\pN+", r"\p{Greek}", r"\PL", r"\p{^Lu}+", r"\P{^Lu}", r"\Qa.b*\E+", r"\Q(", r"a\Q\E*",
+    "(?:a{100}){10}", "(a?){3}b", "a+?b", "a*?", "(?i:a)B", "(?i)a(?-i)b", "(?s).", "(?s:.)b", "a.b", r"\101", r"\x41\x{42}", "[[:alpha:]_]+", "[[:^digit:]]", "[[:word:]-]", r"\v", r"[\v\s]", r"a\z", r"\Aa", r"\bab\b", r"[\S]", r"\S", r"[^\s]b", r"\.", r"\-", r"[a\-z]", r"\_", "a|", "|a", "()", "(|b)", "é+", r"[à-ü]", "(?i)É", "(?i)k", "(?i)ſ", "~", "[~a]", "a#b", "(?i)straße", r"[\d\W]+", "(?P<1>x)", r"[\x41-\x43\d]", r"[+--]", r"[a-c-e]", r"[\t-\r]", r"\07", r"\n",
+    # refused
+    "a**", "a++", "a?+", "a{2}{3}", "(?:a{100}){11}", "(?:(?:a{10}){10}){11}", "a{1001}", "a{5,2}", "*a", "a|*", "(*a)", "(?=a)", "(?!a)", "(?<=a)b", "(?<!a)b", "(?>a)", r"(a)\1", r"\2", "(", ")", "(a", "a)", "[a", "[", "[z-a]", r"[a-\d]", r"[\x43-\x41]", "a\\", r"\h", r"\Z", r"\G", r"\R", r"\X", r"\K", r"\k<a>", r"\e", r"\cA", r"\u0041", r"\xZZ", r"\x{110000}", "[[:nope:]]", r"[\b]", r"[\z]", "(?P=a)", "(?x)a", "(?d)a", "(?u)a", "(?#c)", "(?", "(?i", r"[\Qa]",
+]
+TEXTS = ["", "a", "b", "ab", "aab", "AB", "a\nb", "b\n", "a\n", "x", "x{", "a{,2}", "b{x}", "]", "&", "[", "a.b*", "a.b**", "(", "\x0b", "\u2028", "a\u2028b", "a\rb", "A", "12", "١", "α", "Ω", "É", "é", "K", "k", "ſ", "s", "_", "-", "~", "#", "a#b", "a" * 1000, "STRASSE", "straße", "Lu", "\t", " ", "ü", "\x07", "aaab"]
+
+
+def _re2(pattern):
+    """What RE2 says, as DuckDB has it: None if it refuses the pattern, else the first match in each text, or None."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest(?) AS x, generate_subscripts(?, 1) AS i", [TEXTS, TEXTS])
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    try:
+        rows = con.execute(f"SELECT CASE WHEN regexp_matches(x, {quoted}, 'c') THEN regexp_extract(x, {quoted}, 0, 'c') END FROM t ORDER BY i").fetchall()
+    except duckdb.Error:
+        return None
+    return [r[0] for r in rows]
+
+
+def test_dialect_against_re2(spark):
+    """The same patterns are refused, and the same texts are found."""
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "i int, x string").coalesce(1)
+    odd = []
+    for pattern in PATTERNS:
+        want, error = _re2(pattern), lint(pattern)
+        if (want is None) != (error is not None):
+            odd.append((pattern, error, "refused" if want is None else "accepted"))
+            continue
+        if error is None:
+            java = to_java(pattern)
+            got = [r[0] for r in df.orderBy("i").select(F.when(F.col("x").rlike(java), F.regexp_extract("x", java, 0))).collect()]
+            odd += [(pattern, java, t, g, w) for t, g, w in zip(TEXTS, got, want, strict=True) if g != w]
+    assert not odd, "\n".join(map(repr, odd))
+
+
+def test_dialect_beside_re2():
+    assert lint("(?P<a>x)(?P<a>y)") == "name of two groups" and to_java("(?<n>a)") == "(?d)(a)"
+    assert lint("x{2}{3}") == "repeat of a repeat" and lint(r"(a)\\1") is None and lint(r"(a)\1") == "back reference"

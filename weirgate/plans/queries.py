@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DetectorConfig
 from ..functions.net import client_key, public_ip
 from ..functions.text import normalize_request, percent_decode, severity, stable_event_id, strip_sql_comments, url_of
-from ..operators import alerting, detect, enrich, evaluate, matching, metrics, parse, stats
+from ..operators import alerting, detect, enrich, evaluate, matching, metrics, parse, rollup, stats
 from ..sources import envelopes, logs
 from ..sources.rules import active_rules, apply_rule_changes, default_rules, load_rules, validate_rules
 from ..sources.shared import shared_folder, stored
@@ -828,3 +828,27 @@ def exported_history(spark, d):
     stats.export_history(views.attacks(spark, d), path)
     x = spark.read.csv(path, header=True, escape='"', multiLine=True)
     return x.select(F.unix_micros(F.col("detected_at").cast("timestamp")).alias("us"), "domain", "severity", "rule_id", "url", "status", "matched_value")
+
+
+# ---- counts that merge
+
+
+def _rolled(spark, d):
+    """Rollups of the attacks of two spans of time, numbered one after the other, as a table that grows would be."""
+    a = stored(views.attacks(spark, d).select("src_ip", "domain", "rule_id", "detected_at"), "attacks")
+    parts = [a.where(F.col("detected_at") < F.lit(datetime(2024, 1, 15))), a.where(F.col("detected_at") >= F.lit(datetime(2024, 1, 15)))]
+    numbers, out = {}, []
+    for part in parts:
+        numbers = {c: stored(rollup.numbered(part, c, numbers.get(c)), "numbers") for c in ("src_ip", "domain", "rule_id")}
+        out.append(rollup.attack_rollup(part, numbers))
+    return stored(out[0].unionByName(out[1]), "rollup")
+
+
+@query(ORACLE_SQL["kpi_window"])
+def kpi_rollup(spark, d):
+    return rollup.kpi_from_rollup(_rolled(spark, d), NOW, HOURS)
+
+
+@query(ORACLE_SQL["attack_trend"])
+def trend_rollup(spark, d):
+    return rollup.trend_from_rollup(_rolled(spark, d), NOW, HOURS)
