@@ -78,7 +78,8 @@ def test_odd_rows_and_clashing_columns(spark, stage):
     assert all(r[5:] == tuple(odd_rows()[0][5:]) for r in got)
     ids = sorted((r.doc_id or -1) for r in got)
     if stage is corpus_pipeline.jaccard_join:
-        assert ids == [-1, 1, 2, 3, 4, 5, 7]  # 6 is like 5, 8 like a row of 4
+        assert ids == [-1, 1, 2, 3, 4, 4, 5, 7]  # 6 is like 5, 8 like a row of 4, which has two texts
+        assert {r.text for r in got if r.doc_id == 4} == {r[1] for r in odd_rows() if r[0] == 4}
         assert sorted(map(str, stage(spark, docs.repartition(2), SF).collect())) == sorted(map(str, got))
     else:
         assert ids == sorted((r[0] or -1) for r in odd_rows())
@@ -91,3 +92,12 @@ def test_mixing_of_odd_rows(spark):
     out = corpus_pipeline.mixing(spark, docs, SF)
     assert out.where("words <= 0 OR words > size").count() == 0 and out.agg(F.sum("words")).first()[0] == 3 * sum(len((r[1] or "").split()) for r in odd_rows()) // 2
     assert corpus_pipeline.mixing(spark, docs.limit(0), SF).count() == 0
+
+
+def test_a_doc_id_with_several_texts(spark):
+    """Texts of one doc_id stand for themselves: what nothing links stays, and of a component the least doc_id's text is kept."""
+    text = lambda a: " ".join(f"{a}{i}" for i in range(40))
+    rows = [(9, text("a")), (9, text("b")), (9, text("b")), (3, text("b") + " more"), (12, text("a") + " more"), (20, text("c")), (20, text("c") + " more"), (21, text("d")), (9, None), (9, None), (9, "")]
+    got = corpus_pipeline.jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF).collect()
+    left = sorted((r.doc_id, (r.text or "")[:2], r.text is None) for r in got)
+    assert left == [(3, "b0", False), (9, "", False), (9, "", True), (9, "a0", False), (20, "c0", False), (21, "d0", False)]

@@ -74,6 +74,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def small_bytes(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """df with a broadcast hint if its rows take at most so many bytes, about: 24 a row and column, and what strings, and arrays of numbers, hold."""
+    held = [F.coalesce(F.octet_length(c) if t == "string" else F.size(c) * 16, F.lit(0)) for c, t in df.dtypes if t == "string" or t.startswith("array")]
+    total = df.agg(F.coalesce(F.sum(sum(held, F.lit(24 * len(df.columns))).cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= most else df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, all else as it is. lower() has a fast way for pure ASCII, where the two are the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

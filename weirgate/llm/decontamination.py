@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, packed, small, table, with_columns
+from .common import Scratch, packed, small, small_bytes, table, with_columns
 
 WINDOW_WORDS, GRAM_WORDS = 10, 5
 #: Words of the text as it stands; A-Z count as their lower-case letters.
@@ -83,8 +83,8 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     Null and empty texts have no words and are never hit; items without words have no window, and items without an id
     have windows but aren't listed. Rows are kept one for one; repeated rows get the same result.
 
-    Documents' fingerprints and windows meet those of the benchmark by joins, which broadcast the benchmark's side
-    only if it was counted to be small. Only documents with a hit are read again to extend it.
+    Documents' fingerprints and windows meet those of the benchmark by joins, which broadcast a side only if its
+    bytes, arrays included, were summed up to be few. Only documents with a hit are read again to extend it.
     """
     scratch = Scratch(docs.sparkSession, "decontamination")
     rows = docs.select(packed(docs).alias("row"), docs["doc_id"].alias("id"), docs["text"].alias("t")).withColumn("th", F.xxhash64("t"))
@@ -96,13 +96,13 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     known = small(items.mapInArrow(lambda b: _fingerprints(b, window, k), "id long, th long, pos int, fp long").select("fp").distinct().transform(scratch.put))
     marks = texts.mapInArrow(lambda b: _fingerprints(b, window, k), "id long, th long, pos int, fp long")
     hits = marks.join(known, "fp", "left_semi").groupBy("id", "th").agg(F.collect_set("pos").alias("hits"))
-    hits = small(scratch.put(hits.select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "hits")))
+    hits = small_bytes(scratch.put(hits.select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "hits")))
     near = texts.join(hits, texts["id"].eqNullSafe(hits["hit_id"]) & (texts["th"] == hits["hit_th"])).select("id", "th", "t", "hits")
     found = near.mapInArrow(lambda b: _extended(b, window, k), _GRAM_ROW)
     lengths = [r["len"] for r in sets.where(F.col("len") < window).select("len").distinct().collect()]  # fewer than `window` values
     if lengths:
         found = found.unionByName(texts.mapInArrow(lambda b: _grams(b, lengths, False), _GRAM_ROW))
-    met = found.join(small(sets), ["len", "h1", "h2"]).groupBy("id", "th").agg(F.collect_set(F.struct("pos", "len")).alias("met"), F.collect_set("items").alias("sets"))
+    met = found.join(small_bytes(sets), ["len", "h1", "h2"]).groupBy("id", "th").agg(F.collect_set(F.struct("pos", "len")).alias("met"), F.collect_set("items").alias("sets"))
     met = met.select(F.col("id").alias("met_id"), F.col("th").alias("met_th"), merged("met").alias("spans"), F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"))
     met = scratch.put(met)
     both = rows.join(met, rows["id"].eqNullSafe(met["met_id"]) & (rows["th"] == met["met_th"]), "left")
