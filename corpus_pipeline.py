@@ -37,15 +37,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the row with the least doc_id; of rows that are equal in doc_id, the one whose content has
-    the least hash. Documents without shingles or doc_id are no duplicates of anything, and stay."""
+    """Of each component of near duplicates the row with the least doc_id; of rows that are equal in doc_id and text, or of one component and
+    doc_id, the one whose text and then content has the least hash. Texts that share a doc_id are documents of their own: where nothing
+    links them, all stay. Documents without shingles or doc_id are no duplicates of anything else, and stay."""
     scratch = Scratch(spark, "pipeline-jaccard")
-    found = scratch.put(near_duplicates(docs.select("doc_id", "text")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times")))
-    left = docs.join(small(scratch.put(found.where("doc_id <> component_id").select("doc_id"))), "doc_id", "left_anti").select(*docs.columns)
-    repeated = small(scratch.put(found.where("times > 1").select("doc_id")))
-    own = _held(left.join(repeated, "doc_id", "left_semi").select(*docs.columns), "doc_id")
-    firsts = own.groupBy("doc_id").agg(F.min_by("document", F.xxhash64("document")).alias("document")).select("document.*")
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(firsts)
+    times = scratch.put(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select(F.col("doc_id").alias("repeated")))
+    # a row of a repeated doc_id is known by a hash of doc_id and text instead
+    own = F.xxhash64("document.doc_id", "document.text").bitwiseAND(F.lit(2**63 - 1).cast("long"))
+    marked = _held(docs).join(small(times), F.col("document.doc_id") == F.col("repeated"), "left")
+    marked = marked.select("document", F.when(F.col("repeated").isNotNull(), own).otherwise(F.col("document.doc_id")).alias("sid"), F.col("repeated").isNotNull().alias("again"))
+    found = near_duplicates(marked.select(F.col("sid").alias("doc_id"), F.col("document.text").alias("text"))).where("doc_id IS NOT NULL")
+    found = scratch.put(found.select(F.col("doc_id").alias("sid"), F.col("component_id").alias("part")).distinct())
+    names = scratch.put(marked.where("again").select("sid", F.col("document.doc_id").alias("named")).distinct())
+    named = found.join(small(names), "sid", "left").select("sid", "part", F.coalesce("named", "sid").alias("doc_id"))
+    kept = named.groupBy("part").agg(F.min(F.struct("doc_id", "sid")).alias("least")).select("part", F.col("least.sid").alias("kept"))
+    gone = small(scratch.put(named.join(kept, "part").where("sid <> kept").select("sid")))
+    left = marked.join(gone, "sid", "left_anti")
+    firsts = left.where("again").groupBy("sid").agg(F.min_by("document", F.xxhash64("document")).alias("document"))
+    return left.where("NOT again").select("document.*").unionByName(firsts.select("document.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
