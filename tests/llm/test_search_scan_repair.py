@@ -272,3 +272,27 @@ def test_languages_of_repeated_rows(spark, monkeypatch, seed):
     got = language_id.identify(df, net).groupBy("lang").agg({"*": "count"}).collect()
     right = language_id.identify(df, net).where("lang = lang_pred").count()
     assert len(got) == 3 and right / len(many) > 0.97
+
+
+def test_rare_pairs_among_many_commoner_terms(spark, monkeypatch):
+    """Exactly one of two words that 3 texts in 100 hold, among 2,500 commoner ones; pairs counted by Spark's tasks, in blocks."""
+    import pyarrow as pa
+
+    from weirgate.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "BLOCK_TERMS", 700)
+    rng = np.random.default_rng(4)
+    n = 10_000
+    texts, y = [], np.zeros(n)
+    for i in range(n):
+        words = [f"w{k}" for k in rng.integers(0, 2500, 60)]
+        one, two = rng.random(2) < 0.5 if rng.random() < 0.06 else (False, False)
+        y[i] = one != two
+        texts.append(" ".join(words + ["rareone"] * bool(one) + ["raretwo"] * bool(two)))
+    text, bucket = toxicity.terms(pa.array(texts[:8000]))
+    chosen = toxicity.chosen_terms(text, bucket, y[:8000], spark)
+    assert set(chosen) == set(toxicity.chosen_terms(text, bucket, y[:8000]))
+    model = toxicity.fit(text, bucket, y[:8000], spark=spark)
+    scores = model.scores(pa.array(texts[8000:]))
+    asked = np.array(["rareone" in t or "raretwo" in t for t in texts[8000:]])
+    assert ((scores >= 0.5) == (y[8000:] > 0))[asked].mean() > 0.9 and ((scores >= 0.5) == (y[8000:] > 0)).mean() > 0.98

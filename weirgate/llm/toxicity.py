@@ -20,11 +20,13 @@ from .common import packed, table, with_columns
 BUCKET_BITS, FACTORS = 20, 4
 #: Labelled rows that are learnt from, at most. The sample is drawn by hash from all that may be learnt from.
 SAMPLE_ROWS = 12_000
-#: Terms kept: in so many sampled texts, and so many deviations off the share of label 1; the MAX_TERMS furthest off.
-MIN_TEXTS, MIN_DEVIATIONS, MAX_TERMS = 4, 5.0, 2_000
-#: Terms that say nothing alone: of the kept ones and the FREQUENT_TERMS in most texts, all pairs are counted; both terms of a pair in so many
-#: texts are kept if its share of label 1 is so many deviations off what the two add up to.
-FREQUENT_TERMS, MIN_PAIR_TEXTS, MIN_PAIR_DEVIATIONS = 2_000, 8, 7.0
+#: Terms kept: in so many sampled texts, and so many deviations off the share of label 1.
+MIN_TEXTS, MIN_DEVIATIONS = 4, 5.0
+#: Terms that say nothing alone: of all terms of so many texts, all pairs are counted. Both terms of a pair in so many texts are kept if its share of
+#: label 1 is so unlikely under what the two add up to that among all those pairs one like it would come by chance once in exp(PAIR_MARGIN).
+MIN_PAIR_TEXTS, PAIR_MARGIN = 8, 7.0
+#: Pairs are counted for so many terms by as many, and so many texts, at once.
+BLOCK_TERMS, BLOCK_TEXTS = 2_000, 2_000
 EPOCHS, RATE, L1, L2 = 300, 0.2, 2e-4, 1e-3
 
 
@@ -68,42 +70,69 @@ def _deviations(n: np.ndarray, ones: np.ndarray, p: np.ndarray | float) -> np.nd
     return np.abs(ones - n * p) / np.sqrt(np.maximum(n, 1) * p * (1 - p))
 
 
-def chosen_terms(text: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Buckets whose share of label 1 is far off the mean, and those of pairs whose share is far off what their two shares add up to."""
+def chosen_terms(text: np.ndarray, bucket: np.ndarray, y: np.ndarray, spark: SparkSession | None = None) -> np.ndarray:
+    """Buckets whose share of label 1 is far off the mean, and those of pairs whose share is far off what their two shares add up to.
+
+    Pairs are counted block by block of the table of terms by terms, by Spark's tasks if there is a session.
+    """
     known, at = np.unique(bucket, return_inverse=True)
     n = np.bincount(at, minlength=len(known))
     ones = np.bincount(at, y[text], len(known))
     p = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
-    off = _deviations(n, ones, p)
-    alone = np.flatnonzero((n >= MIN_TEXTS) & (off >= MIN_DEVIATIONS))
-    alone = alone[np.argsort(-off[alone], kind="stable")[:MAX_TERMS]]
-    often = np.argsort(-n, kind="stable")[:FREQUENT_TERMS]
-    asked = np.union1d(alone, often[n[often] >= MIN_PAIR_TEXTS])
+    alone = np.flatnonzero((n >= MIN_TEXTS) & (_deviations(n, ones, p) >= MIN_DEVIATIONS))
+    asked = np.union1d(alone, np.flatnonzero(n >= MIN_PAIR_TEXTS))
     place = np.full(len(known), -1)
     place[asked] = np.arange(len(asked))
-    held = place[at] >= 0
-    text, term = text[held], place[at[held]]
-    both, toxic = (np.zeros((len(asked), len(asked)), np.float32) for _ in range(2))
-    for a in range(0, len(y), 1_000):  # a thousand texts at once
-        own = (text >= a) & (text < a + 1_000)
-        x = np.zeros((min(1_000, len(y) - a), len(asked)), np.float32)
-        x[text[own] - a, term[own]] = 1
-        both += x.T @ x
-        x1 = x[y[a : a + 1_000] > 0]
-        toxic += x1.T @ x1
-    share = ones[asked] / np.maximum(n[asked], 1)
-    found = np.zeros(len(asked), bool)
-    for i in range(len(asked)):  # a row of the table of pairs at once
-        added = np.clip(share[i] + share - p, 0.01, 0.99)
-        far = (both[i] >= MIN_PAIR_TEXTS) & (_deviations(both[i], toxic[i], added) >= MIN_PAIR_DEVIATIONS)
-        far[i] = False
-        found[i] |= far.any()
-    return np.sort(known[np.union1d(alone, asked[found])])
-
-
-def fit(text: np.ndarray, bucket: np.ndarray, y: np.ndarray, seed: int = 7) -> FactorizationMachine:
+    term = place[at]
+    order = np.flatnonzero(term >= 0)[np.argsort(term[term >= 0], kind="stable")]
+    sample = text[order].astype(np.int32), term[order].astype(np.int32), y, ones[asked] / np.maximum(n[asked], 1), p
+    starts = range(0, len(asked), BLOCK_TERMS)
+    blocks = [(a, b) for a in starts for b in starts if a <= b]
+    if spark is None or len(blocks) < 2:
+        found = [_telling(sample, *x) for x in blocks]
+    else:
+        shared = spark.sparkContext.broadcast(sample)  # the sampled rows' terms
+        each = spark.createDataFrame(blocks, "a int, b int").repartition(len(blocks))
+        found = [np.asarray(each.mapInArrow(lambda x: _telling_blocks(x, shared.value), "term int").distinct().toArrow()["term"])]
+        shared.unpersist()
+    return np.sort(known[np.union1d(alone, asked[np.unique(np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64))])])
+
+
+def _telling(sample: tuple, a: int, b: int) -> np.ndarray:
+    """Terms from a and from b on, BLOCK_TERMS of each, that a pair of the two blocks needs."""
+    text, term, y, share, p = sample
+    size = [min(BLOCK_TERMS, len(share) - x) for x in (a, b)]
+    own = [slice(*np.searchsorted(term, [x, x + n])) for x, n in zip((a, b), size, strict=True)]
+    both, toxic = (np.zeros(size, np.float32) for _ in range(2))
+    for t in range(0, len(y), BLOCK_TEXTS):
+        rows = min(BLOCK_TEXTS, len(y) - t)
+        x = [np.zeros((rows, n), np.float32) for n in size]
+        for z, part, begin in zip(x, own, (a, b), strict=True):
+            inside = (text[part] >= t) & (text[part] < t + rows)
+            z[text[part][inside] - t, term[part][inside] - begin] = 1
+        both += x[0].T @ x[1]
+        one = y[t : t + rows] > 0
+        toxic += x[0][one].T @ x[1][one]
+    i, j = np.nonzero(both >= MIN_PAIR_TEXTS)
+    i, j = i[a + i < b + j], j[a + i < b + j]
+    m = both[i, j].astype(float)
+    k = toxic[i, j] / m
+    q = np.clip(share[a + i] + share[b + j] - p, 0.01, 0.99)
+    k = np.clip(k, 1e-9, 1 - 1e-9)
+    unlikely = m * (k * np.log(k / q) + (1 - k) * np.log((1 - k) / (1 - q)))  # of a share so far off or farther, at least
+    far = unlikely >= np.log(max(1, len(share) * (len(share) - 1) // 2)) + PAIR_MARGIN
+    return np.union1d(a + i[far], b + j[far])
+
+
+def _telling_blocks(batches: Iterator[pa.RecordBatch], sample: tuple) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(_telling(sample, a, b).astype(np.int32))], ["term"])
+
+
+def fit(text: np.ndarray, bucket: np.ndarray, y: np.ndarray, seed: int = 7, spark: SparkSession | None = None) -> FactorizationMachine:
     """Logistic loss by AdaGrad over the whole sample; weights are drawn to 0 by L1, factors by L2. Without both labels, only a bias."""
-    buckets = chosen_terms(text, bucket, y)
+    buckets = chosen_terms(text, bucket, y, spark)
     rng = np.random.Generator(np.random.PCG64(seed))
     share = (y.sum() + 0.5) / (len(y) + 1)
     m = FactorizationMachine(buckets, float(np.log(share / (1 - share))), np.zeros(len(buckets)), rng.normal(0, 0.05, (len(buckets), FACTORS)))
@@ -133,8 +162,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Factor
     """Fits label (0, or else 1) on the text of docs (doc_id, text); labels has doc_id and label.
 
     Where one doc_id has several labels, the greatest counts; null labels and ids don't. Labels are drawn first, by
-    hash, so that `rows` is about what is read further. Statistics of the terms are made by Spark; the driver gets
-    MAX_TERMS + FREQUENT_TERMS buckets at most, and which of the sampled texts have them.
+    hash, so that `rows` is about what is read further. Statistics of the terms are made by Spark, and pairs of
+    terms are counted by its tasks; the driver gets the terms of several sampled texts, and which of the texts have them.
     """
     known = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("label") != 0).cast("int")).alias("y"))
     n = known.count()
@@ -149,9 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Factor
         p = min(max(total["ones"] / total["n"], 1e-6), 1 - 1e-6)
         by = sampled.where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("y").alias("ones")).where(F.col("n") >= MIN_TEXTS)
         off = F.abs(F.col("ones") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-        alone = by.where(off >= MIN_DEVIATIONS).orderBy(off.desc(), "bucket").limit(MAX_TERMS).select("bucket")
-        often = by.orderBy(F.desc("n"), "bucket").limit(FREQUENT_TERMS).select("bucket")
-        wanted = alone.unionByName(often).distinct()
+        wanted = by.where((off >= MIN_DEVIATIONS) | (F.col("n") >= MIN_PAIR_TEXTS)).select("bucket")  # 2**BUCKET_BITS rows at most
         rows_of = sampled.where("bucket IS NULL").select("k", "y").toArrow()
         seen = sampled.join(F.broadcast(wanted), "bucket").select("k", "bucket").toArrow()
     finally:
@@ -160,7 +187,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Factor
     order = np.lexsort((y, keys))
     known, first = np.unique(keys[order], return_index=True)  # a row may stand twice in the table
     both = np.unique(np.stack([np.searchsorted(known, np.asarray(seen["k"])), np.asarray(seen["bucket"])], 1).astype(np.int64).reshape(-1, 2), axis=0)
-    return fit(both[:, 0], both[:, 1], y[order][first].astype(float))
+    return fit(both[:, 0], both[:, 1], y[order][first].astype(float), spark=docs.sparkSession)
 
 
 def _sampled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
