@@ -279,7 +279,8 @@ def test_rare_pairs_among_many_commoner_terms(spark, monkeypatch):
 
     from weirgate.llm import toxicity
 
-    monkeypatch.setattr(toxicity, "BLOCK_TERMS", 700)
+    monkeypatch.setattr(toxicity, "BLOCK_CELLS", 700_000)
+    monkeypatch.setattr(toxicity, "BLOCK_PAIRS", 50_000)
     rng = np.random.default_rng(4)
     n = 10_000
     texts, y = [], np.zeros(n)
@@ -290,7 +291,23 @@ def test_rare_pairs_among_many_commoner_terms(spark, monkeypatch):
         texts.append(" ".join(words + ["rareone"] * bool(one) + ["raretwo"] * bool(two)))
     text, bucket = toxicity.terms(pa.array(texts[:8000]))
     chosen = toxicity.chosen_terms(text, bucket, y[:8000], spark)
+    monkeypatch.setattr(toxicity, "BLOCK_CELLS", 10**8)
     assert set(chosen) == set(toxicity.chosen_terms(text, bucket, y[:8000]))
+    few, names = toxicity.terms(pa.array([" ".join(t.split()[:6] + t.split()[60:]) for t in texts[:1500]]))
+    own = np.unique(names)
+    place = np.searchsorted(own, names)
+    sample = few.astype(np.int32), place.astype(np.int32), y[:1500], np.full(len(own), 0.2), 0.2
+    dense = np.zeros((1500, len(own)))
+    dense[few, place] = 1
+    together, ones = dense.T @ dense, dense[y[:1500] > 0].T @ dense[y[:1500] > 0]
+    monkeypatch.setattr(toxicity, "PAIR_MARGIN", -15.0)
+    m = np.maximum(together, 1)
+    share = np.clip(ones / m, 1e-9, 1 - 1e-9)
+    unlikely = m * (share * np.log(share / 0.2) + (1 - share) * np.log((1 - share) / 0.8))
+    far = (together >= toxicity.MIN_PAIR_TEXTS) & (unlikely >= np.log(len(own) * (len(own) - 1) // 2) - 15.0) & ~np.eye(len(own), dtype=bool)
+    got = np.unique(np.concatenate([toxicity._telling(sample, a, min(a + 300, len(own))) for a in range(0, len(own), 300)]))
+    assert got.tolist() == np.flatnonzero(far.any(axis=1)).tolist() and len(got)
+    monkeypatch.setattr(toxicity, "PAIR_MARGIN", 7.0)
     model = toxicity.fit(text, bucket, y[:8000], spark=spark)
     scores = model.scores(pa.array(texts[8000:]))
     asked = np.array(["rareone" in t or "raretwo" in t for t in texts[8000:]])

@@ -25,8 +25,8 @@ MIN_TEXTS, MIN_DEVIATIONS = 4, 5.0
 #: Terms that say nothing alone: of all terms of so many texts, all pairs are counted. Both terms of a pair in so many texts are kept if its share of
 #: label 1 is so unlikely under what the two add up to that among all those pairs one like it would come by chance once in exp(PAIR_MARGIN).
 MIN_PAIR_TEXTS, PAIR_MARGIN = 8, 7.0
-#: Pairs are counted for so many terms by as many, and so many texts, at once.
-BLOCK_TERMS, BLOCK_TEXTS = 2_000, 2_000
+#: Cells of the table of terms by terms that a task counts, and pairs that it adds, at once.
+BLOCK_CELLS, BLOCK_PAIRS = 8_000_000, 4_000_000
 EPOCHS, RATE, L1, L2 = 300, 0.2, 2e-4, 1e-3
 
 
@@ -84,10 +84,11 @@ def chosen_terms(text: np.ndarray, bucket: np.ndarray, y: np.ndarray, spark: Spa
     place = np.full(len(known), -1)
     place[asked] = np.arange(len(asked))
     term = place[at]
-    order = np.flatnonzero(term >= 0)[np.argsort(term[term >= 0], kind="stable")]
+    held = np.flatnonzero(term >= 0)
+    order = held[np.lexsort((term[held], text[held]))]
     sample = text[order].astype(np.int32), term[order].astype(np.int32), y, ones[asked] / np.maximum(n[asked], 1), p
-    starts = range(0, len(asked), BLOCK_TERMS)
-    blocks = [(a, b) for a in starts for b in starts if a <= b]
+    step = max(1, BLOCK_CELLS // max(1, len(asked)))
+    blocks = [(a, min(a + step, len(asked))) for a in range(0, len(asked), step)]
     if spark is None or len(blocks) < 2:
         found = [_telling(sample, *x) for x in blocks]
     else:
@@ -99,29 +100,32 @@ def chosen_terms(text: np.ndarray, bucket: np.ndarray, y: np.ndarray, spark: Spa
 
 
 def _telling(sample: tuple, a: int, b: int) -> np.ndarray:
-    """Terms from a and from b on, BLOCK_TERMS of each, that a pair of the two blocks needs."""
+    """Terms that a pair of one of the terms from a up to b, and of one behind it, needs. The sample is sorted by text and term."""
     text, term, y, share, p = sample
-    size = [min(BLOCK_TERMS, len(share) - x) for x in (a, b)]
-    own = [slice(*np.searchsorted(term, [x, x + n])) for x, n in zip((a, b), size, strict=True)]
-    both, toxic = (np.zeros(size, np.float32) for _ in range(2))
-    for t in range(0, len(y), BLOCK_TEXTS):
-        rows = min(BLOCK_TEXTS, len(y) - t)
-        x = [np.zeros((rows, n), np.float32) for n in size]
-        for z, part, begin in zip(x, own, (a, b), strict=True):
-            inside = (text[part] >= t) & (text[part] < t + rows)
-            z[text[part][inside] - t, term[part][inside] - begin] = 1
-        both += x[0].T @ x[1]
-        one = y[t : t + rows] > 0
-        toxic += x[0][one].T @ x[1][one]
-    i, j = np.nonzero(both >= MIN_PAIR_TEXTS)
-    i, j = i[a + i < b + j], j[a + i < b + j]
-    m = both[i, j].astype(float)
-    k = toxic[i, j] / m
-    q = np.clip(share[a + i] + share[b + j] - p, 0.01, 0.99)
-    k = np.clip(k, 1e-9, 1 - 1e-9)
+    size = len(share)
+    ends = np.searchsorted(text, np.arange(len(y)), "right")
+    at = np.flatnonzero((term >= a) & (term < b))
+    behind = ends[text[at]] - at - 1  # terms of the same text
+    both, toxic = (np.zeros((b - a) * size, np.int32) for _ in range(2))
+    sums = np.cumsum(behind)
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(sums, (sums[i - 1] if i else 0) + BLOCK_PAIRS, "right")))
+        n = behind[i:j]
+        first = np.repeat(at[i:j], n)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+        cell = (term[first].astype(np.int64) - a) * size + term[second]
+        both += np.bincount(cell, minlength=len(both)).astype(np.int32)
+        toxic += np.bincount(cell[y[text[first]] > 0], minlength=len(both)).astype(np.int32)
+        i = j
+    cell = np.flatnonzero(both >= MIN_PAIR_TEXTS)
+    i, j = a + cell // size, cell % size
+    m = both[cell].astype(float)
+    k = np.clip(toxic[cell] / m, 1e-9, 1 - 1e-9)
+    q = np.clip(share[i] + share[j] - p, 0.01, 0.99)
     unlikely = m * (k * np.log(k / q) + (1 - k) * np.log((1 - k) / (1 - q)))  # of a share so far off or farther, at least
-    far = unlikely >= np.log(max(1, len(share) * (len(share) - 1) // 2)) + PAIR_MARGIN
-    return np.union1d(a + i[far], b + j[far])
+    far = unlikely >= np.log(max(1, size * (size - 1) // 2)) + PAIR_MARGIN
+    return np.union1d(i[far], j[far])
 
 
 def _telling_blocks(batches: Iterator[pa.RecordBatch], sample: tuple) -> Iterator[pa.RecordBatch]:
