@@ -26,7 +26,7 @@ MIN_TEXTS, MIN_DEVIATIONS = 4, 5.0
 #: label 1 is so unlikely under what the two add up to that among all those pairs one like it would come by chance once in exp(PAIR_MARGIN).
 MIN_PAIR_TEXTS, PAIR_MARGIN = 8, 7.0
 #: Cells of the table of terms by terms that a task counts, and pairs that it adds, at once.
-BLOCK_CELLS, BLOCK_PAIRS = 8_000_000, 4_000_000
+BLOCK_CELLS, BLOCK_PAIRS = 2_000_000, 1_000_000
 EPOCHS, RATE, L1, L2 = 300, 0.2, 2e-4, 1e-3
 
 
@@ -93,7 +93,7 @@ def chosen_terms(text: np.ndarray, bucket: np.ndarray, y: np.ndarray, spark: Spa
         found = [_telling(sample, *x) for x in blocks]
     else:
         shared = spark.sparkContext.broadcast(sample)  # the sampled rows' terms
-        each = spark.createDataFrame(blocks, "a int, b int").repartition(len(blocks))
+        each = spark.createDataFrame(blocks, "a int, b int").repartition(min(len(blocks), 64))
         found = [np.asarray(each.mapInArrow(lambda x: _telling_blocks(x, shared.value), "term int").distinct().toArrow()["term"])]
         shared.unpersist()
     return np.sort(known[np.union1d(alone, asked[np.unique(np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64))])])
