@@ -171,7 +171,7 @@ def history_page(rows: DataFrame, limit: int = 50, offset: int = 0, most: int =
     A shallow page is a top-k. For a deep one, rows are counted by day, hour and so on down to the microsecond, then by the beginning of
     event_id, each time only in the range in which the page lies, until at most `most` are left to sort. A count's rows are the ranges that occur.
     """
-    offset, limit = min(max(offset, 0), 1_000_000), min(max(limit, 1), 1000)
+    offset, limit = max(offset, 0), min(max(limit, 1), 1000)
     order = [F.desc_nulls_last("detected_at"), F.asc("event_id")]
     part, skip, size = rows, offset, offset + limit
     for level in (*TIME_LEVELS, *ID_LEVELS) if size > most else ():
