@@ -35,3 +35,13 @@ def test_a_page_behind_a_million_rows(spark):
     n = 1_050_100
     rows = spark.range(n).select(F.lpad(F.col("id").cast("string"), 8, "0").alias("event_id"), F.timestamp_seconds(2_000_000_000 - F.col("id")).alias("detected_at"))
     assert [int(r.event_id) for r in stats.history_page(rows, 3, 1_050_000).collect()] == [1_050_000, 1_050_001, 1_050_002]
+
+
+def test_the_future_begins_at_a_microsecond(spark, crowded):
+    """Half a second past the limit is past it."""
+    same_rows(spark, "map_enriched", crowded)
+    same_rows(spark, "map_rejected", crowded)
+    same_rows(spark, "map_flat", crowded)
+    times = spark.sql("SELECT 'x' AS event_id, 'd' AS domain, '1.1.1.1' AS src_ip, 'GET' AS method, '/' AS path, '' AS query_string, '' AS user_agent, '' AS referer, 200 AS status, timestamp'2024-01-20 00:05:00' + make_interval(0, 0, 0, 0, 0, 0, id * 0.000001) AS timestamp, CAST(NULL AS timestamp) AS request_ts FROM range(2)")
+    good, bad = enrich.map_enriched(times, F.lit(views.NOW))
+    assert (good.count(), [r.error for r in bad.collect()]) == (1, ["timestamp in the future"])

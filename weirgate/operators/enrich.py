@@ -95,6 +95,11 @@ def session_key(cookie: Column, ip: Column) -> Column:
     return blank_to(cookie, F.concat(F.lit("ip-"), blank_to(ip, F.lit("unknown"))))
 
 
+def _behind(stamp: Column, now: Column, skew_s: int) -> Column:
+    """Whether a time is no later than skew_s after now, to the microsecond."""
+    return F.unix_micros(stamp) <= F.unix_micros(now) + skew_s * 1_000_000
+
+
 def map_enriched(rows: DataFrame, now: Column, skew_s: int = 300) -> tuple[DataFrame, DataFrame]:
     """(detector events, rejected with error) of enriched requests with event_id, domain, timestamp and request_ts.
 
@@ -107,7 +112,7 @@ def map_enriched(rows: DataFrame, now: Column, skew_s: int = 300) -> tuple[DataF
         (F.coalesce(F.length(F.trim("domain")).between(1, 255), F.lit(False)), "domain"),
         (F.coalesce(F.length(F.trim("src_ip")).between(1, 64), F.lit(False)), "src_ip"),
         (stamp.isNotNull(), "timestamp"),
-        (F.coalesce(F.unix_seconds(stamp) - F.unix_seconds(now) <= skew_s, F.lit(True)), "timestamp in the future"),
+        (F.coalesce(_behind(stamp, now, skew_s), F.lit(True)), "timestamp in the future"),
     ]
     cut = lambda c, n: F.substring(c, 1, n)
     x = rows.withColumn("error", F.coalesce(*[F.when(~ok, name) for ok, name in checks]))
@@ -135,7 +140,7 @@ def map_flat(rows: DataFrame, now: Column, skew_s: int = 300) -> tuple[DataFrame
         (F.coalesce(F.size("headers") <= 100, F.lit(True)), "headers"),
         (F.coalesce(F.forall(F.map_keys("headers"), lambda k: F.length(k) <= 128), F.lit(True)), "header name"),
         (F.coalesce(F.length("body") <= 8192, F.lit(True)), "body"),
-        (F.coalesce(F.unix_seconds("timestamp") - F.unix_seconds(now) <= skew_s, F.lit(False)), "timestamp"),
+        (F.coalesce(_behind(F.col("timestamp"), now, skew_s), F.lit(False)), "timestamp"),
     ]
     lower = F.map_from_entries(F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
     x = rows.withColumn("error", F.coalesce(*[F.when(~ok, name) for ok, name in checks])).withColumns({"status": status, "event_ts": F.col("timestamp")})
