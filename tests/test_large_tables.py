@@ -45,3 +45,10 @@ def test_the_future_begins_at_a_microsecond(spark, crowded):
     times = spark.sql("SELECT 'x' AS event_id, 'd' AS domain, '1.1.1.1' AS src_ip, 'GET' AS method, '/' AS path, '' AS query_string, '' AS user_agent, '' AS referer, 200 AS status, timestamp'2024-01-20 00:05:00' + make_interval(0, 0, 0, 0, 0, 0, id * 0.000001) AS timestamp, CAST(NULL AS timestamp) AS request_ts FROM range(2)")
     good, bad = enrich.map_enriched(times, F.lit(views.NOW))
     assert (good.count(), [r.error for r in bad.collect()]) == (1, ["timestamp in the future"])
+
+
+def test_addresses_that_count_users(spark, crowded):
+    assert any(r.key.split("|10.0.")[-1] > "256" for r in same_rows(spark, "raw_event_keys", crowded))
+    lines = spark.createDataFrame([("10.0.256.1 - -", "A"), ("1.2.3 - -", "A"), ("2001:DB8::1 -", "A")], "line string, domain string")
+    assert [r.key for r in logs.raw_events(lines).collect()] == ["a", "a", "a|2001:db8::1"]
+    assert [r.key for r in logs.raw_events(lines, address=views.client_text).collect()] == ["a|10.0.256.1", "a", "a|2001:db8::1"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,14 +80,15 @@ def _named(lines: DataFrame, override: str) -> DataFrame:
     return lines.where("line <> ''").withColumns({"log_source": F.regexp_extract("log_path", r"([^/]+)/[^/]+$", 1), "domain": F.coalesce(F.nullif(F.lit(override), F.lit("")), plain, name)})
 
 
-def raw_events(lines: DataFrame, collected_at: Column | None = None) -> DataFrame:
+def raw_events(lines: DataFrame, collected_at: Column | None = None, address: Callable[[Column], Column] = canonical_ip) -> DataFrame:
     """lines and src_ip (first field in canonical form, if it is an address), key, request_id and collected_at (a given time, else now).
 
     request_id follows from the file, the line's place in it and the line: equal lines of one file have ids of their own, and a
     line has the same id from a scan, a stream and a replay of either. A file that took a rotated one's place differs by its lines.
+    address: what the first field is as an address, or null; a source whose clients are named otherwise gives its own.
     """
     first = F.regexp_extract("line", r"^(\S+)", 1)
-    ip = canonical_ip(first)
+    ip = address(first)
     place = [F.col(c).cast("string") for c in ("log_path", "line_offset", "line_no") if c in lines.columns]
     x = lines.withColumn("src_ip", ip)
     key = F.when(F.col("src_ip").isNull(), F.lower("domain")).otherwise(F.concat_ws("|", F.lower("domain"), "src_ip"))
