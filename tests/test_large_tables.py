@@ -8,6 +8,7 @@ import __spark_entry__ as registered
 from weirgate.operators import detect, enrich, stats
 from weirgate.plans import views
 from weirgate.sources import logs
+from weirgate.streaming import replay
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +73,13 @@ def test_a_hot_key_is_many_groups(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len({r.part for r in found}) > 1
     assert all((r.n, r["values"]) == (min(r.seq + 1, 900 + r.seq % 100 + 1), min(r.seq + 1, 300)) for r in found)
+
+
+def test_a_batch_of_many_rows_is_several_files(spark, monkeypatch):
+    monkeypatch.setattr(replay, "FILE_ROWS", 10)
+    rows, seen = spark.range(200), []
+    path = replay.arrival_files(rows, "id")
+    replay.run_to_end(replay.source(spark, path, rows.schema), lambda b, i: seen.append((b.agg(F.min("id"), F.max("id"), F.count("*")).first(), len(b.inputFiles()))), runs=1)
+    assert len(seen) == 4 and sum(r[2] for r, _ in seen) == 200
+    assert all(a[0][1] < b[0][0] for a, b in zip(seen, seen[1:], strict=False))
+    assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() == 20

@@ -7,21 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import hadoop_path, shared_folder
+from ..sources.shared import hadoop_path, shared_folder, stored
 from .pipeline import into_table, read_table
 
 
+#: Rows of a file, about: a batch of many rows is several files, which tasks read side by side.
+FILE_ROWS = 250_000
+
+
 def arrival_files(rows: DataFrame, order: str, files: int = 4) -> str:
-    """Writes the rows into files that follow one another in order, by name and by time of modification, which is what Spark's file source goes by."""
+    """Writes the rows, worked out once, into batches that follow one another in order, by name and by time of modification, which is what Spark's
+    file source goes by. There are `files` batches, of one file each or, of many rows, of several with the same time."""
+    rows = stored(rows, "to-arrive")
+    each = max(1, -(-rows.count() // (files * FILE_ROWS)))
     path = f"{shared_folder(rows.sparkSession, 'arrivals')}/rows"
-    rows.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
+    rows.repartitionByRange(files * each, order).sortWithinPartitions(order).write.parquet(path)
     store, parts = hadoop_path(rows.sparkSession, f"{path}/part-*")
-    for n, x in enumerate(sorted(x.getPath().toString() for x in store.globStatus(parts))):  # `files` of them
-        store.setTimes(hadoop_path(rows.sparkSession, x)[1], 1_700_000_000_000 + 1000 * n, -1)
+    for n, x in enumerate(sorted(x.getPath().toString() for x in store.globStatus(parts))):
+        store.setTimes(hadoop_path(rows.sparkSession, x)[1], 1_700_000_000_000 + 1000 * (n // each), -1)
     return path
 
 
-def source(spark: SparkSession, path: str, schema, files_a_batch: int = 1) -> DataFrame:
+def source(spark: SparkSession, path: str, schema, files_a_batch: int | None = None) -> DataFrame:
+    """A stream of the files at path; a batch is so many of them, or as many as have the first one's time."""
+    if files_a_batch is None:
+        store, parts = hadoop_path(spark, f"{path}/part-*")
+        times = [x.getModificationTime() for x in store.globStatus(parts)]
+        files_a_batch = max(1, times.count(min(times, default=0)))
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
